@@ -166,31 +166,31 @@ def _(spark, d):
 
 
 @query("common_cells", "U2", oracle("cell", NORM,
-    "SELECT \"row\", channel, note, volcmd FROM nc WHERE pattern % 2 = 0 INTERSECT SELECT \"row\", channel, note, volcmd FROM nc WHERE pattern % 2 = 1"))
+    "SELECT \"row\", channel, note, volcmd FROM nc WHERE instr < 50 INTERSECT SELECT \"row\", channel, note, volcmd FROM nc WHERE instr >= 50"))
 def _(spark, d):
     cells = v.cell(spark, d)
     pick = ["row", "channel", "note", "volcmd"]
-    a, b = (g.normalised(cells.filter(f"pattern % 2 = {i}")).select(*pick) for i in (0, 1))
+    a, b = (g.normalised(cells.filter(f"instr {op} 50")).select(*pick) for op in ("<", ">="))
     return a.intersect(b)
 
 
 @query("only_in_a", "U2", oracle("cell", NORM,
-    "SELECT \"row\", channel, note, instr, volcmd, vol, command, param FROM nc EXCEPT ALL SELECT \"row\", channel, note, instr, volcmd, vol, command, param FROM nc WHERE pattern % 3 = 0"))
+    "SELECT \"row\", channel, note, instr, volcmd, vol, command, param FROM nc EXCEPT ALL SELECT \"row\", channel, note, instr, volcmd, vol, command, param FROM nc WHERE note > 64"))
 def _(spark, d):
     cells = v.cell(spark, d)
-    return g.only_in_a(cells, cells.filter("pattern % 3 = 0"))
+    return g.only_in_a(cells, cells.filter("note > 64"))
 
 
 @query("trace_diff", "J14", oracle("cell",
-    'ta AS (SELECT pattern, "row", note, vol FROM cell WHERE pattern % 7 <> 0)',
-    'tb AS (SELECT pattern, "row", CASE WHEN pattern % 5 = 0 THEN note + 1 ELSE note END AS note, vol FROM cell WHERE pattern % 11 <> 0)',
+    'ta AS (SELECT pattern, "row", note, vol FROM cell WHERE vol <= 45)',
+    'tb AS (SELECT pattern, "row", CASE WHEN pattern % 5 = 0 THEN note + 1 ELSE note END AS note, vol FROM cell WHERE vol >= 5)',
     """SELECT pattern, "row", CASE WHEN tb.vol IS NULL THEN 'only_a' WHEN ta.vol IS NULL THEN 'only_b' ELSE 'changed' END AS status,
     ta.note AS a_note, tb.note AS b_note, ta.vol AS a_vol, tb.vol AS b_vol FROM ta FULL JOIN tb USING (pattern, "row")
     WHERE ta.note IS DISTINCT FROM tb.note OR ta.vol IS DISTINCT FROM tb.vol"""))
 def _(spark, d):
     cells = v.cell(spark, d)
-    a = cells.filter("pattern % 7 <> 0")
-    b = cells.filter("pattern % 11 <> 0").withColumn(
+    a = cells.filter("vol <= 45")
+    b = cells.filter("vol >= 5").withColumn(
         "note", F.when(F.col("pattern") % 5 == 0, F.col("note") + 1).otherwise(F.col("note"))
     )
     return g.trace_diff(a, b, ["pattern", "row"], ["note", "vol"])

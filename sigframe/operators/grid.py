@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigframe.functions import cells as c
-from sigframe.plans.blocked import block_of, running
+from sigframe.plans.blocked import block_of, positions, running
 
 ROW_BLOCK = 4096
 
@@ -274,7 +274,7 @@ def timeline(cells: DataFrame, header: DataFrame) -> DataFrame:
             for name, code in (("_speed", c.FX_SPEED), ("_tempo", c.FX_TEMPO))
         ]
     )
-    every = header.select("pattern", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("row"))
+    every = positions(header.select("pattern", "rows"), ["pattern"], "rows", "row", ROW_BLOCK).drop("rows")
     rows = every.join(marks, ["pattern", "row"], "left")
     block = block_of("row", ROW_BLOCK)
     state = running(

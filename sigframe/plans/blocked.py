@@ -79,12 +79,14 @@ def running(
     block: Column,
     cols: Mapping[str, tuple[str, Column]],
     inclusive: bool = True,
+    peers: bool = False,
 ) -> DataFrame:
     """Add running values along `order` inside `keys`.
 
     `cols` maps an output name to `(kind, value)`, kind one of sum, count, max, min, last (last non-null).
     `block` must not decrease along `order`; one block of one key is the unit of work of a task. With
     `inclusive=False` the current row is left out (and an empty prefix gives 0 for sum and count, else NULL).
+    With `peers=True` all rows that tie on the single order column count as current.
     """
     keys, order = list(keys), list(order)
     tmp = {f"_v{i}": v for i, (_, v) in enumerate(cols.values())}
@@ -112,7 +114,11 @@ def running(
     carry = totals.select(
         *keys, _B, *[over(kind, f"_t{i}", prior).alias(f"_c{i}") for i, (kind, _) in enumerate(cols.values())]
     )
-    local = W.partitionBy(*keys, _B).orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
+    local = W.partitionBy(*keys, _B).orderBy(*order)
+    if peers:
+        local = local.rangeBetween(W.unboundedPreceding, 0 if inclusive else -1)
+    else:
+        local = local.rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
     joined = base.join(carry, [*keys, _B])
     out = {}
     for i, (name, (kind, _)) in enumerate(cols.items()):
@@ -160,11 +166,12 @@ def dense_index(
     to be small. The offsets table has one row per (key, bucket).
     """
     keys = list(keys)
+    whole = keys or [F.lit(0)]
     if bucket is None:
-        return df.withColumn(out, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("long") - 1)
+        return df.withColumn(out, F.row_number().over(W.partitionBy(*whole).orderBy(*order)).cast("long") - 1)
     b = df.withColumn(_B, bucket)
     counts = b.groupBy(*keys, _B).agg(F.count(F.lit(1)).alias("_rows"))
-    prior = W.partitionBy(*keys).orderBy(_B).rowsBetween(W.unboundedPreceding, -1)
+    prior = W.partitionBy(*whole).orderBy(_B).rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(*keys, _B, F.coalesce(F.sum("_rows").over(prior), F.lit(0)).alias("_off"))
     local = W.partitionBy(*keys, _B).orderBy(*order)
     return (
@@ -209,3 +216,15 @@ def islands(
         )
         .drop("_lane", "_island")
     )
+
+
+def positions(per_key: DataFrame, keys: Sequence[str], count: str, out: str, size: int = BLOCK) -> DataFrame:
+    """Rows `0 .. count-1` in `out` for every row of `per_key`. Blocks are generated first and spread over tasks, so
+    one long key is not generated by one task."""
+    first = F.lit(0).cast("long")
+    blocks = per_key.filter(F.col(count) > 0).withColumn(
+        _B, F.explode(F.sequence(first, F.floor((F.col(count) - 1) / size).cast("long")))
+    )
+    spread = blocks.repartition(*keys, _B)
+    last = F.least((F.col(_B) + 1) * size, F.col(count)) - 1
+    return spread.withColumn(out, F.explode(F.sequence(F.col(_B) * size, last))).drop(_B)
