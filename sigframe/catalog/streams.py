@@ -107,7 +107,7 @@ def _(spark, d):
 
 
 # Errors are delivered one slice after the others of their week, so they come late.
-_SLICES = """sl AS (SELECT event_id, ts, epoch(ts - (SELECT date_trunc('day', min(ts)) FROM events)) // 691200 + CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS k FROM events),
+_SLICES = """sl AS (SELECT event_id, ts, floor(epoch(ts - (SELECT date_trunc('day', min(ts)) FROM events)) / 691200) + CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS k FROM events),
     mx AS (SELECT k, max(ts) AS top FROM sl GROUP BY 1),
     wm AS (SELECT k, max(top) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 1 day AS lim FROM mx)"""
 
