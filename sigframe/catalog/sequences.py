@@ -75,7 +75,10 @@ def _(spark, d):
     return q.visit_scan(steps, ["place", "state"])
 
 
-@query("loop_state_hash", "W26")
+@query("loop_state_hash", "W26", oracle("orders_seq",
+    "b AS (SELECT seq, flatten(list([CAST(ord AS UTINYINT), CAST(pattern % 4 AS UTINYINT)] ORDER BY ord) FILTER (pattern % 4 <> 0)) AS bytes FROM orders_seq GROUP BY 1)",
+    """SELECT seq, CAST(list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(coalesce(bytes, []), lambda x: CAST(x AS UHUGEINT))),
+    lambda h, x: CAST(xor(CAST(h AS UBIGINT), CAST(x AS UBIGINT)) AS UHUGEINT) * 1099511628211::UHUGEINT % 18446744073709551616::UHUGEINT) AS VARCHAR) AS hash FROM b"""))
 def _(spark, d):
     o = v.orders_seq(spark, d).withColumn("count", F.col("pattern") % 4)
     pairs = F.array_sort(F.collect_list(F.struct(F.col("ord").alias("channel"), "count")))  # at most one row per channel

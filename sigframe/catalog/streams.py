@@ -72,13 +72,31 @@ def _(spark, d):
     return out.withColumn("y", r6(F.col("y")))
 
 
-@query("gain_control", "T5")
+_AGC = """rec(stream, seq, y, gain, held, attack, quiet, at_n, clips) AS (
+    SELECT DISTINCT signal_id, CAST(-1 AS BIGINT), CAST(0 AS BIGINT), 1024, 1024, 0, 0, 0, 0 FROM sig UNION ALL
+    SELECT stream, seq, y, CASE WHEN fin THEN h2 ELSE g2 END, h2, a3, q2, CASE WHEN fin THEN 0 ELSE at2 END, CASE WHEN fin THEN 0 ELSE c2 END FROM (
+      SELECT *, CASE WHEN fin AND g2 >= held AND held < 1024 THEN CASE WHEN quiet + 8 >= 16 THEN held + 1 ELSE held END WHEN fin THEN g2 ELSE held END AS h2,
+        CASE WHEN fin AND g2 >= held AND held < 1024 THEN CASE WHEN quiet + 8 >= 16 THEN 0 ELSE quiet + 8 END WHEN fin THEN 0 ELSE quiet END AS q2 FROM (
+        SELECT *, at2 = 8 AS fin, CASE WHEN at2 = 8 AND c2 = 0 THEN 0 ELSE a2 END AS a3 FROM (
+          SELECT stream, seq, y, held, quiet, at_n + 1 AS at2, clips + CASE WHEN abs(y) > 20000 THEN 1 ELSE 0 END AS c2, gain - CASE WHEN abs(y) > 20000 AND attack + 1 >= 4 THEN 1 ELSE 0 END AS g2,
+            CASE WHEN abs(y) > 20000 THEN CASE WHEN attack + 1 >= 4 THEN attack + 1 - 4 ELSE attack + 1 END ELSE attack END AS a2 FROM (
+            SELECT r.stream, s.n AS seq, (CAST(round(s.x * 30000) AS BIGINT) * r.gain) >> 10 AS y, r.gain, r.held, r.attack, r.quiet, r.at_n, r.clips
+            FROM rec r JOIN sig s ON s.signal_id = r.stream AND s.n = r.seq + 1)))))"""
+
+
+@query("gain_control", "T5", oracle("sig", _AGC, "SELECT stream, seq, y FROM rec WHERE seq >= 0"))
 def _(spark, d):
     s = _samples(spark, d).select("stream", "seq", F.round(F.col("x") * 30000).cast("long").alias("x"))
-    return append_to_table(so.gain_control(s, 20000, 8, 16), "gain")
+    return append_to_table(so.gain_control(s, 20000, 8, 16, "gentle"), "gain")
 
 
-@query("follower", "T6")
+_FOLLOW = """lv AS (SELECT signal_id AS stream, n AS seq, x, CASE WHEN x = 0 THEN 0 ELSE greatest(1 + log2(abs(x)) / 32, 0) END AS v FROM sig),
+    rec(stream, seq, x, peak) AS (SELECT DISTINCT stream, CAST(-1 AS BIGINT), 0.0::DOUBLE, 0.0::DOUBLE FROM lv UNION ALL
+    SELECT l.stream, l.seq, l.x, l.v + (r.peak - l.v) * CASE WHEN r.peak <= l.v THEN 0.2::DOUBLE ELSE 0.9::DOUBLE END FROM rec r JOIN lv l ON l.stream = r.stream AND l.seq = r.seq + 1)"""
+
+
+@query("follower", "T6", oracle("sig", _FOLLOW, """SELECT stream, seq, round(peak, 6) AS peak,
+    round(x * pow(2, 32 * ((0.97::DOUBLE - greatest(peak, 0.97::DOUBLE)) * 0.5 + 0.9999999::DOUBLE - 1)), 6) + 0.0 AS y FROM rec WHERE seq >= 0"""))
 def _(spark, d):
     s = _samples(spark, d).select("stream", "seq", "x")
     out = append_to_table(so.follower(s, 0.2, 0.9, 0.97, 0.5), "follower")
