@@ -48,10 +48,10 @@ def _(spark, d):
 
 
 @query("cutoff_to_freq", "X7", """WITH f AS (SELECT p_partkey, p_partkey % 128 AS cut, least(greatest(110 * pow(2, 0.25::DOUBLE + (p_partkey % 128) * (p_size + 256) / 12288.0::DOUBLE), 120), 20000, 22050) AS hz FROM part)
-    SELECT p_partkey, round(hz, 6) AS hz, CAST(round(least(greatest((log2(hz / 110) - 0.25::DOUBLE) * 24, 0), 127)) AS BIGINT) AS back FROM f""")
+    SELECT p_partkey, round(hz, 6) AS hz, CAST(round(least(greatest((log2(hz * 1.01::DOUBLE / 110) - 0.25::DOUBLE) * 24, 0), 127)) AS BIGINT) AS back FROM f""")
 def _(spark, d):
     hz = pitch.cutoff_to_freq(F.col("p_partkey") % 128, F.col("p_size"), 44100)
-    return v.table(spark, d, "part").select("p_partkey", r6(hz).alias("hz"), pitch.freq_to_cutoff(hz).alias("back"))
+    return v.table(spark, d, "part").select("p_partkey", r6(hz).alias("hz"), pitch.freq_to_cutoff(hz * 1.01).alias("back"))
 
 
 _PAIR = "pr AS (SELECT item, bin, max(re) FILTER (engine = 0) AS ar, max(im) FILTER (engine = 0) AS ai, max(re) FILTER (engine = 1) AS br, max(im) FILTER (engine = 1) AS bi FROM frames GROUP BY 1, 2)"
@@ -225,7 +225,7 @@ def _(spark, d):
 
 @query("format_clock", "X20", """WITH t AS (SELECT event_id, value - 20 AS s, event_id % 300 AS o, user_id AS r FROM events)
     SELECT event_id, lpad(CAST(CAST(floor(greatest(s, 0)) AS BIGINT) // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(CAST(floor(greatest(s, 0)) AS BIGINT) % 60 AS VARCHAR), 2, '0') AS clock,
-    'Ord:' || lpad(CAST(o AS VARCHAR), 3, '0') || ' Row:' || lpad(CAST(r AS VARCHAR), 3, '0') AS position FROM t""")
+    'Ord:' || lpad(CAST(o AS VARCHAR), 3, '0') || ' Row:' || lpad(CAST(r AS VARCHAR), CAST(greatest(3, length(CAST(r AS VARCHAR))) AS INTEGER), '0') AS position FROM t""")
 def _(spark, d):
     e = v.table(spark, d, "events")
     return e.select(

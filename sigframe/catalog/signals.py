@@ -33,9 +33,9 @@ def _(spark, d):
 
 
 @query("dc_offset", "G3", oracle("sig", """SELECT signal_id, channel, round(sum(x), 6) + 0.0 AS sum_x,
-    round(avg(x), 6) + 0.0 AS dc FROM sig GROUP BY ALL"""))
+    round(avg(x), 9) + 0.0 AS dc FROM sig GROUP BY ALL"""))
 def _(spark, d):
-    return st.dc_offset(v.sig(spark, d)).withColumns({"sum_x": r6(F.col("sum_x")), "dc": r6(F.col("dc"))})
+    return st.dc_offset(v.sig(spark, d)).withColumns({"sum_x": r6(F.col("sum_x")), "dc": r6(F.col("dc"), 9)})
 
 
 @query("remove_dc", "G3", oracle("sig",

@@ -42,9 +42,9 @@ def line_ending(c: Column) -> Column:
 
 def normalise_newlines(c: Column) -> Column:
     """One `\\n` per line ending of the detected kind; stray other endings and NULs become spaces; trailing NULs go."""
-    body = F.regexp_replace(c, "\x00+$", "")
+    body = F.rtrim(c, F.lit("\x00"))
     kind = line_ending(body)
-    crlf = F.regexp_replace(body, r"\r\n", "\n")
+    crlf = F.replace(body, F.lit("\r\n"), F.lit("\n"))
     cr = F.translate(F.translate(body, "\n", " "), "\r", "\n")
     lf = F.translate(body, "\r", " ")
     mixed = F.translate(body, "\r", "\n")

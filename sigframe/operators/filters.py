@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -37,28 +38,29 @@ class Section:
     direct: float = 0.0
 
 
-def _recur(u: np.ndarray, s: Section, y1: float, y2: float) -> np.ndarray:
-    """y[n] = u[n] + a1 y[n-1] + a2 y[n-2]: 64 samples at a time as a matrix product, then the states in order."""
-    if s.a1 == 0 and s.a2 == 0:
-        return u
-    n = len(u)
-    pad = -n % _SUB
-    rows = np.pad(u, (0, pad)).reshape(-1, _SUB)
+@lru_cache(maxsize=64)
+def _responses(a1: float, a2: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-sample answers of y[n] = u[n] + a1 y[n-1] + a2 y[n-2]: to the input (as a matrix), to y[-1] and to y[-2]."""
     g = np.zeros(_SUB + 2)  # impulse response, g[2] is at time 0
     g[2] = 1.0
     for i in range(3, _SUB + 2):
-        g[i] = s.a1 * g[i - 1] + s.a2 * g[i - 2]
+        g[i] = a1 * g[i - 1] + a2 * g[i - 2]
     i, j = np.indices((_SUB, _SUB))
     toeplitz = np.where(i >= j, g[np.maximum(i - j, 0) + 2], 0.0)
-    z = rows @ toeplitz.T
-    h1 = s.a1 * g[2:] + s.a2 * g[1:-1]  # answer to y[-1] = 1
-    h2 = s.a2 * g[2:]  # answer to y[-2] = 1
-    starts = np.empty((len(rows), 2))
-    for k in range(len(rows)):
+    return toeplitz.T.copy(), a1 * g[2:] + a2 * g[1:-1], a2 * g[2:]
+
+
+def _recur(u: np.ndarray, s: Section, y1: float, y2: float) -> np.ndarray:
+    """y[n] = u[n] + a1 y[n-1] + a2 y[n-2]: 64 samples at a time as a matrix product, then the states in order."""
+    if s.a1 == 0 and s.a2 == 0:
+        return u
+    n = len(u)
+    into, h1, h2 = _responses(s.a1, s.a2)
+    z = np.pad(u, (0, -n % _SUB)).reshape(-1, _SUB) @ into
+    starts = np.empty((len(z), 2))
+    for k, (last, prev) in enumerate(z[:, [-1, -2]].tolist()):
         starts[k] = (y1, y2)
-        last = z[k, -1] + h1[-1] * y1 + h2[-1] * y2
-        prev = z[k, -2] + h1[-2] * y1 + h2[-2] * y2
-        y1, y2 = last, prev
+        y1, y2 = last + h1[-1] * y1 + h2[-1] * y2, prev + h1[-2] * y1 + h2[-2] * y2
     return (z + starts[:, :1] * h1 + starts[:, 1:] * h2).reshape(-1)[:n]
 
 

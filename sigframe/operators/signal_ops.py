@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from sigframe.operators.signal_stats import attach_by_block, lengths
 from sigframe.plans.blocked import BLOCK, block_of, core_only, halo_window, positions, running, shifted, with_halo
@@ -361,23 +362,18 @@ def folded_histogram(df: DataFrame, rate: int, reference: float = 440.0, size: i
 
 def smooth_circular(hist: DataFrame, bins: int = OCTAVE_BINS, width: int = 4) -> DataFrame:
     """Circular smoothing in whole numbers: for k = width .. 0, v = v div 2 + (h[i-k] + h[i+k]) div 2, starting from
-    the bin itself. A signal's histogram is one array of `bins` numbers; missing bins are 0."""
-    table = F.map_from_entries(F.collect_list(F.struct(F.col("bin").cast("int"), F.col("cost").cast("long"))))
-    h = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.coalesce(F.element_at(F.col("_t"), i), F.lit(0).cast("long")))
-    folded = hist.groupBy("signal_id").agg(table.alias("_t")).select("signal_id", h.alias("h"))
-
-    def half(c: Column) -> Column:
-        return F.shiftright(c, 1)  # costs are never negative
-
-    def smooth(i: Column) -> Column:
-        at = lambda o: F.get("h", F.pmod(i + o, F.lit(bins)))
-        v = at(0)
-        for k in range(width, -1, -1):
-            v = half(v) + half(at(-k) + at(k))
-        return v
-
-    out = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), smooth)
-    return folded.select("signal_id", F.posexplode(out).alias("bin", "cost"))
+    the bin itself. All bins of a signal must be present, as `folded_histogram` makes them; the first and last few
+    are copied around the circle, so a window sees `bins` + 2 `width` rows per signal."""
+    b = F.col("bin")
+    spots = F.when(b < width, F.array(b, b + bins)).when(b >= bins - width, F.array(b, b - bins)).otherwise(F.array(b))
+    ring = hist.select("signal_id", F.explode(spots).alias("bin"), F.col("cost").cast("long").alias("cost"))
+    w = W.partitionBy("signal_id").orderBy("bin")
+    near = {f"_{o}": (F.lag("cost", -o) if o < 0 else F.lead("cost", o)).over(w) for o in range(-width, width + 1)}
+    wide = ring.withColumns(near).filter(b.between(0, bins - 1))
+    v = F.col("cost")
+    for k in range(width, -1, -1):
+        v = F.shiftright(v, 1) + F.shiftright(F.col(f"_{-k}") + F.col(f"_{k}"), 1)  # costs are never negative
+    return wide.select("signal_id", "bin", v.alias("cost"))
 
 
 def argmin_bin(hist: DataFrame, target_note: int = 0) -> DataFrame:
