@@ -47,3 +47,18 @@ def materialize(df: DataFrame, label: str = "cut") -> DataFrame:
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# For inputs that are already hash-partitioned by signal: windows and aggregates by (signal, block) then get their own
+# exchange instead of staying in the signal's partition.
+SKEW_SAFE = {
+    "spark.sql.requireAllClusterKeysForDistribution": "true",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+
+
+def apply_settings(spark: SparkSession, settings: dict[str, str] = SKEW_SAFE) -> None:
+    for k, v in settings.items():
+        spark.conf.set(k, v)
