@@ -13,13 +13,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from sigframe.plans.blocked import BLOCK, block_of, core_only, halo_window, islands, with_halo
+from sigframe.plans.blocked import BLOCK, block_of, islands, with_halo
 
 MAD_FLOOR = 1e-12
 KEYS = ["signal_id", "channel"]
 AR_BLOCK = 4096
+RESIDUAL_BLOCK = 16384
 
 
 @dataclass(frozen=True)
@@ -71,16 +71,65 @@ class CleanupSettings:
         return [cls(m, v) for v in CleanupVersion for m in CleanupMode if m is not CleanupMode.OFF]
 
 
-def robust_residual(df: DataFrame, window: int, size: int = BLOCK) -> DataFrame:
+def _running_median(x: np.ndarray, h: int) -> np.ndarray:
+    """Median over [i - h, i + h], cut short at the ends; NaN is ignored. Missing values sort last as infinity, and
+    the number of values present picks the middle."""
+    n, w = len(x), 2 * h + 1
+    there = ~np.isnan(x)
+    padded = np.pad(np.where(there, x, np.inf), h, constant_values=np.inf)
+    upto = np.concatenate(([0], np.cumsum(there)))
+    at = np.arange(n)
+    have = upto[np.minimum(at + h + 1, n)] - upto[np.maximum(at - h, 0)]
+    view = np.lib.stride_tricks.sliding_window_view(padded, w)
+    out = np.empty(n)
+    for a in range(0, n, 4096):
+        k = have[a : a + 4096]
+        if (k == w).all():
+            out[a : a + 4096] = np.partition(view[a : a + 4096], h, axis=1)[:, h]
+            continue
+        rows, i = np.sort(view[a : a + 4096], axis=1), np.arange(len(k))
+        middle = (rows[i, np.maximum(k - 1, 0) // 2] + rows[i, np.minimum(k // 2, w - 1)]) / 2
+        out[a : a + 4096] = np.where(k > 0, middle, np.nan)
+    return out
+
+
+def robust_residual(df: DataFrame, window: int, size: int = RESIDUAL_BLOCK) -> DataFrame:
     """z = |x - med| / max(MAD, 1e-12): `med` is the median over a centred window of odd length, MAD the median
-    over the same window of every sample's distance to its own median. Windows are cut short at the ends."""
+    over the same window of every sample's distance to its own median. Windows are cut short at the ends.
+
+    A moving median is a numeric kernel: a framed `percentile` rebuilds its state for every row, so blocks of samples,
+    with two half windows of their neighbours on either side, go to numpy instead. Returns the keys, `n`, `x`, `med`,
+    `mad`, `z`.
+    """
     h = window // 2
-    w = halo_window(KEYS, ["n"]).rowsBetween(-h, h)
-    out = with_halo(df, "n", 2 * h, 2 * h, max(size, 4 * h))
-    out = out.withColumn("med", F.percentile("x", F.lit(0.5)).over(w))
-    out = out.withColumn("_dev", F.abs(F.col("x") - F.col("med")))
-    out = out.withColumn("mad", F.percentile("_dev", F.lit(0.5)).over(w))
-    return core_only(out.withColumn("z", F.col("_dev") / F.greatest("mad", F.lit(MAD_FLOOR))).drop("_dev"))
+    size = max(size, 4 * h)
+    pairs = F.array_sort(F.collect_list(F.struct("n", "x")))
+    blocks = (
+        with_halo(df.select(*KEYS, "n", F.col("x").cast("double").alias("x")), "n", 2 * h, 2 * h, size)
+        .groupBy(*KEYS, "_block")
+        .agg(pairs.alias("_p"), F.min(F.when(F.col("_core"), F.col("n"))).alias("_first"), F.count_if("_core").cast("int").alias("_size"))
+        .filter(F.col("_size") > 0)
+        .withColumns({"_xs": F.transform("_p", lambda p: p["x"]), "_lead": (F.col("_first") - F.element_at("_p", 1)["n"]).cast("int")})
+    )
+
+    @F.pandas_udf("struct<med:array<double>,mad:array<double>,z:array<double>>")
+    def kernel(xs: pd.Series, lead: pd.Series, count: pd.Series) -> pd.DataFrame:
+        rows = []
+        for a, k, c in zip(xs, lead, count):
+            x = np.array(a, dtype=float)
+            med = _running_median(x, h)
+            dev = np.abs(x - med)
+            mad = _running_median(dev, h)
+            own = slice(k, k + c)
+            rows.append((med[own], mad[own], dev[own] / np.maximum(mad[own], MAD_FLOOR)))
+        return pd.DataFrame(rows, columns=["med", "mad", "z"])
+
+    done = blocks.withColumn("_k", kernel("_xs", "_lead", "_size"))
+    own = F.slice("_xs", F.col("_lead") + 1, F.col("_size"))
+    cells = F.arrays_zip(own.alias("x"), F.col("_k.med").alias("med"), F.col("_k.mad").alias("mad"), F.col("_k.z").alias("z"))
+    flat = done.select(*KEYS, "_first", F.posexplode(cells).alias("_j", "_c"))
+    known = {c: F.when(~F.isnan(F.col(f"_c.{c}")), F.col(f"_c.{c}")).alias(c) for c in ("med", "mad", "z")}
+    return flat.select(*KEYS, (F.col("_first") + F.col("_j")).alias("n"), F.col("_c.x").alias("x"), *known.values())
 
 
 def hysteresis_mask(df: DataFrame, z_hi: float, z_lo: float, max_len: int, size: int = BLOCK) -> DataFrame:
@@ -101,7 +150,7 @@ def merge_regions(regions: DataFrame, pad: int, gap: int, size: int = BLOCK) ->
 
 def detect_regions(df: DataFrame, p: DetectParams, size: int = BLOCK) -> DataFrame:
     """Residual, hysteresis and merging in one go; the last region is cut at the end of the signal."""
-    z = robust_residual(df, p.window, size)
+    z = robust_residual(df, p.window)
     merged = merge_regions(hysteresis_mask(z, p.z_hi, p.z_lo, p.max_len, size), p.pad, p.merge_gap, size)
     last = df.groupBy("signal_id").agg(F.max("n").alias("_last"))
     return merged.join(last, "signal_id").withColumn("end_n", F.least("end_n", "_last")).drop("_last")
