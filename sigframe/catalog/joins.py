@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sigframe.catalog.registry import query, r6
 from sigframe.functions import cells as c
 from sigframe.operators import lookups as lk
-from sigframe.operators.clicks import CleanupMode, CleanupSettings
+from sigframe.operators.clicks import CleanupSettings
 from sigframe.operators.modules import Module, append_modules
 from sigframe.plans import views as v
 from sigframe.plans.views import oracle

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sigframe.catalog.registry import query
-from sigframe.operators import grid as g
 from sigframe.operators import sequences as q
 from sigframe.plans import views as v
 from sigframe.plans.blocked import range_bucket

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -68,4 +67,3 @@ def format_position(order: Column, row: Column) -> Column:
     return F.format_string("Ord:%03d Row:%03d", order, row)
 
 
-TWO_PI = 2.0 * math.pi

@@ -23,12 +23,20 @@ def use_rocksdb(spark: SparkSession) -> None:
         spark.conf.set(PROVIDER, ROCKSDB)
 
 
-def stage(df: DataFrame, slices: Sequence, label: str = "stage") -> str:
-    """Write the rows of each condition in turn to one folder, so that a file stream replays them in that order."""
+FILE_ROWS = 1_000_000
+
+
+def stage(df: DataFrame, slices: Sequence[str], label: str = "stage") -> tuple[str, int]:
+    """Write the rows of each condition in turn to one folder, so that a file stream replays the slices in that order.
+    Every slice gets the same number of files, about `FILE_ROWS` rows each in the largest; returns the folder and that
+    number, to be used as the files per micro-batch. Empty slices are left out."""
     path = shared_path(df.sparkSession, label)
-    for cond in slices:
-        df.filter(cond).coalesce(1).write.mode("append").parquet(path)
-    return path
+    sizes = df.agg(*[F.count_if(F.expr(c)) for c in slices]).first()
+    some = [(c, n) for c, n in zip(slices, sizes) if n]
+    files = min([-(-max(sizes) // FILE_ROWS), *[n for _, n in some]]) if some else 1
+    for cond, _ in some:
+        df.filter(cond).repartition(files).write.mode("append").parquet(path)
+    return path, files
 
 
 def replay(spark: SparkSession, path: str, schema, files_per_batch: int = 1, **options: str) -> DataFrame:

@@ -203,3 +203,14 @@ def test_follower_rises_and_falls():
     _, peaks, y = so.follower_step(0.0, x, 0.5, 0.9, 0.6, 0.0)
     assert peaks.tolist() == pytest.approx([0.0, 0.5, 0.75, 0.675, 0.6075])
     assert y[1] == pytest.approx(2 ** (32 * -1e-7))
+
+
+def test_staged_slices_have_equal_file_counts(spark, monkeypatch):
+    from sigframe.streaming import runs
+
+    monkeypatch.setattr(runs, "FILE_ROWS", 100)
+    df = spark.range(700).withColumn("k", F.when(F.col("id") < 600, 0).otherwise(2))
+    path, files = runs.stage(df, ["k = 0", "k = 1", "k = 2"])
+    assert files == 6 and spark.read.parquet(path).count() == 700
+    names = spark.read.parquet(path).select(F.input_file_name()).distinct().count()
+    assert names == 12
