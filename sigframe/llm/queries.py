@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sigframe.session import shared_path
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +29,46 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+@query("op1_ppm_language")
+def _op1(spark: SparkSession, d: str) -> DataFrame:
+    from sigframe.llm import language_id
+
+    docs = table(spark, d, "documents")
+    model = language_id.learn(docs.filter(~language_id.held_out()))
+    out = language_id.identify(docs, model)
+    return out.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "code_bits")
+
+
+@query("op2_elias_fano_tokens")
+def _op2(spark: SparkSession, d: str) -> DataFrame:
+    import public_tokenizers
+
+    from sigframe.llm import token_store
+
+    path = shared_path(spark, "tokens")
+    spec = Path(public_tokenizers.path("word_bpe_49k.json")).read_text(encoding="utf-8")
+    token_store.write_store(table(spark, d, "documents"), path, spec, by_word=True)
+    return token_store.read_store(spark, path)
+
+
+@query("op3_mcd_quality_rules")
+def _op3(spark: SparkSession, d: str) -> DataFrame:
+    from sigframe.llm.quality_rules import apply_rules
+
+    return apply_rules(table(spark, d, "documents"))
+
+
+@query("op4_fourier_quality")
+def _op4(spark: SparkSession, d: str) -> DataFrame:
+    from sigframe.llm import quality_classifier
+    from sigframe.llm.language_id import held_out
+
+    docs = table(spark, d, "documents")
+    model = quality_classifier.fit(docs, table(spark, d, "labels").filter(~held_out()))
+    predicted = (F.col("score") >= quality_classifier.THRESHOLD).cast("int")
+    return quality_classifier.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", predicted.alias("predicted"))
+
+
 @query("op5_substring_dedup")
 def _op5(spark: SparkSession, d: str) -> DataFrame:
     from sigframe.llm.repeated_phrases import remove_repeats
@@ -33,6 +76,24 @@ def _op5(spark: SparkSession, d: str) -> DataFrame:
     return remove_repeats(table(spark, d, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+OP6 = """
+WITH docs AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+items AS (SELECT item_id, w, least(5, len(w)) AS width FROM (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL) WHERE len(w) > 0),
+item_shingles AS (SELECT DISTINCT item_id, width, array_to_string(w[i : i + width - 1], ' ') AS s FROM (SELECT item_id, w, width, unnest(range(1, len(w) - width + 2)) AS i FROM items)),
+sizes AS (SELECT item_id, width, count(*) AS n FROM item_shingles GROUP BY ALL),
+doc_shingles AS (SELECT DISTINCT doc_id, width, array_to_string(w[i : i + width - 1], ' ') AS s FROM (SELECT doc_id, w, width, unnest(range(1, len(w) - width + 2)) AS i FROM docs, (SELECT DISTINCT width FROM items))),
+shared AS (SELECT doc_id, item_id, count(*) AS n_shared FROM doc_shingles JOIN item_shingles USING (width, s) GROUP BY ALL)
+SELECT doc_id, item_id, CAST(n AS INTEGER) AS n_shingles, CAST(n_shared AS INTEGER) AS n_shared, n_shared / n AS containment
+FROM shared JOIN sizes USING (item_id) WHERE 5 * n_shared >= 4 * n"""
+
+
+@query("op6_benchmark_containment", OP6)
+def _op6(spark: SparkSession, d: str) -> DataFrame:
+    from sigframe.llm.decontaminate import contained
+
+    return contained(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 @query("op7_simhash_dedup")
 def _op7(spark: SparkSession, d: str) -> DataFrame:
     from sigframe.llm.simhash import near_duplicates
@@ -55,3 +116,54 @@ def _op8(spark: SparkSession, d: str) -> DataFrame:
 
     out = interleave(table(spark, d, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op9_piece_viterbi")
+def _op9(spark: SparkSession, d: str) -> DataFrame:
+    import public_tokenizers
+
+    from sigframe.llm import piece_tokenizer
+
+    return piece_tokenizer.encode(table(spark, d, "documents"), Path(public_tokenizers.path("piece_bpe_32k.model")).read_bytes())
+
+
+TOOLS = {
+    "search": {
+        "type": "object",
+        "required": ["query", "limit"],
+        "properties": {"query": {"type": "string", "minLength": 3}, "limit": {"type": "integer", "minimum": 1, "maximum": 40}},
+        "additionalProperties": False,
+    },
+    "quote": {"type": "object", "required": ["words"], "properties": {"words": {"type": "array", "items": {"type": "string", "maxLength": 12}}}},
+    "count": {"type": "object", "required": ["of", "unit"], "properties": {"of": {"type": "string"}, "unit": {"enum": ["word", "line"]}}},
+}
+
+
+def tool_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Conversations seen as tool traffic: an assistant's turn calls a tool (by checksum of its text, with arguments out of its words) under an
+    identifier made of its turn, and any other turn is the result of the turn before it. Some calls depend on the call before, some
+    on the next one, and some arguments are cut off or name no known tool."""
+    m = messages.withColumns({"text": F.coalesce("text", F.lit("")), "turn": F.col("turn").cast("long")})
+    m = m.withColumns({"h": F.crc32(F.encode("text", "UTF-8")), "w": F.split("text", " ")})
+    tool = F.element_at(F.array(*[F.lit(t) for t in (*TOOLS, "forget")]), (F.col("h") % 4 + 1).cast("int"))
+    head = F.array_join(F.slice("w", 1, 3), " ")
+    made = (
+        F.when(tool == "search", F.to_json(F.struct(head.alias("query"), (F.size("w") % 50).alias("limit"))))
+        .when(tool == "quote", F.to_json(F.struct(F.slice("w", 1, 4).alias("words"))))
+        .otherwise(F.to_json(F.struct(F.when(F.size("w") % 5 == 0, "page").otherwise("word").alias("unit"), head.alias("of"))))
+    )
+    made = F.when(F.col("h") % 11 == 0, F.substring(made, 1, 9)).otherwise(made)
+    name = lambda turn: F.concat(F.lit("c"), turn.cast("string"))
+    before, after = F.array(name(F.col("turn") - 2)), F.array(name(F.col("turn") + 2))
+    depends = F.when((F.col("h") % 3 == 0) & (F.col("turn") >= 3), before).when(F.col("h") % 13 == 0, after).otherwise(F.array().cast("array<string>"))
+    is_call = F.coalesce(F.col("role") == "assistant", F.lit(False))
+    calls = m.filter(is_call).select("conv_id", "turn", name(F.col("turn")).alias("call_id"), tool.alias("name"), made.alias("arguments"), depends.alias("depends_on"))
+    results = m.filter(~is_call).select("conv_id", "turn", name(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
+    return calls, results
+
+
+@query("op10_tool_calls")
+def _op10(spark: SparkSession, d: str) -> DataFrame:
+    from sigframe.llm.tool_calls import link
+
+    return link(*tool_messages(table(spark, d, "conversations")), TOOLS)

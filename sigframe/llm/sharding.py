@@ -22,7 +22,7 @@ from sigframe.session import materialize
 SHARDS, SEED, BUCKETS = 24, "42", 1024
 
 
-def _numbered(rows: DataFrame, keys: list[str], bucket: Column, order: list[str], out: str) -> DataFrame:
+def numbered(rows: DataFrame, keys: list[str], bucket: Column, order: list[str], out: str) -> DataFrame:
     """0-based positions along `order` inside `keys`; `bucket` must not decrease along `order`."""
     rows = rows.withColumn("_bucket", bucket)
     counts = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
@@ -57,10 +57,10 @@ def interleave(
     narrow = materialize(narrow, "narrow")
     per = narrow.groupBy("source").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("source", "_s")
     bucket = F.floor(F.conv(F.substring("order", 1, 6), 16, 10).cast("long") * BUCKETS / F.lit(1 << 24)).cast("int")
-    ranked = _numbered(narrow, ["source"], bucket, ["order", "doc_id", "size", "text_crc32"], "rank")
+    ranked = numbered(narrow, ["source"], bucket, ["order", "doc_id", "size", "text_crc32"], "rank")
     ranked = ranked.join(per, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     placed = ranked.withColumn("part", (F.col("rank") + F.lit(0.5)) / F.col("n")).drop("rank", "n")
-    ordered = _numbered(placed, [], F.floor(F.col("part") * BUCKETS).cast("int"), ["part", "source", "order", "doc_id", "size", "text_crc32"], "place")
+    ordered = numbered(placed, [], F.floor(F.col("part") * BUCKETS).cast("int"), ["part", "source", "order", "doc_id", "size", "text_crc32"], "place")
     total = narrow.agg(F.count(F.lit(1)).alias("total"))
     return (
         ordered.crossJoin(total)
