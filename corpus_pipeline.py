@@ -1,34 +1,61 @@
-"""A corpus pipeline out of the operators in `sigframe.llm`: each stage's table is written and reread as the next one's documents."""
+"""A corpus pipeline out of the operators in `sigframe.llm`.
+
+Each stage's table is written as Parquet and reread as the next one's documents. All but the last return the columns of documents.
+A document without an id takes part in every stage but is never dropped as a copy or as contaminated, since it cannot be named.
+"""
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sigframe.llm import decontaminate, piece_tokenizer, quality_classifier
+from sigframe.llm.language_id import held_out
 from sigframe.llm.repeated_phrases import remove_repeats
 from sigframe.llm.simhash import near_duplicates
 from sigframe.session import materialize
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier scores below its threshold go. It learns from labelled rows that are not held out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out())
+    model = quality_classifier.fit(docs, labels)
+    scored = quality_classifier.score(docs, model, keep=True)
+    return scored.filter(F.col("score") >= quality_classifier.THRESHOLD).select("row.*")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component stays, the one with the smallest id."""
-    found = near_duplicates(docs)
-    stays = found.filter("component_id = doc_id").select(F.col("doc_id").alias("_id"))
-    return docs.join(stays, docs["doc_id"] == stays["_id"], "left_semi").select(*docs.columns)
+    copies = near_duplicates(docs).filter("component_id <> doc_id").select("doc_id")
+    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages go; a document of which nothing is left goes."""
-    cut = remove_repeats(docs).filter("n_removed > 0").select(F.col("doc_id").alias("_id"), "kept_text")
-    text = F.coalesce("kept_text", "text")
-    chars = F.when(F.col("_id").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long"))
+    """Words of repeated passages go; a document of which no word is left goes."""
+    out = remove_repeats(docs, keep=True).filter("n_removed = 0 or n_removed < n_words")
+    text = F.coalesce("kept_text", "row.text")
+    chars = F.when(F.col("kept_text").isNull(), F.col("row.n_chars")).otherwise(F.length("kept_text").cast("long"))
     new = {"text": text.alias("text"), "n_chars": chars.alias("n_chars")}
-    joined = docs.join(cut, docs["doc_id"] == cut["_id"], "left").filter("_id is null or kept_text <> ''")
-    return joined.select(*[new.get(c, F.col(c)) for c in docs.columns])
+    return out.select(*[new.get(c, F.col(f"row.{c}")) for c in docs.columns])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    found = decontaminate.contained(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every document: doc_id, ids, n_ids, exact."""
+    import public_tokenizers
+
+    return piece_tokenizer.encode(docs, Path(public_tokenizers.path("piece_bpe_32k.model")).read_bytes())
 
 
-STAGES = [("near_dedup", near_dedup), ("substring_dedup", substring_dedup)]
-ORACLE_SQL = None
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("decontamination", decontamination), ("tokens", tokens)]
+ORACLE_SQL = None  # SQL expresses neither the fit nor the automata; tests/llm compares with a plain version
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

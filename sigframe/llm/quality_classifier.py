@@ -174,16 +174,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """One row per input row: doc_id, score (0 to 1); with `keep` the input's columns, in `row`, and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = docs.columns if keep else [id_col]
+    text = names.index(text_col) if keep else 1
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch):
-                got = pa.array(shared.value.scores(statistics(*text_buffers(part.column(1)))))
-                yield pa.record_batch([part.column(0), got], ["row" if keep else "doc_id", "score"])
-
-    text = F.col(text_col).cast("string").alias("text")
-    if keep:
-        rows = docs.select(F.struct(*docs.columns).alias("row"), text)
-        return rows.mapInArrow(scores, f"row {rows.schema['row'].dataType.simpleString()}, score double")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text)
-    return rows.mapInArrow(scores, "doc_id long, score double")
+            for part in pieces(batch, text):
+                got = pa.array(shared.value.scores(statistics(*text_buffers(part.column(text)))))
+                yield pa.record_batch([*part.columns[: len(names)], got], [*part.schema.names[: len(names)], "score"])
+
+    columns = [F.col(c).cast("long").alias("doc_id") if not keep else F.col(c).alias(f"c{i}") for i, c in enumerate(names)]
+    rows = docs.select(*columns, *[] if keep else [F.col(text_col).cast("string").alias("text")])
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[: len(names)])
+    out = rows.mapInArrow(scores, f"{kind}, score double")
+    return out.select(F.struct(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)]).alias("row"), "score") if keep else out

@@ -187,41 +187,55 @@ class _Shard:
         return out
 
 
-RESULT = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"
+_FIELDS = [pa.field("n_words", pa.int64()), pa.field("n_removed", pa.int64()), pa.field("kept_text", pa.string()), pa.field("kept_sha256", pa.string())]
+RESULT = "n_words long, n_removed long, kept_text string, kept_sha256 string"
 
 
-def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a shard, its phrases first, then its texts: one result per text."""
-    at, shard = None, _Shard()
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    names = ["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"]
-    for batch in batches:
-        rows, held = [], 0
-        for number, kind, doc_id, text, lead, phrase in zip(*(c.to_pylist() if i in (0, 1, 2, 4) else c for i, c in enumerate(batch.columns))):
-            if number != at:
-                at, shard = number, _Shard()
-            if kind == 0:
-                shard.add(doc_id, text.as_py(), lead, phrase.as_py())
-                continue
-            words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
-            gone = shard.covered(doc_id, words)
-            kept = words if gone is None else [w for w, g in zip(words, gone.tolist()) if not g]
-            joined = b" ".join(kept)
-            changed = None if gone is None else joined.decode("utf-8", "surrogatepass")
-            rows.append((doc_id, len(words), len(words) - len(kept), changed, hashlib.sha256(joined).hexdigest()))
-            held += len(joined)
-            if held > 8 << 20:
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-                rows, held = [], 0
-        if rows:
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _locate(carried: list[int]):
+    """Rows of a shard, its phrases first, then its texts -> one result per text, after the columns `carried`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, shard = None, _Shard()
+        for batch in batches:
+            rows, places, held = [], [], 0
+
+            def out() -> pa.RecordBatch:
+                own = [batch.column(i).take(pa.array(places)) for i in carried]
+                new = [pa.array(c, f.type) for c, f in zip(zip(*rows), _FIELDS)]
+                return pa.record_batch([*own, *new], [*(batch.schema.names[i] for i in carried), *(f.name for f in _FIELDS)])
+
+            numbers, kinds, ids, texts, leads, phrases = (c.to_pylist() if i in (0, 1, 2, 4) else c for i, c in enumerate(batch.columns[:6]))
+            for place, (number, kind, doc_id, text, lead, phrase) in enumerate(zip(numbers, kinds, ids, texts, leads, phrases)):
+                if number != at:
+                    at, shard = number, _Shard()
+                if kind == 0:
+                    shard.add(doc_id, text.as_py(), lead, phrase.as_py())
+                    continue
+                words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
+                gone = shard.covered(doc_id, words)
+                kept = words if gone is None else [w for w, g in zip(words, gone.tolist()) if not g]
+                joined = b" ".join(kept)
+                changed = None if gone is None else joined.decode("utf-8", "surrogatepass")
+                rows.append((len(words), len(words) - len(kept), changed, hashlib.sha256(joined).hexdigest()))
+                places.append(place)
+                held += len(joined)
+                if held > 8 << 20:
+                    yield out()
+                    rows, places, held = [], [], 0
+            if rows:
+                yield out()
+
+    return run
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_text (kept words joined by a space; null where nothing is
-    removed, so that an unchanged text is not copied), kept_sha256 (of the kept words joined by a space)."""
+    removed, so that an unchanged text is not copied), kept_sha256 (of the kept words joined by a space). With `keep` also a
+    struct `row` of the input's columns."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    others = [c for c in docs.columns if keep and c not in (id_col, text_col)]
+    extra = [F.col(c).alias(f"c{i}") for i, c in enumerate(others)]
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *extra)
     named = docs.filter("doc_id is not null and text is not null")
     anchors = materialize(named.mapInArrow(_anchors, "doc_id long, anchor long"), "anchors")
     twice = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor")
@@ -239,7 +253,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     phrases = materialize(found.mapInArrow(_phrases, "anchor long, first_doc long, core string, lead int, phrase string").distinct(), "phrases")
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shard = F.pmod(F.xxhash64("doc_id"), F.lit(8 * parts)).cast("int").alias("shard")
+    shard = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("shard")
     where = (
         stretches.mapInArrow(_stretch_anchors, "doc_id long, anchor long")
         .groupBy("anchor", shard)
@@ -250,6 +264,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .filter("hi > first_doc")
         .select("shard", F.lit(0).alias("kind"), F.col("first_doc").alias("doc_id"), F.col("core").alias("text"), "lead", "phrase")
     )
-    texts = docs.select(shard, F.lit(1).alias("kind"), "doc_id", "text", F.lit(None).cast("int").alias("lead"), F.lit(None).cast("string").alias("phrase"))
-    rows = sent.unionByName(texts).repartition(parts, "shard").sortWithinPartitions("shard", "kind")
-    return rows.mapInArrow(_locate, RESULT)
+    own = [f"c{i}" for i in range(len(others))]
+    texts = docs.select(shard, F.lit(1).alias("kind"), "doc_id", "text", F.lit(None).cast("int").alias("lead"), F.lit(None).cast("string").alias("phrase"), *own)
+    rows = sent.unionByName(texts, allowMissingColumns=True).repartitionById(parts, "shard").sortWithinPartitions("shard", "kind")
+    carried = ["doc_id", *["text"] * keep, *own]
+    kind = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in carried)
+    out = rows.mapInArrow(_locate([rows.columns.index(c) for c in carried]), f"{kind}, {RESULT}")
+    if not keep:
+        return out
+    names = {id_col: "doc_id", text_col: "text", **dict(zip(others, own))}
+    row = F.struct(*[F.col(names[c]).alias(c) for c in [id_col, text_col, *others]])
+    return out.select("doc_id", "n_words", "n_removed", "kept_text", "kept_sha256", row.alias("row"))

@@ -2,14 +2,14 @@
 
 Calls and results meet in a hash join on (conversation, identifier). A call's order key is (turn, hops): it is raised to that of any
 call that it depends on (one hop further), round by round until nothing changes, so a round only touches calls behind a
-dependency that comes later in the conversation. Calls that still change after more rounds than there are such calls lie on a cycle or
-behind one, and are marked. Positions are counted per conversation in blocks of turns, so a conversation with a third of all rows
+dependency that comes later in the conversation. After 4, 8, 16, ... rounds the calls that have changed are searched for cycles; calls on
+one, or behind one, are marked and stay at their own turn. Positions are counted per conversation in blocks of turns, so a conversation with a third of all rows
 is spread like any other, and each call is a row of its own; nothing gathers a whole conversation.
 
 Arguments are checked against the tool's schema (types, required and further properties, enum, bounds, items) and each call is written as canonical
 JSON: keys sorted by UTF-16 code units, no spaces, whole floats as integers.
 
-Every input row gives one row, with a status:
+Every call gives one row, which also holds its result; every other result gives one. Statuses:
   linked, no result        calls
   duplicate call           a later call with a known identifier; it is not linked and has no position
   orphan result            a result whose identifier no call has
@@ -21,6 +21,7 @@ arguments, dependencies and order are listed in `errors`, never dropped.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from typing import Any
 
@@ -36,11 +37,8 @@ _KINDS = {"object": dict, "array": list, "string": str, "boolean": bool, "null":
 
 
 def _quoted(text: str) -> str:
-    try:
-        text.encode()
-    except UnicodeEncodeError:  # a lone surrogate stays escaped
-        return json.dumps(text)
-    return json.dumps(text, ensure_ascii=False)
+    """JSON text of a string; a lone surrogate, which UTF-8 cannot hold, stays escaped."""
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", json.dumps(text, ensure_ascii=False))
 
 
 def canonical(value: Any) -> str:
@@ -135,6 +133,19 @@ def _written(tools: dict[str, dict[str, Any]]):
     return write
 
 
+def _knots(deps: DataFrame, calls: DataFrame) -> DataFrame:
+    """Those of `calls` that lie on a cycle among them or behind one: what is left when calls that depend on none of the rest go,
+    again and again."""
+    keys = ["conv_id", "call_id"]
+    left, n = materialize(calls, "knots"), -1
+    while n:
+        inner = deps.join(left.withColumnRenamed("call_id", "dep"), ["conv_id", "dep"]).select(*keys).distinct()
+        rest = materialize(left.join(inner, keys, "left_semi"), "knots")
+        n = left.join(rest, keys, "left_anti").count()
+        left = rest
+    return left
+
+
 def _ordered(calls: DataFrame) -> DataFrame:
     """Adds `at` (turn), `hop` and `found` (errors of dependencies and order) to calls with distinct identifiers."""
     keys = ["conv_id", "call_id"]
@@ -143,22 +154,30 @@ def _ordered(calls: DataFrame) -> DataFrame:
     deps = materialize(deps.join(known, ["conv_id", "dep"], "left"), "dependencies")
     lost = deps.filter("is_known is null").groupBy(*keys).agg(F.sort_array(F.collect_list(F.concat(F.lit("unknown dependency "), "dep"))).alias("lost"))
     deps = deps.filter("is_known").select(*keys, "dep")
-    order = materialize(calls.select(*keys, F.coalesce("turn", F.lit(-1).cast("long")).alias("at"), F.lit(0).cast("long").alias("hop"), F.lit(False).alias("moved")), "order")
-    rounds = 0
+    own = F.coalesce("turn", F.lit(-1).cast("long"))
+    order = materialize(calls.select(*keys, own.alias("turn"), own.alias("at"), F.lit(0).cast("long").alias("hop"), F.lit(False).alias("moved"), F.lit(False).alias("ever"), F.lit(False).alias("tied")), "order")
+    rounds, look = 0, 4
     while True:
         ahead = order.select("conv_id", F.col("call_id").alias("dep"), F.struct("at", (F.col("hop") + 1).alias("hop")).alias("after"))
         most = deps.join(ahead, ["conv_id", "dep"]).groupBy(*keys).agg(F.max("after").alias("after"))
-        own = F.struct("at", "hop")
-        step = order.drop("moved").join(most, keys, "left").withColumn("moved", F.coalesce(F.col("after") > own, F.lit(False)))
-        new = F.when(F.col("moved"), F.col("after")).otherwise(own)
-        order = materialize(step.select(*keys, new["at"].alias("at"), new["hop"].alias("hop"), "moved"), "order")
-        moving = order.filter("moved").count()
+        now = F.struct("at", "hop")
+        step = order.join(most, keys, "left").withColumn("moved", F.coalesce(~F.col("tied") & (F.col("after") > now), F.lit(False)))
+        new = F.when(F.col("moved"), F.col("after")).otherwise(now)
+        order = materialize(step.select(*keys, "turn", new["at"].alias("at"), new["hop"].alias("hop"), "moved", (F.col("ever") | F.col("moved")).alias("ever"), "tied"), "order")
         rounds += 1
-        if moving == 0 or rounds > moving + 1:
+        if order.filter("moved").isEmpty():
             break
-    tied = F.when(F.col("moved"), F.array(F.lit("dependency cycle"))).otherwise(F.array().cast("array<string>"))
+        if rounds == look:
+            look *= 2
+            knot = _knots(deps, order.filter("ever and not tied").select(*keys)).withColumn("is_knot", F.lit(True))
+            tied = F.col("tied") | F.coalesce("is_knot", F.lit(False))
+            order = order.join(knot, keys, "left").withColumn("tied", tied).drop("is_knot")
+            order = order.withColumns({"at": F.when(F.col("tied"), F.col("turn")).otherwise(F.col("at")), "hop": F.when(F.col("tied"), F.lit(0)).otherwise(F.col("hop"))})
+            order = materialize(order, "order")
+    order = order.drop("turn", "moved", "ever")
+    tied = F.when(F.col("tied"), F.array(F.lit("dependency cycle"))).otherwise(F.array().cast("array<string>"))
     out = calls.join(order, keys).join(lost, keys, "left")
-    return out.withColumn("found", F.concat(F.coalesce("lost", F.array().cast("array<string>")), tied)).drop("lost", "moved")
+    return out.withColumn("found", F.concat(F.coalesce("lost", F.array().cast("array<string>")), tied)).drop("lost", "tied")
 
 
 def _split(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -46,7 +46,11 @@ def test_substring_dedup_empty(none):
 
 
 def test_kept_text_is_null_where_nothing_goes(odd):
-    assert remove_repeats(odd).filter("(n_removed = 0) <> (kept_text is null)").isEmpty()
+    df = clashing(odd, "c0", "row", "kept_text")
+    out = remove_repeats(df, keep=True)
+    assert out.filter("(n_removed = 0) <> (kept_text is null)").isEmpty()
+    rows = out.select("row.*").select(*df.columns)
+    assert rows.count() == df.count() and rows.exceptAll(df).isEmpty()
 
 
 def _op7(df):
