@@ -6,17 +6,20 @@ An item is contained in a text if at least 4/5 of its distinct shingles occur th
 Items are partitioned by size in powers of two. An item's sketch is its bottom-k MinHash: the k shingles of smallest hash, k
 being one more than a fifth of the largest size in the partition. A text that contains the item lacks at most a fifth of its shingles, so
 it holds one of the sketch, whatever the text's length: the search looks every shingle of every text up in the sketches and
-misses nothing. Candidates are then verified on the shingles themselves.
+misses nothing. Candidates are then verified on the shingles themselves, in a second pass over the texts: reading them again costs
+less than shuffling them to their candidates.
 
 The sketch table goes to every task only while its measured size is at most `SMALL` rows; beyond that the same join shuffles. All of it
 is DataFrame and SQL functions.
 
 Nulls: rows or items without id are not compared, a null text has no words, an item without words is contained nowhere. Rows that share
-an id count as found if one of them is. Each (doc_id, item_id) found is one row.
+an id are searched as one text. Each (doc_id, item_id) found is one row.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -62,22 +65,29 @@ def contained(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_co
     count = items.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
     widths = [r.width for r in items.select("width").distinct().collect()]  # at most five numbers
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null and text is not null")
+    whole = materialize(items.select("item_id", "width", F.posexplode("shingles").alias("k", "shingle")).withColumn("hash", F.xxhash64("shingle")), "shingles")
 
-    def found(width: int) -> DataFrame:
+    def grams(width: int) -> DataFrame:
+        """Every shingle of every text."""
         words = texts.select("doc_id", _words("text").alias("words"))
-        grams = words.select("doc_id", "words", F.expr(f"explode(if(size(words) < {width}, null, sequence(0, size(words) - {width})))").alias("i"))
-        shingle = F.concat_ws(" ", *[F.col("words")[F.col("i") + k] for k in range(width)])
+        at = words.select("doc_id", "words", F.expr(f"explode(if(size(words) < {width}, null, sequence(0, size(words) - {width})))").alias("i"))
+        shingle = F.concat_ws(" ", *[F.col("words")[F.col("i") + k] for k in range(width)]).alias("shingle")
+        return at.select("doc_id", shingle).withColumn("hash", F.xxhash64("shingle"))
+
+    def found(width: int) -> DataFrame:
+        """Candidates: texts with a shingle of an item's sketch."""
         looked_up = _send(sketch.filter(F.col("width") == width).select("item_id", "hash"), count)
-        return grams.select("doc_id", F.xxhash64(shingle).alias("hash")).join(looked_up, "hash").select("doc_id", "item_id").distinct()
-
-    pairs = None
-    for width in sorted(widths):
-        pairs = found(width) if pairs is None else pairs.unionByName(found(width))
-    if pairs is None:
-        pairs = texts.limit(0).crossJoin(items.limit(0)).select("doc_id", "item_id")
-    pairs = materialize(pairs, "pairs").groupBy("doc_id").agg(F.collect_set("item_id").alias("items"))
-    near = texts.join(pairs, "doc_id").select("doc_id", F.explode("items").alias("item_id"), _words("text").alias("words"))
-    near = near.join(_send(items, count), "item_id").withColumn("own", _shingles("width"))
-    shared = near.select("doc_id", "item_id", "n_shingles", F.size(F.array_intersect("shingles", "own")).alias("n_shared"))
-    whole = shared.filter("5 * n_shared >= 4 * n_shingles").groupBy("doc_id", "item_id", "n_shingles").agg(F.max("n_shared").alias("n_shared"))
-    return whole.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
+        return grams(width).select("doc_id", "hash").join(looked_up, "hash").select("doc_id", "item_id").distinct()
+
+    def held(width: int) -> DataFrame:
+        """Which shingles of the items the texts hold, compared as strings."""
+        looked_up = _send(whole.filter(F.col("width") == width).select("item_id", "k", "hash", "shingle"), count)
+        return grams(width).join(looked_up, ["hash", "shingle"]).select("doc_id", "item_id", "k").distinct()
+
+    none = texts.limit(0).crossJoin(items.limit(0))
+    pairs = reduce(DataFrame.unionByName, map(found, widths), none.select("doc_id", "item_id"))
+    parts = reduce(DataFrame.unionByName, map(held, widths), none.select("doc_id", "item_id", F.lit(0).alias("k")))
+    pairs = materialize(pairs, "pairs")
+    shared = parts.join(pairs, ["doc_id", "item_id"], "left_semi").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).cast("int").alias("n_shared"))
+    sized = shared.join(items.select("item_id", "n_shingles"), "item_id").filter("5 * n_shared >= 4 * n_shingles")
+    return sized.select("doc_id", "item_id", "n_shingles", "n_shared", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))

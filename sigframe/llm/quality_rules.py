@@ -8,8 +8,8 @@ rows with a squared Mahalanobis distance above `CUTOFF` are rejected.
 
 Statistics are whole multiples of 1/1024, so sums of values and products are exact whole numbers, and the nearest share is cut at
 a bin of the log distance (all ties stay in). Nothing depends on the order of rows. A step aggregates (group, start, bin)
-before it shuffles, and group values meet rows by (group, salt), so a source with a third of all rows is no hot key. `FLOOR` is added to every
-standard deviation's square, since most texts have no symbols or repeats at all.
+before it shuffles, and group values meet rows by (group, salt), so a source with a third of all rows is no hot key. Most texts have no
+symbols or repeats at all, so the square of each statistic's `FLOOR`, the size of a difference that means nothing, is added to its variance.
 
 All of it is DataFrame and SQL functions. Three-word windows of one text are compared by 64-bit hash.
 
@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from sigframe.session import materialize
 
 MIN_ROWS, SHARE, STEPS, SALTS = 100, 0.75, 3, 32
-UNIT, FLOOR, CUTOFF = 1024, 0.05, 60.0
-DIMS = 5
+UNIT, CUTOFF = 1024, 60.0
+FLOOR = [0.05, 0.02, 0.05, 0.12, 0.15]  # per statistic, see _vectors
+DIMS = len(FLOOR)
 # Fixed values of the chi-squared distribution with 5 degrees of freedom: consistency factors for the nearest 3/4 and for the
 # 97.5 % quantile, and that quantile.
 NEAR_FACTOR, FAR_FACTOR, FAR_LIMIT = 1.4113, 1.0554, 12.8325
@@ -101,6 +102,11 @@ def _root(params: DataFrame) -> DataFrame:
     return params.withColumn("logdet", reduce(lambda a, b: a + b, [F.ln(F.col(f"l{i}{i}")) for i in range(DIMS)]))
 
 
+def _solved(params: DataFrame) -> DataFrame:
+    """The factor of every estimate, stored: a few rows, and no plan or generated method holds more than one step."""
+    return materialize(_root(materialize(params, "moments")), "factors")
+
+
 def _distance(rows: DataFrame, scale: float = 1.0) -> DataFrame:
     """Adds `d2`, the squared distance of x under the joined m and l."""
     for i in range(DIMS):
@@ -125,7 +131,7 @@ def _estimate(sums: DataFrame, keys: list[str]) -> DataFrame:
     v = []
     for i, j in _PAIRS:
         c = F.col(f"q{i}{j}") / F.col("n") - (F.col(f"s{i}") / F.col("n")) * (F.col(f"s{j}") / F.col("n"))
-        v.append((c + F.lit((FLOOR * UNIT) ** 2) if i == j else c).alias(f"v{i}{j}"))
+        v.append((c + F.lit((FLOOR[i] * UNIT) ** 2) if i == j else c).alias(f"v{i}{j}"))
     return sums.select(*keys, *m, *v)
 
 
@@ -134,30 +140,30 @@ def _starts(rows: DataFrame) -> DataFrame:
     all_rows = _estimate(rows.groupBy("grp").agg(*_sums()), ["grp"]).withColumn("start", F.lit(0))
     middle = materialize(rows.groupBy("grp").agg(*[F.median(x).alias(f"m{i}") for i, x in enumerate(_X)]), "medians")
     off = _by_salt(rows, middle, "grp").groupBy("grp").agg(*[F.median(F.abs(F.col(x) - F.col(f"m{i}"))).alias(f"d{i}") for i, x in enumerate(_X)])
-    wide = [(F.pow(F.col(f"d{i}") * 1.4826, 2) + F.lit((FLOOR * UNIT) ** 2) if i == j else F.lit(0.0)).alias(f"v{i}{j}") for i, j in _PAIRS]
+    wide = [(F.pow(F.col(f"d{i}") * 1.4826, 2) + F.lit((FLOOR[i] * UNIT) ** 2) if i == j else F.lit(0.0)).alias(f"v{i}{j}") for i, j in _PAIRS]
     robust = middle.join(off, "grp").select("grp", *[f"m{i}" for i in range(DIMS)], *wide, F.lit(1).alias("start"))
     return all_rows.unionByName(robust)
 
 
 def _concentrate(rows: DataFrame, params: DataFrame) -> DataFrame:
     """Mean and covariance of the rows nearest to each (group, start)."""
-    near = _distance(_by_salt(rows, _root(params), "grp"))
+    near = _distance(_by_salt(rows, params, "grp"))
     binned = near.groupBy("grp", "start", F.floor(F.ln(F.col("d2") + F.lit(1e-9)) * 64).alias("bin")).agg(*_sums())
     whole = W.partitionBy("grp", "start")
     before = F.sum("n").over(whole.orderBy("bin").rowsBetween(W.unboundedPreceding, -1))
     inside = binned.withColumns({"before": F.coalesce(before, F.lit(0)), "all": F.sum("n").over(whole)}).filter(F.col("before") < F.col("all") * SHARE)
-    return materialize(_estimate(inside.groupBy("grp", "start").agg(*_again()), ["grp", "start"]), "concentrated")
+    return _solved(_estimate(inside.groupBy("grp", "start").agg(*_again()), ["grp", "start"]))
 
 
 def outliers(rows: DataFrame) -> DataFrame:
     """Adds `distance` (squared Mahalanobis; null where there is no verdict) to rows of `counts` with x, grp and salt."""
     good = rows.filter("not base_failed").select("grp", "salt", *_X)
-    params = materialize(_starts(good), "starts")
+    params = _solved(_starts(good))
     for _ in range(STEPS):
         params = _concentrate(good, params)
-    best = _root(params).groupBy("grp").agg(F.min_by(F.struct(*[c for c in params.columns if c != "grp"]), F.struct("logdet", "start")).alias("b")).select("grp", "b.*").drop("start")
-    near = _distance(_by_salt(good, _root(best), "grp"), NEAR_FACTOR).filter(F.col("d2") <= FAR_LIMIT)
-    final = materialize(_root(_estimate(near.groupBy("grp").agg(*_sums()), ["grp"])), "estimates")
+    best = params.groupBy("grp").agg(F.min_by(F.struct(*[c for c in params.columns if c not in ("grp", "start")]), F.struct("logdet", "start")).alias("b")).select("grp", "b.*")
+    near = _distance(_by_salt(good, materialize(best, "best"), "grp"), NEAR_FACTOR).filter(F.col("d2") <= FAR_LIMIT)
+    final = _solved(_estimate(near.groupBy("grp").agg(*_sums()), ["grp"]))
     total = good.agg(F.count(F.lit(1)).alias("total"))
     final = final.crossJoin(total).filter(F.col("total") >= MIN_ROWS).drop("total")  # one row of totals
     return _distance(_by_salt(rows, final, "grp"), FAR_FACTOR).withColumnRenamed("d2", "distance")
