@@ -5,8 +5,8 @@ piece has at most `longest` characters, so only that many last positions can be
 them lead through one boundary, what lies before is settled, its ids are given out and the window moves there. Memory is bounded by the
 window, whatever the text's length.
 
-Where no piece can span a boundary (before a run of spaces, around a control character outside the vocabulary), all paths meet by
-construction. Texts are cut there, and the ids of up to `KNOWN` such units are remembered between texts.
+Where no piece can span a boundary (before a run of spaces, between two characters that are neighbours in no piece), all paths meet
+by construction. Texts are cut there, and the ids of up to `KNOWN` such units are remembered between texts.
 
 Characters outside the vocabulary become byte pieces, at the score of an unknown character. Decoding joins the pieces, turns byte pieces
 back into bytes, and drops the leading space that encoding adds. Every text without U+2581 comes back as it was; U+2581 is the
@@ -20,7 +20,9 @@ library's while both decode to the same text.
 
 from __future__ import annotations
 
+import math
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -54,6 +56,8 @@ class Vocabulary:
             raise ValueError("the model has no byte pieces")
         self.longest = max(map(len, self.ids), default=1)
         self.unknown = min(self.score.values(), default=0.0) - 10.0
+        self.tail = {p[k:]: -math.inf for p in self.ids for k in range(len(p))} | self.score  # all endings of pieces
+        self.inside = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}  # neighbours within a piece
         self.raw = [b""] * n
         for p, i in self.ids.items():
             self.raw[i] = p.replace(SPACE, " ").encode()
@@ -76,27 +80,37 @@ class StreamingViterbi:
         self.v, self.text, self.best, self.back = vocab, "", [0.0], [0]
 
     def feed(self, text: str) -> list[int]:
-        v, out = self.v, []
-        score, longest, unknown = v.score.get, v.longest, v.unknown
-        for k in range(0, len(text), longest * 4):
+        out, step = [], self.v.longest * 4
+        for k in range(0, len(text), step):
             start = len(self.text)
-            self.text += text[k : k + longest * 4]
-            line, best, back = self.text, self.best, self.back
-            for end in range(start + 1, len(line) + 1):
-                top, at = None, end - 1
-                for a in range(max(0, end - longest), end):  # the longest piece first
-                    s = score(line[a:end])
-                    if s is None:
-                        if a < end - 1:
-                            continue
-                        s = unknown
-                    if top is None or best[a] + s > top:
-                        top, at = best[a] + s, a
-                best.append(top)
-                back.append(at)
-            out += self._settle()
+            self.text += text[k : k + step]
+            self._extend(start)
+            if len(self.text) > step:
+                out += self._settle()
         return out
 
+    def _extend(self, start: int) -> None:
+        """Best scores and back pointers of the positions after `start`."""
+        tail, unknown, line, best, back = self.v.tail.get, self.v.unknown, self.text, self.best, self.back
+        for end in range(start + 1, len(line) + 1):
+            at = a = end - 1
+            s = tail(line[a])
+            if s is None:  # no piece ends in this character
+                best.append(best[a] + unknown)
+                back.append(a)
+                continue
+            top = best[a] + (s if s > -math.inf else unknown)
+            while a:
+                a -= 1
+                s = tail(line[a:end])
+                if s is None:  # nor does a longer piece
+                    break
+                s += best[a]
+                if s >= top:
+                    top, at = s, a
+            best.append(top)
+            back.append(at)
+
     def _settle(self) -> list[int]:
         """Ids up to the boundary where all paths that can still win converge."""
         end = len(self.text)
@@ -134,9 +148,20 @@ class Codec:
         self.known: dict[str, bytes] = {}
 
     def _unit(self, unit: str) -> bytes:
+        inside, known = self.v.inside, self.known
+        cut = [k for k in range(1, len(unit)) if unit[k - 1 : k + 1] not in inside]  # no piece spans these either
+        if cut:
+            raw = b"".join([known.get(x) or self._path(x) for x in map(unit.__getitem__, map(slice, [0, *cut], [*cut, len(unit)]))])
+        else:
+            raw = self._path(unit)
+        if len(unit) <= 64:
+            known[unit] = raw
+        return raw
+
+    def _path(self, unit: str) -> bytes:
         path = StreamingViterbi(self.v)
         ids = [i for k in range(0, len(unit), FEED) for i in path.feed(unit[k : k + FEED])] + path.finish()
-        raw = np.array(ids, np.int32).tobytes()
+        raw = struct.pack(f"<{len(ids)}i", *ids)
         if len(unit) <= 64:
             self.known[unit] = raw
         return raw
