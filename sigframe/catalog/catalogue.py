@@ -73,8 +73,7 @@ def _(spark, d):
 @query("decode_file_header", "S6")
 def _(spark, d):
     layout = [files.Field("magic", 0, 4, "text"), files.Field("word", 4, 4, "le"), files.Field("half", 4, 2, "be")]
-    raw = spark.read.format("binaryFile").load(d).filter(F.col("length") <= files.MAX_BYTES)
-    return raw.select(F.element_at(F.split("path", "/"), -1).alias("name"), *files.decode_header(F.col("content"), layout))
+    return files.decode_headers(spark, d, layout).withColumn("path", F.element_at(F.split("path", "/"), -1)).withColumnRenamed("path", "name")
 
 
 @query("read_manifest", "S7", """SELECT event_id, 'ev' || event_id AS stem, 'in/' || event_id || '.wav' AS conditioning_wav_path, CAST(json_extract_string(props, '$.k') AS BIGINT) AS conditioning_rate_hz,
@@ -168,14 +167,14 @@ def _sheets(spark, d):
     stamp = F.format_string("%02d:%02d:%02d", k % 90, k % 60, k % 75)
     later = F.format_string("%02d:%02d:%02d", k % 90 + 3, k % 60, k % 75)
     text = F.concat(
-        F.when(kind == 8, "CATALOG\n").otherwise("CATALOG 1234567890123\n"),
+        F.when(kind == 8, "CATALOG\n").otherwise("CATALOG 2718281828459\n"),
         F.lit('FILE "a.wav" WAVE\n'),
         F.when(kind == 2, "INDEX 00 00:00:00\n").otherwise(""),
         F.when(
             kind != 1,
             F.concat(
                 F.when(kind == 6, "  TRACK zz AUDIO\n").otherwise("  TRACK 01 AUDIO\n"),
-                F.when(kind == 4, "    ISRC ABC\n").otherwise("    ISRC ABCDE7654321\n"),
+                F.when(kind == 4, "    ISRC ABC\n").otherwise("    ISRC QZK9M2400817\n"),
                 F.when(kind == 5, "    INDEX 01 00:00:01\n").otherwise("    INDEX 01 00:00:00\n"),
                 F.when(kind == 3, "    FLAGS PRE\n").otherwise(""),
                 F.when(kind == 7, "  TRACK 03 AUDIO\n").otherwise("  TRACK 02 AUDIO\n"),

@@ -254,8 +254,8 @@ def _(spark, d):
 
 # Test limits in the shape of a format table: note range, special notes, one character per command.
 FORMATS = [
-    ("small", 37, 96, False, False, False, False, " abcdefghi?klmnop" + "?" * 41, " vp?????????????"),
-    ("large", 1, 120, True, True, True, False, " " + "x" * 40 + "?" * 17, " vpcdabuhlrg????"),
+    ("small", 37, 96, False, False, False, False, " abcdefghi?klmnop" + "?" * 41, " vpc??a?????????"),
+    ("large", 1, 120, True, True, True, False, " " + "x" * 40 + "?" * 17, " vpc?ab?hl??????"),
     ("full", 1, 120, True, True, True, True, " " + "x" * 57, " vpcdabuh??gfe?o"),
 ]
 

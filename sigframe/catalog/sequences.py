@@ -75,14 +75,15 @@ def _(spark, d):
 
 
 @query("loop_state_hash", "W26", oracle("orders_seq",
-    "b AS (SELECT seq, flatten(list([CAST(ord AS UTINYINT), CAST(pattern % 4 AS UTINYINT)] ORDER BY ord) FILTER (pattern % 4 <> 0)) AS bytes FROM orders_seq GROUP BY 1)",
-    """SELECT seq, CAST(list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(coalesce(bytes, []), lambda x: CAST(x AS UHUGEINT))),
-    lambda h, x: CAST(xor(CAST(h AS UBIGINT), CAST(x AS UBIGINT)) AS UHUGEINT) * 1099511628211::UHUGEINT % 18446744073709551616::UHUGEINT) AS VARCHAR) AS hash FROM b"""))
+    "b AS (SELECT seq, max(ord) > 255 AS wide, flatten(list([CAST(ord % 256 AS UTINYINT), CAST(pattern % 4 AS UTINYINT)] ORDER BY ord) FILTER (pattern % 4 <> 0)) AS bytes FROM orders_seq GROUP BY 1)",
+    """SELECT seq, CASE WHEN wide THEN 'channel index above 255' END AS error, CASE WHEN NOT wide THEN CAST(list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(coalesce(bytes, []), lambda x: CAST(x AS UHUGEINT))),
+    lambda h, x: CAST(xor(CAST(h AS UBIGINT), CAST(x AS UBIGINT)) AS UHUGEINT) * 1099511628211::UHUGEINT % 18446744073709551616::UHUGEINT) AS VARCHAR) END AS hash FROM b"""))
 def _(spark, d):
     o = v.orders_seq(spark, d).withColumn("count", F.col("pattern") % 4)
-    pairs = F.array_sort(F.collect_list(F.struct(F.col("ord").alias("channel"), "count")))  # at most one row per channel
-    # a channel index is one byte
-    return o.filter("ord < 256").groupBy("seq").agg(pairs.alias("p")).select("seq", q.loop_state_hash(F.col("p")).cast("string").alias("hash"))
+    small = F.when(F.col("ord") < 256, F.struct(F.col("ord").alias("channel"), "count"))  # a channel index is one byte, so 256 pairs at most
+    per = o.groupBy("seq").agg(F.array_sort(F.collect_list(small)).alias("p"), (F.max("ord") > 255).alias("wide"))
+    error = F.when(F.col("wide"), "channel index above 255")
+    return per.select("seq", error.alias("error"), F.when(~F.col("wide"), q.loop_state_hash(F.col("p")).cast("string")).alias("hash"))
 
 
 @query("first_unvisited", "W27", oracle("orders_seq",

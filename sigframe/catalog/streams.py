@@ -16,7 +16,7 @@ def _samples(spark, d):
     n = v.numbered_events(spark, d).select(
         F.col("user_id").alias("stream"), F.col("n").alias("seq"), (F.col("value") / 250.0 - 1).alias("x"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "value"
     )
-    path, files = stage(n, ["seq < 40", "seq >= 40"])
+    path, files = stage(n, F.col("seq") >= 40)
     return replay(spark, path, n.schema, files)
 
 
@@ -135,7 +135,7 @@ def _late(spark, d):
     first = e.agg(F.date_trunc("day", F.min("ts")).alias("_t")).scalar()
     week = F.floor((F.unix_micros("ts") - F.unix_micros(first)) / 691200000000)
     e = e.withColumn("k", (week + F.when(F.col("event_type") == "error", 1).otherwise(0)).cast("long"))
-    path, files = stage(e, [f"k = {i}" for i in range(5)], "slices")
+    path, files = stage(e, "k", "slices")
     return so.late_split(replay(spark, path, e.schema, files), "ts", "1 DAY")
 
 

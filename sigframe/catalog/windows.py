@@ -283,17 +283,17 @@ def _pcm(spark, d):
     return v.sig(spark, d).withColumn("x", F.round(F.col("x") * 1000).cast("long"))
 
 
-@query("self_shift_diff", "J12", oracle("sig", LEN, _I16, _NOTES, _DIFF, "SELECT signal_id, CAST(shift AS INTEGER) AS shift, CAST(cost AS BIGINT) AS cost FROM df"))
+@query("self_shift_diff", "J12", oracle("sig", LEN, _I16, _NOTES, _DIFF, "SELECT signal_id, 0 AS channel, CAST(shift AS INTEGER) AS shift, CAST(cost AS BIGINT) AS cost FROM df"))
 def _(spark, d):
     return so.self_shift_diff(_pcm(spark, d), sorted({s for _, s in _SHIFTS}))
 
 
-@query("folded_histogram", "G12", oracle("sig", LEN, _I16, _NOTES, _DIFF, _HIST, "SELECT signal_id, CAST(bin AS INTEGER) AS bin, cost FROM hi"))
+@query("folded_histogram", "G12", oracle("sig", LEN, _I16, _NOTES, _DIFF, _HIST, "SELECT signal_id, 0 AS channel, CAST(bin AS INTEGER) AS bin, cost FROM hi"))
 def _(spark, d):
     return so.folded_histogram(_pcm(spark, d), RATE)
 
 
-@query("smooth_circular", "W30", oracle("sig", LEN, _I16, _NOTES, _DIFF, _HIST, _smooth_sql(), "SELECT signal_id, CAST(bin AS INTEGER) AS bin, cost FROM sm"))
+@query("smooth_circular", "W30", oracle("sig", LEN, _I16, _NOTES, _DIFF, _HIST, _smooth_sql(), "SELECT signal_id, 0 AS channel, CAST(bin AS INTEGER) AS bin, cost FROM sm"))
 def _(spark, d):
     return so.smooth_circular(so.folded_histogram(_pcm(spark, d), RATE))
 
@@ -301,7 +301,7 @@ def _(spark, d):
 @query("argmin_bin", "K2", oracle("sig", LEN, _I16, _NOTES, _DIFF, _HIST, _smooth_sql(),
     "b AS (SELECT signal_id, arg_min(bin, cost * 1000 + bin) AS bin FROM sm GROUP BY 1)",
     "c AS (SELECT signal_id, bin, CASE WHEN bin + 96 >= 192 THEN bin - 384 ELSE bin END AS centred FROM b)",
-    f"SELECT signal_id, bin, centred, CAST(round({RATE} * 440 / (440.0::DOUBLE * pow(2.0::DOUBLE, (3 + centred / 32.0::DOUBLE) / 12))) AS BIGINT) AS rate FROM c"))
+    f"SELECT signal_id, 0 AS channel, bin, centred, CAST(round({RATE} * 440 / (440.0::DOUBLE * pow(2.0::DOUBLE, (3 + centred / 32.0::DOUBLE) / 12))) AS BIGINT) AS rate FROM c"))
 def _(spark, d):
     best = so.argmin_bin(so.smooth_circular(so.folded_histogram(_pcm(spark, d), RATE)), target_note=9)
     return so.tuned_rate(best, RATE, target_note=9)

@@ -259,7 +259,9 @@ def repair_ar(df: DataFrame, regions: DataFrame, context: int, order: int = 8, s
 
 
 def apply_cleanup(df: DataFrame, rate: int, settings: CleanupSettings, context: int = 64) -> DataFrame:
-    """Run the passes of a mode: one declick pass (AR or median), or two crackle passes."""
+    """Run the passes of a mode: one declick pass (AR or median), or two crackle passes. Only the first version is defined."""
+    if settings.version is not CleanupVersion.V1:
+        raise ValueError(f"no definition of cleanup version {settings.version}")
     out = df.withColumn("repaired", F.lit(False))
     if settings.mode is CleanupMode.OFF:
         return out

@@ -71,11 +71,9 @@ def ensure_unique(orders: DataFrame) -> DataFrame:
     return rank.join(top, "seq").select("seq", "ord", "pattern", new.alias("new_pattern"))
 
 
-def visit_scan(steps: DataFrame, place: Sequence[str], budget: int | None = None) -> DataFrame:
+def visit_scan(steps: DataFrame, place: Sequence[str]) -> DataFrame:
     """Mark steps whose place (order, row, loop state) was visited before. `loops` is true from the first such
-    step of the sequence on. With `budget`, steps past it are left out, as a cut-off for endless songs."""
-    if budget is not None:
-        steps = steps.filter(F.col("step") < budget)
+    step of the sequence on."""
     first = steps.groupBy("seq", *place).agg(F.min("step").alias("_first"))
     seen = steps.join(first, ["seq", *place]).withColumn("revisit", F.col("step") > F.col("_first")).drop("_first")
     start = seen.filter("revisit").groupBy("seq").agg(F.min("step").alias("loop_step"))

@@ -310,6 +310,7 @@ def adjust_points(points: Column, start: Column, ratio: float) -> Column:
 
 
 # Pitch estimation. 32 bins per note, notes 24 to 96, one octave is 384 bins.
+SIGNAL = ["signal_id", "channel"]
 BINS_PER_NOTE, START_BIN, END_BIN, OCTAVE_BINS = 32, 24 * 32, 96 * 32, 384
 
 
@@ -322,23 +323,33 @@ def candidate_shifts(rate: int, reference: float = 440.0) -> list[tuple[int, int
     return out
 
 
+def pitch_input(df: DataFrame, rate: int) -> DataFrame:
+    """A signal ready for the pitch search: its channels added up into channel 0, and, if it is shorter than a second, repeated until
+    it lasts one, so that the largest lag fits."""
+    mono = df.groupBy("signal_id", "n").agg(F.sum("x").alias("x"))
+    frames = mono.groupBy("signal_id").agg((F.max("n") + 1).alias("_frames"))
+    turns = F.ceil(F.lit(rate) / F.col("_frames")).cast("long")
+    long = mono.join(frames, "signal_id").withColumn("_turn", F.explode(F.sequence(F.lit(0).cast("long"), turns - 1)))
+    return long.select("signal_id", F.lit(0).alias("channel"), (F.col("n") + F.col("_turn") * F.col("_frames")).alias("n"), "x")
+
+
 def self_shift_diff(df: DataFrame, shifts: Sequence[int], size: int = BLOCK, chunk: int = 64) -> DataFrame:
-    """`signal_id, shift, cost`: sum of squared differences with the signal moved by each lag, over the first
+    """`signal_id, channel, shift, cost`: sum of squared differences with the signal moved by each lag, over the first
     N - max(lag) samples. The lags of a block are leads of one window and are summed map-side, `chunk` lags per
     pass; nothing is copied per lag."""
     top = max(shifts)
     wide = with_halo(df, "n", 0, top, max(size, top + 1))
-    w = halo_window(["signal_id"], ["n"])
+    w = halo_window(SIGNAL, ["n"])
     parts = []
     for at in range(0, len(shifts), chunk):
         part = list(shifts[at : at + chunk])
         cols = {f"_s{s}": F.lead("x", s).over(w) for s in part}
         rows = wide.withColumns({**cols, "_end": F.lead("x", top).over(w)}).filter(F.col("_core") & F.col("_end").isNotNull())
-        sums = rows.groupBy("signal_id").agg(
+        sums = rows.groupBy(*SIGNAL).agg(
             *[F.sum((F.col(f"_s{s}") - F.col("x")) * (F.col(f"_s{s}") - F.col("x"))).alias(f"_s{s}") for s in part]
         )
         pairs = F.array(*[F.struct(F.lit(s).alias("shift"), F.col(f"_s{s}").alias("cost")) for s in part])
-        parts.append(sums.select("signal_id", F.inline(pairs)))
+        parts.append(sums.select(*SIGNAL, F.inline(pairs)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -346,7 +357,7 @@ def self_shift_diff(df: DataFrame, shifts: Sequence[int], size: int = BLOCK, chu
 
 
 def folded_histogram(df: DataFrame, rate: int, reference: float = 440.0, size: int = BLOCK) -> DataFrame:
-    """`signal_id, bin, cost`: shift costs of all candidates, added up by octave-folded bin. Equal lags are computed
+    """`signal_id, channel, bin, cost`: shift costs of all candidates, added up by octave-folded bin. Equal lags are computed
     once and then weighted by the number of candidates they stand for."""
     weight: dict[int, dict[int, int]] = {}
     for note, shift in candidate_shifts(rate, reference):
@@ -356,8 +367,8 @@ def folded_histogram(df: DataFrame, rate: int, reference: float = 440.0, size: i
     # A constant: at most one entry per lag, 2304 uses in all.
     uses = json.dumps({str(s): [{"bin": b, "times": k} for b, k in sorted(bins.items())] for s, bins in weight.items()})
     table = F.from_json(F.lit(uses), "map<string,array<struct<bin:int,times:int>>>")
-    spread = costs.select("signal_id", "cost", F.inline(F.element_at(table, F.col("shift").cast("string"))))
-    return spread.groupBy("signal_id", "bin").agg(F.sum(F.col("cost") * F.col("times")).alias("cost"))
+    spread = costs.select(*SIGNAL, "cost", F.inline(F.element_at(table, F.col("shift").cast("string"))))
+    return spread.groupBy(*SIGNAL, "bin").agg(F.sum(F.col("cost") * F.col("times")).alias("cost"))
 
 
 def smooth_circular(hist: DataFrame, bins: int = OCTAVE_BINS, width: int = 4) -> DataFrame:
@@ -366,20 +377,20 @@ def smooth_circular(hist: DataFrame, bins: int = OCTAVE_BINS, width: int = 4) ->
     are copied around the circle, so a window sees `bins` + 2 `width` rows per signal."""
     b = F.col("bin")
     spots = F.when(b < width, F.array(b, b + bins)).when(b >= bins - width, F.array(b, b - bins)).otherwise(F.array(b))
-    ring = hist.select("signal_id", F.explode(spots).alias("bin"), F.col("cost").cast("long").alias("cost"))
-    w = W.partitionBy("signal_id").orderBy("bin")
+    ring = hist.select(*SIGNAL, F.explode(spots).alias("bin"), F.col("cost").cast("long").alias("cost"))
+    w = W.partitionBy(*SIGNAL).orderBy("bin")
     near = {f"_{o}": (F.lag("cost", -o) if o < 0 else F.lead("cost", o)).over(w) for o in range(-width, width + 1)}
     wide = ring.withColumns(near).filter(b.between(0, bins - 1))
     v = F.col("cost")
     for k in range(width, -1, -1):
         v = F.shiftright(v, 1) + F.shiftright(F.col(f"_{-k}") + F.col(f"_{k}"), 1)  # costs are never negative
-    return wide.select("signal_id", "bin", v.alias("cost"))
+    return wide.select(*SIGNAL, "bin", v.alias("cost"))
 
 
 def argmin_bin(hist: DataFrame, target_note: int = 0) -> DataFrame:
     """First bin of least cost, moved by octaves to lie around the target note."""
     t = target_note - 12 if target_note >= 6 else target_note
-    best = hist.groupBy("signal_id").agg(F.min(F.struct("cost", "bin")).alias("_b")).select("signal_id", F.col("_b.bin").cast("long").alias("bin"))
+    best = hist.groupBy(*SIGNAL).agg(F.min(F.struct("cost", "bin")).alias("_b")).select(*SIGNAL, F.col("_b.bin").cast("long").alias("bin"))
     off = F.col("bin") - t * BINS_PER_NOTE
     off = F.when(off >= 6 * BINS_PER_NOTE, off - 12 * BINS_PER_NOTE).otherwise(off)
     return best.withColumn("centred", off + t * BINS_PER_NOTE)

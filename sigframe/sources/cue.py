@@ -41,17 +41,17 @@ def index_frame() -> Column:
 
 
 def read_cue(sheets: DataFrame, text: str = "text", rate: int = 44100) -> DataFrame:
-    """Index points: `id, track, index, frame, sample`, the track number carried forward from its TRACK line."""
+    """Index points: `id, track, index, frame, sample`, the track number carried forward from its TRACK line (NULL behind a malformed one)."""
     by_line = W.partitionBy("id").orderBy("line").rowsBetween(W.unboundedPreceding, 0)
     lines = cue_lines(sheets, text).withColumn(
-        "track", F.last(F.when(F.col("word") == "TRACK", _number(TRACK, 1)), ignorenulls=True).over(by_line)
+        "track", F.last(F.when(F.col("word") == "TRACK", F.struct(_number(TRACK, 1).alias("no"))), ignorenulls=True).over(by_line)["no"]
     )
     points = lines.filter(F.col("word") == "INDEX").select("id", "track", _number(INDEX, 1).alias("index"), index_frame().alias("frame"))
     return points.withColumn("sample", F.floor(F.col("frame") * rate / CUE_FRAMES_PER_SECOND).cast("long"))
 
 
 def validate_cue(sheets: DataFrame, text: str = "text") -> DataFrame:
-    """First error per sheet, or `ok`: `id, status`.
+    """First error per sheet, or `ok`: `id, status`. The names of the errors are fixed values.
 
     Catalogue: one line at most, 13 digits. Flags and ISRC belong to a track, once, before its index points; ISRC
     has 12 characters with optional dashes. Index points are well formed, start at 0 or 1 (a track must have

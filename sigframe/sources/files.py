@@ -160,6 +160,15 @@ def decode_header(content: Column, layout: Sequence[Field]) -> list[Column]:
     return out
 
 
+def decode_headers(spark: SparkSession, root: str, layout: Sequence[Field], limit: int = MAX_BYTES) -> DataFrame:
+    """`path, error` and the layout's columns for every file below `root`. The size limit is pushed to the listing; larger files
+    are never opened and give a row with an error."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    small = files.filter(F.col("length") <= limit).select("path", F.lit(None).cast("string").alias("error"), *decode_header(F.col("content"), layout))
+    large = files.filter(F.col("length") > limit).select("path", F.concat(F.col("length"), F.lit(f" bytes exceeds the {limit} byte safety limit")).alias("error"))
+    return small.unionByName(large, allowMissingColumns=True)
+
+
 MANIFEST = T.StructType(
     [
         T.StructField(

@@ -125,34 +125,40 @@ def gain_control_step(state: dict, x: np.ndarray, limit: int, block: int, timeou
     A sample beyond the limit counts as a clip, and every `attack_every` clips lower the gain at once. At the end of
     each block of `block` samples: without clips the clip count restarts; if the gain did not fall and is below unity
     the quiet time grows, and at `timeout` samples the gain rises one step; otherwise the quiet time restarts.
+
+    Between two steps the gain is constant, so a whole stretch up to the block's end is scaled and compared at once, and cut
+    behind the clip that makes the gain fall.
     """
-    gain, held = state.get("gain", UNITY), state.get("held", UNITY)
-    attack, quiet = state.get("attack", 0), state.get("quiet", 0)
-    at, clips = state.get("at", 0), state.get("clips", 0)
-    out = np.empty(len(x), dtype=np.int64)
-    for i, v in enumerate(x.tolist()):
-        y = (v * gain) >> 10
-        out[i] = y
-        if abs(y) > limit:
-            clips += 1
-            attack += 1
-            if attack >= attack_every:
-                gain -= 1
-                attack -= attack_every
-        at += 1
-        if at == block:
-            if clips == 0:
-                attack = 0
-            if gain >= held and held < UNITY:
-                quiet += block
-                if quiet >= timeout:
-                    quiet = 0
-                    held += 1
-            else:
-                held = gain
-                quiet = 0
-            gain, at, clips = held, 0, 0
-    return {"gain": gain, "held": held, "attack": attack, "quiet": quiet, "at": at, "clips": clips}, out
+    s = {"gain": UNITY, "held": UNITY, "attack": 0, "quiet": 0, "at": 0, "clips": 0} | state
+    done, out = 0, [np.empty(0, dtype=np.int64)]
+    while done < len(x):
+        stretch = (x[done : done + block - s["at"]] * s["gain"]) >> 10
+        clips = np.flatnonzero(np.abs(stretch) > limit)
+        missing = attack_every - s["attack"]
+        if falls := len(clips) >= missing:
+            clips = clips[:missing]
+            stretch = stretch[: clips[-1] + 1]
+        out.append(stretch)
+        done += len(stretch)
+        s["at"] += len(stretch)
+        s["clips"] += len(clips)
+        s["attack"] = 0 if falls else s["attack"] + len(clips)
+        s["gain"] -= falls
+        if s["at"] == block:
+            _close_block(s, block, timeout)
+    return s, np.concatenate(out)
+
+
+def _close_block(s: dict, block: int, timeout: int) -> None:
+    if not s["clips"]:
+        s["attack"] = 0
+    if s["gain"] < s["held"] or s["held"] == UNITY:
+        s["held"], s["quiet"] = s["gain"], 0
+    else:
+        s["quiet"] += block
+        if s["quiet"] >= timeout:
+            s["held"], s["quiet"] = s["held"] + 1, 0
+    s["gain"], s["at"], s["clips"] = s["held"], 0, 0
 
 
 def gain_control(df: DataFrame, limit: int, block: int, timeout: int, profile: str = "stock", key_type: str = "long") -> DataFrame:

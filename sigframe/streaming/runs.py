@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigframe.session import shared_path
+from sigframe.session import materialize, shared_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -26,16 +26,23 @@ def use_rocksdb(spark: SparkSession) -> None:
 FILE_ROWS = 1_000_000
 
 
-def stage(df: DataFrame, slices: Sequence[str], label: str = "stage") -> tuple[str, int]:
-    """Write the rows of each condition in turn to one folder, so that a file stream replays the slices in that order.
-    Every slice gets the same number of files, about `FILE_ROWS` rows each in the largest; returns the folder and that
-    number, to be used as the files per micro-batch. Empty slices are left out."""
-    path = shared_path(df.sparkSession, label)
-    sizes = df.agg(*[F.count_if(F.expr(c)) for c in slices]).first()
-    some = [(c, n) for c, n in zip(slices, sizes) if n]
-    files = min([-(-max(sizes) // FILE_ROWS), *[n for _, n in some]]) if some else 1
-    for cond, _ in some:
-        df.filter(cond).repartition(files).write.mode("append").parquet(path)
+def stage(df: DataFrame, slice_of: Column | str, label: str = "stage") -> tuple[str, int]:
+    """Write the rows of each value of `slice_of`, in ascending order, to one folder, so that a file stream replays the slices
+    in that order. The input is read once. Every slice gets the same number of files, about `FILE_ROWS` rows each in the
+    largest (empty files fill up a small one); returns the folder and that number, to be used as the files per
+    micro-batch. Rows without a slice come last."""
+    spark = df.sparkSession
+    path = shared_path(spark, label)
+    cut = materialize(df.withColumn("_slice", F.expr(slice_of) if isinstance(slice_of, str) else slice_of), label)
+    sizes = sorted(((r["_slice"] is None, r["_slice"]), r["n"]) for r in cut.groupBy("_slice").agg(F.count(F.lit(1)).alias("n")).collect())
+    files = max((-(-n // FILE_ROWS) for _, n in sizes), default=1)
+    for (_, value), n in sizes:
+        some = cut.filter(F.col("_slice").eqNullSafe(F.lit(value))).drop("_slice")
+        some.repartition(min(files, n)).write.mode("append").parquet(path)
+        for _ in range(files - n):
+            some.limit(0).coalesce(1).write.mode("append").parquet(path)
+    if not sizes:
+        cut.drop("_slice").write.parquet(path)
     return path, files
 
 

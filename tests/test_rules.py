@@ -130,25 +130,26 @@ def test_loop_hash(spark):
 HEAD = 'FILE "a.wav" WAVE\n'
 T1 = "TRACK 01 AUDIO\n"
 OK_TRACK = T1 + "INDEX 01 00:00:00\n"
+# The keys are the fixed names of the errors; the sheets are our own.
 SHEETS = {
-    "ok": HEAD + T1 + "FLAGS PRE\nISRC AB-CD7-65-43210\nINDEX 00 00:00:00\nINDEX 01 00:02:00\nTRACK 02 AUDIO\nINDEX 01 01:00:00\n",
-    "MultipleCatalogNumber": "CATALOG 1234567890123\nCATALOG 1234567890123\n" + HEAD + OK_TRACK,
+    "ok": HEAD + T1 + "FLAGS PRE\nISRC QZ-K9M-24-00817\nINDEX 00 00:00:00\nINDEX 01 00:03:15\nTRACK 02 AUDIO\nINDEX 01 01:10:05\n",
+    "MultipleCatalogNumber": "CATALOG 2718281828459\nCATALOG 2718281828459\n" + HEAD + OK_TRACK,
     "CatalogMissingNumber": "CATALOG\n" + HEAD + OK_TRACK,
     "InvalidCatalogNumber": "CATALOG 12x\n" + HEAD + OK_TRACK,
     "PrematureFlags": "FLAGS PRE\n" + HEAD + OK_TRACK,
     "LateFlags": HEAD + OK_TRACK + "FLAGS PRE\n",
     "MultipleFlags": HEAD + T1 + "FLAGS PRE\nFLAGS 4CH\nINDEX 01 00:00:00\n",
     "PrematureIndex": HEAD + "INDEX 00 00:00:00\n" + OK_TRACK,
-    "InvalidIndexPoint": HEAD + T1 + "INDEX 01 00:61:00\n",
-    "IndexPointsOutOfSequence": HEAD + T1 + "INDEX 01 00:00:00\nINDEX 03 00:10:00\n",
-    "MultipleISRC": HEAD + T1 + "ISRC ABCD01234567\nISRC ABCD01234567\nINDEX 01 00:00:00\n",
-    "PrematureISRC": "ISRC ABCD01234567\n" + HEAD + OK_TRACK,
-    "LateISRC": HEAD + OK_TRACK + "ISRC ABCD01234567\n",
-    "InvalidISRC": HEAD + T1 + "ISRC ABCD0123456Z\nINDEX 01 00:00:00\n",
-    "InvalidTrack": HEAD + T1 + "TRACK 02 AUDIO\nINDEX 01 00:02:00\n",
-    "TracksOutOfSequence": HEAD + OK_TRACK + "INDEX 02 00:02:00\nTRACK 02 AUDIO\nINDEX 01 00:01:74\n",
+    "InvalidIndexPoint": HEAD + T1 + "INDEX 01 00:75:10\n",
+    "IndexPointsOutOfSequence": HEAD + T1 + "INDEX 01 00:00:00\nINDEX 03 00:12:40\n",
+    "MultipleISRC": HEAD + T1 + "ISRC QZK9M2400817\nISRC QZK9M2400817\nINDEX 01 00:00:00\n",
+    "PrematureISRC": "ISRC QZK9M2400817\n" + HEAD + OK_TRACK,
+    "LateISRC": HEAD + OK_TRACK + "ISRC QZK9M2400817\n",
+    "InvalidISRC": HEAD + T1 + "ISRC QZK9M240081Z\nINDEX 01 00:00:00\n",
+    "InvalidTrack": HEAD + T1 + "TRACK 02 AUDIO\nINDEX 01 00:07:30\n",
+    "TracksOutOfSequence": HEAD + OK_TRACK + "INDEX 02 00:07:30\nTRACK 02 AUDIO\nINDEX 01 00:06:71\n",
     "NoTracks": HEAD,
-    "NonZeroFirstIndex": HEAD + T1 + "INDEX 01 00:02:00\n",
+    "NonZeroFirstIndex": HEAD + T1 + "INDEX 01 00:07:30\n",
 }
 
 
@@ -158,7 +159,13 @@ def test_cue_rules(spark):
     only_zero = spark.createDataFrame([("z", HEAD + T1 + "INDEX 00 00:00:00\n")], "id string, text string")
     assert cue.validate_cue(only_zero).first().status == "IndexPointsOutOfSequence"
     points = cue.read_cue(df.filter("id = 'ok'")).orderBy("track", "index").collect()
-    assert [(r["track"], r["index"], r["frame"], r["sample"]) for r in points] == [(1, 0, 0, 0), (1, 1, 150, 88200), (2, 1, 4500, 2646000)]
+    assert [(r["track"], r["index"], r["frame"], r["sample"]) for r in points] == [(1, 0, 0, 0), (1, 1, 240, 141120), (2, 1, 5255, 3089940)]
+
+
+def test_points_behind_a_malformed_track_have_no_track(spark):
+    sheet = HEAD + T1 + "INDEX 01 00:00:00\nTRACK zz AUDIO\nINDEX 01 00:09:00\nTRACK 03 AUDIO\nINDEX 01 00:11:00\n"
+    points = cue.read_cue(spark.createDataFrame([("x", sheet)], "id string, text string")).orderBy("frame").collect()
+    assert [p["track"] for p in points] == [1, None, 3]
 
 
 def test_text_helpers(spark):
