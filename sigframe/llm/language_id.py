@@ -81,9 +81,10 @@ def learn(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, contexts: int = C
     """Fit on labelled rows; see the module's text for the bounds."""
     known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     known = known.filter("id is not null and lang is not null and text is not null")
-    count = known.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    count = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
+    share = F.create_map(*[F.lit(x) for lang, n in sorted(count.items()) for x in (lang, rows_per_lang / n)]) if count else F.lit(None).cast("map<string,double>")
     chance = F.pmod(F.xxhash64(F.col("id"), F.lit("language sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = known.join(count, "lang").filter(chance * F.col("rows") < rows_per_lang).select("lang", "text")
+    sample = known.filter(chance < F.element_at(share, F.col("lang"))).select("lang", "text")
     grams = sample.mapInArrow(_gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     table = grams.toArrow()
     return _compile(np.array(table["lang"].to_pylist(), dtype=object), table["gram"].to_numpy(), table["n"].to_numpy(), contexts)
