@@ -101,16 +101,29 @@ def _op7(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates(table(spark, d, "documents"))
 
 
-OP8 = """
-WITH base AS (SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 8 AS size, md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS ord, text FROM documents),
-ranked AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY ord NULLS FIRST, doc_id NULLS FIRST, size) - 1 + 0.5::DOUBLE) / count(*) OVER (PARTITION BY source) AS part FROM base),
-placed AS (SELECT *, row_number() OVER (ORDER BY part, source NULLS FIRST, ord, doc_id NULLS FIRST, size) - 1 AS place, count(*) OVER () AS total FROM ranked),
+def _crc32_steps() -> str:
+    """The 256 steps of CRC-32 as an SQL list, made from its polynomial."""
+    steps = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        steps.append(str(c))
+    return "[" + ", ".join(steps) + "]"
+
+
+OP8 = f"""
+WITH raw AS (SELECT doc_id, source, hex(encode(coalesce(text, ''))) AS h FROM documents),
+bytes AS (SELECT doc_id, source, length(h) // 2 AS n, [16 * (strpos('0123456789ABCDEF', substr(h, 2 * i + 1, 1)) - 1) + strpos('0123456789ABCDEF', substr(h, 2 * i + 2, 1)) - 1 for i in range(length(h) // 2)] AS b FROM raw),
+base AS (SELECT doc_id, source, n + 8 AS size, md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS ord,
+  xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, {_crc32_steps()}[(xor(c, x) & 255) + 1])), 4294967295::BIGINT) AS crc FROM bytes),
+ranked AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY ord, doc_id NULLS FIRST, size, crc) - 1 + 0.5::DOUBLE) / count(*) OVER (PARTITION BY source) AS part FROM base),
+placed AS (SELECT *, row_number() OVER (ORDER BY part, source NULLS FIRST, ord, doc_id NULLS FIRST, size, crc) - 1 AS place, count(*) OVER () AS total FROM ranked),
 sharded AS (SELECT *, CAST(place * 24 // total AS INTEGER) AS shard FROM placed)
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'rows' AS law, shard, CAST(place - (shard::BIGINT * total + 23) // 24 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
 FROM sharded"""
 
 
-@query("op8_stratified_shards")
+@query("op8_stratified_shards", OP8)
 def _op8(spark: SparkSession, d: str) -> DataFrame:
     from sigframe.llm.sharding import interleave
 
