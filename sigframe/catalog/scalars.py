@@ -117,11 +117,29 @@ def _(spark, d):
     return v.table(spark, d, "documents").select("doc_id", F.md5(t).alias("md5"), F.sha1(t).alias("sha1"), F.sha2(t, 256).alias("sha256"))
 
 
-@query("checksums", "X11")
+def _crc_table(width: int, poly: int, reflected: bool = False) -> str:
+    """The 256 steps of a CRC as an SQL list, made from its polynomial."""
+    top, rest, out = 1 << (width - 1), (1 << width) - 1, []
+    for byte in range(256):
+        c = byte if reflected else byte << (width - 8)
+        for _ in range(8):
+            c = (c >> 1) ^ (poly if c & 1 else 0) if reflected else ((c << 1) ^ (poly if c & top else 0)) & rest
+        out.append(c)
+    return "[" + ", ".join(map(str, out)) + "]"
+
+
+_CHECKSUMS = f"""WITH h AS (SELECT doc_id, text, hex(encode(text)) AS h FROM documents),
+    y AS (SELECT doc_id, text, [16 * (strpos('0123456789ABCDEF', substr(h, 2 * i + 1, 1)) - 1) + strpos('0123456789ABCDEF', substr(h, 2 * i + 2, 1)) - 1 for i in range(length(h) // 2)] AS b FROM h)
+    SELECT doc_id, CAST(xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, {_crc_table(32, 0xEDB88320, True)}[(xor(c, x) & 255) + 1])), 4294967295::BIGINT) AS BIGINT) AS crc32,
+    CAST(list_reduce(list_prepend(0::BIGINT, b), lambda c, x: {_crc_table(8, 0x07)}[xor(c, x) + 1]) AS BIGINT) AS crc8,
+    CAST(list_reduce(list_prepend(0::BIGINT, b), lambda c, x: xor((c << 8) & 65535, {_crc_table(16, 0x8005)}[xor(c >> 8, x) + 1])) AS BIGINT) AS crc16 FROM y"""
+
+
+@query("checksums", "X11", _CHECKSUMS)
 def _(spark, d):
     raw = F.encode("text", "UTF-8")
     return v.table(spark, d, "documents").select(
-        "doc_id", F.crc32(raw).alias("crc32"), text.crc8(raw).alias("crc8"), text.crc16(raw).alias("crc16"), F.sha2(raw, 512).alias("sha512")
+        "doc_id", F.crc32(raw).alias("crc32"), text.crc8(raw).cast("long").alias("crc8"), text.crc16(raw).cast("long").alias("crc16")
     )
 
 

@@ -213,7 +213,18 @@ def _(spark, d):
     return out.select("signal_id", "channel", "n", r6(F.col("x")).alias("x"), "repaired")
 
 
-@query("apply_cleanup", "E2")
+# The chain of `repair_median` under the click preset of 16 kHz, with its context of 64.
+_PRESET = [p.replace("31 PRECEDING", "32 PRECEDING").replace("31 FOLLOWING", "32 FOLLOWING") for p in _RESIDUAL] + [
+    p.replace("z >= 2.0", "z >= 4.5").replace(">= 3.0", ">= 10.0").replace("<= 8", "<= 16") for p in _ISLANDS
+]
+
+
+@query("apply_cleanup", "E2", oracle("sig", *_PRESET, *_MERGED,
+    "bad AS (SELECT signal_id, unnest(range(start_n, end_n + 1)) AS n FROM regions)",
+    """fill AS (SELECT r.signal_id, r.start_n, median(s.x) AS f FROM regions r JOIN sig s ON s.signal_id = r.signal_id
+        AND s.n BETWEEN r.start_n - 64 AND r.end_n + 64 WHERE (s.signal_id, s.n) NOT IN (SELECT signal_id, n FROM bad) GROUP BY 1, 2)""",
+    "fx AS (SELECT r.signal_id, unnest(range(r.start_n, r.end_n + 1)) AS n, f FROM regions r JOIN fill USING (signal_id, start_n))",
+    "SELECT s.signal_id, s.channel, s.n, round(coalesce(f, x), 6) + 0.0 AS x FROM sig s LEFT JOIN fx ON fx.signal_id = s.signal_id AND fx.n = s.n"))
 def _(spark, d):
     mode = clicks.CleanupSettings(clicks.CleanupMode.DECLICK_MEDIAN, clicks.CleanupVersion.V1)
     return clicks.apply_cleanup(v.sig(spark, d), 16000, mode).select("signal_id", "channel", "n", r6(F.col("x")).alias("x"))

@@ -103,7 +103,20 @@ def _(spark, d):
     return out.select("stream", "seq", r6(F.col("peak")).alias("peak"), r6(F.col("y")).alias("y"))
 
 
-@query("running_status", "T7")
+_LENGTH = "CASE WHEN {s} // 16 IN (12, 13) THEN 2 WHEN {s} IN (241, 243) THEN 2 WHEN {s} = 242 THEN 3 WHEN {s} >= 240 THEN 1 ELSE 3 END"
+_STATUS = f"""rec(stream, seq, last, cur, need, out) AS (
+    SELECT DISTINCT stream, CAST(-1 AS BIGINT), 0::BIGINT, []::BIGINT[], 0::BIGINT, NULL::BIGINT[] FROM byte_stream UNION ALL
+    SELECT stream, seq, CASE WHEN done AND c[1] < 240 THEN c[1] ELSE last END, CASE WHEN done THEN [] ELSE c END, CASE WHEN done THEN 0 ELSE n END, CASE WHEN done THEN c END FROM (
+      SELECT *, len(c) > 0 AND (len(c) = n OR (n = 0 AND b = 247)) AS done FROM (
+        SELECT r.stream, s.seq, s.b, last,
+          CASE WHEN len(cur) > 0 THEN list_append(cur, s.b) WHEN s.b < 128 AND last = 0 THEN [] WHEN s.b < 128 THEN [last, s.b] ELSE [s.b] END AS c,
+          CASE WHEN len(cur) = 1 AND need = -1 THEN CASE WHEN s.b IN (240, 241) THEN 4 ELSE 0 END WHEN len(cur) > 0 THEN need WHEN s.b = 240 THEN -1
+            WHEN s.b < 128 AND last = 0 THEN need WHEN s.b < 128 THEN {_LENGTH.format(s="last")} ELSE {_LENGTH.format(s="s.b")} END AS n
+        FROM rec r JOIN byte_stream s ON s.stream = r.stream AND s.seq = r.seq + 1)))"""
+
+
+@query("running_status", "T7", oracle("byte_stream", _STATUS,
+    "SELECT stream, seq, array_to_string(list_transform(out, lambda x: printf('%02x', x)), '') AS message FROM rec WHERE out IS NOT NULL"))
 def _(spark, d):
     s = _samples(spark, d).select("stream", "seq", (F.col("event_id") % 256).alias("b"))
     return append_to_table(so.running_status(s), "status")

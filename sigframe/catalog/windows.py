@@ -96,11 +96,16 @@ def _(spark, d):
     )
 
 
-@query("lfo_noise", "W17")
+@query("lfo_noise", "W17", oracle("sig",
+    "ph AS (SELECT signal_id, n, (n % 20) / 20.0::DOUBLE AS p, n // 20 AS c FROM sig)",
+    "pt AS (SELECT *, CAST('0x' || substr(md5(CAST(c AS VARCHAR)), 1, 5) AS BIGINT) / 524288.0::DOUBLE - 1 AS a, CAST('0x' || substr(md5(CAST(c + 1 AS VARCHAR)), 1, 5) AS BIGINT) / 524288.0::DOUBLE - 1 AS b FROM ph)",
+    "wt AS (SELECT *, p * p * p * (p * (p * 6.0::DOUBLE - 15.0::DOUBLE) + 10.0::DOUBLE) AS w FROM pt)",
+    """SELECT signal_id, n, round(least(greatest(a * 0.5::DOUBLE + 0.5::DOUBLE, 0), 1), 9) AS hold,
+    round(least(greatest((b * w + a * (1 - w)) * 0.5::DOUBLE + 0.5::DOUBLE, 0), 1), 9) AS smooth FROM wt"""))
 def _(spark, d):
     p, c = F.pmod("n", F.lit(20)) / 20.0, F.floor(F.col("n") / 20)
     return v.sig(spark, d).select(
-        "signal_id", "n", so.lfo(p, "hold_noise", 0.5, 0.5, cycle=c).alias("hold"), so.lfo(p, "smooth_noise", 0.5, 0.5, cycle=c).alias("smooth")
+        "signal_id", "n", F.round(so.lfo(p, "hold_noise", 0.5, 0.5, cycle=c), 9).alias("hold"), F.round(so.lfo(p, "smooth_noise", 0.5, 0.5, cycle=c), 9).alias("smooth")
     )
 
 

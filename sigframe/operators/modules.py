@@ -11,6 +11,7 @@ from sigframe.functions import cells as c
 from sigframe.operators.grid import write_effect
 from sigframe.operators.lookups import remap_ids
 from sigframe.plans.blocked import block_of, dense_index, range_bucket
+from sigframe.session import materialize
 
 
 @dataclass(frozen=True)
@@ -37,8 +38,9 @@ def append_modules(target: Module, source: Module, channels: int, min_rows: int
     get a pattern break on their last row (or where `write_effect` finds room)."""
     used = source.orders.filter(F.col("kind") == "pattern").groupBy("pattern").agg(F.min(F.struct("seq", "ord")).alias("_first"))
     valid = used.join(source.header, "pattern").select("pattern", "rows", F.col("_first.seq").alias("_s"), F.col("_first.ord").alias("_o"))
-    fresh = dense_index(valid, [], ["_s", "_o"], range_bucket(valid, "_s"), out="_k")
-    patterns = fresh.select("pattern", "rows", (F.col("_k") + 1 + _above(target.header, "pattern")).alias("new_pattern"))
+    valid = valid.withColumn("_at", F.shiftleft(F.col("_s").cast("long"), 32) + F.col("_o"))
+    fresh = dense_index(valid, [], ["_at", "pattern"], range_bucket(valid, "_at"), out="_k")
+    patterns = materialize(fresh.select("pattern", "rows", (F.col("_k") + 1 + _above(target.header, "pattern")).alias("new_pattern")), "patterns")
 
     kept = source.orders.join(patterns.select("pattern", "new_pattern"), "pattern", "left").filter(
         (F.col("kind") != "pattern") | F.col("new_pattern").isNotNull()
@@ -66,12 +68,14 @@ def append_modules(target: Module, source: Module, channels: int, min_rows: int
     inside = is_jump & (F.col("param") < length)
     # With several sequences no jump is rewritten, so the lookup only has to be unique per single-sequence source.
     target_of = jumps.groupBy("param").agg(F.min("_to").alias("_to"))
-    jumped = moved.join(target_of, "param", "left").withColumns(
+    jumps_inside = F.coalesce(inside, F.lit(False))
+    led = moved.filter(jumps_inside).join(target_of, "param", "left").withColumns(
         {
-            "command": F.when(inside & F.col("_to").isNull(), 0).otherwise(F.col("command")).cast("long"),
-            "param": F.when(inside & F.col("_to").isNotNull(), F.col("_to")).otherwise(F.col("param")).cast("long"),
+            "command": F.when(F.col("_to").isNull(), 0).otherwise(F.col("command")).cast("long"),
+            "param": F.coalesce("_to", "param").cast("long"),
         }
     )
+    jumped = led.drop("_to").unionByName(moved.filter(~jumps_inside))
     body = jumped.select(F.col("new_pattern").alias("pattern"), "row", "channel", *c.FIELDS)
     header = patterns.select(F.col("new_pattern").alias("pattern"), F.greatest("rows", F.lit(min_rows)).cast("long").alias("rows"))
 

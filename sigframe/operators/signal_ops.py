@@ -70,7 +70,7 @@ def lfo(phase: Column, wave: str, amplitude: float, offset: float, inverted: boo
     points are a hash of the cycle number (ours)."""
 
     def point(c: Column) -> Column:
-        return F.pmod(F.xxhash64(c), F.lit(1 << 20)) / float(1 << 19) - 1.0
+        return F.conv(F.substring(F.md5(c.cast("string")), 1, 5), 16, 10).cast("double") / float(1 << 19) - 1.0
 
     if wave == "sine":
         v = F.sin(phase * (2 * math.pi))

@@ -7,7 +7,7 @@ helpers here keep every task bounded by a block of positions instead:
                    `lag`/`lead` run per block;
 * `running`      - running sum / count / max / min / last in two passes: per-block totals, a small ordered
                    scan over the totals, then the in-block running value plus its carry;
-* `dense_index`  - 0-based row numbers inside a key, in two passes over range buckets;
+* `dense_index`  - 0-based row numbers inside a key, in two passes over buckets of the order;
 * `islands`      - maximal runs of consecutive positions, merged inside blocks first, so only runs that touch
                    a block edge (at most two per block) are looked at across blocks.
 """
@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 BLOCK = 1 << 16
-TARGET_ROWS = 1_000_000
+PARTS = 64  # buckets of a numbering
 _B = "_block"
 
 
@@ -137,48 +137,51 @@ def running(
 
 
 def _as_number(df: DataFrame, col: str) -> Column:
+    """The column as a number in the same order, whatever the session's time zone."""
     kind = df.schema[col].dataType
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return F.unix_micros(F.col(col).cast("timestamp"))
+    if isinstance(kind, T.TimestampNTZType):
+        c = F.col(col)  # whole seconds, from the fields, which no zone touches
+        return F.unix_date(c.cast("date")).cast("long") * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(F.col(col))
+    if isinstance(kind, T.DateType):
+        return F.unix_date(F.col(col))
     return F.col(col)
 
 
-def range_bucket(df: DataFrame, col: str, target_rows: int = TARGET_ROWS) -> Column | None:
-    """A non-decreasing bucket of a numeric or time column, about `target_rows` rows each.
+def range_bucket(df: DataFrame, col: str, parts: int | None = None) -> Column:
+    """A non-decreasing bucket (-1 for NULL, else 0 .. `parts`) of a numeric or time column, with about as many rows in each.
 
-    One small aggregate (count, min, max) fixes the width. Returns None where a single bucket is enough, so
-    small inputs keep a one-pass plan. A hot key is spread over as many buckets as the table is.
+    The limits are quantiles, taken by a one-row aggregate inside the plan, so outliers do not matter and a hot key is
+    spread over as many buckets as the table is. Rows that share one value share a bucket.
     """
+    n = parts or PARTS
     v = _as_number(df, col)
-    rows, lo, hi = df.agg(F.count(F.lit(1)), F.min(v), F.max(v)).first()
-    if rows <= target_rows or lo is None or hi == lo:
-        return None
-    parts = -(-rows // target_rows) * 4
-    return F.coalesce(F.floor((v - F.lit(lo)) / F.lit((hi - lo) / parts)), F.lit(-1)).cast("long")
+    limits = df.agg(F.percentile_approx(v, [i / n for i in range(1, n)]).alias("_limits")).scalar()
+    return F.coalesce(F.array_position(F.sort_array(F.array_append(limits, v)), v) - 1, F.lit(-1)).cast("long") if n > 1 else F.lit(0).cast("long")
 
 
-def dense_index(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], bucket: Column | None, out: str = "n"
-) -> DataFrame:
+def dense_index(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], bucket: Column, out: str = "n") -> DataFrame:
     """0-based row number inside `keys` along `order`.
 
-    `bucket` is a non-decreasing function of the order (see `range_bucket`); None means the groups are known
-    to be small. The offsets table has one row per (key, bucket).
+    `bucket` is a non-decreasing function of the order: a block of positions, or a `range_bucket`, which it has to be without
+    keys. A task numbers one bucket of one key; the offsets come from the bucket counts.
     """
     keys = list(keys)
-    whole = keys or [F.lit(0)]
-    if bucket is None:
-        return df.withColumn(out, F.row_number().over(W.partitionBy(*whole).orderBy(*order)).cast("long") - 1)
     b = df.withColumn(_B, bucket)
+    local = b.withColumn(out, F.row_number().over(W.partitionBy(*keys, _B).orderBy(*order)).cast("long") - 1)
     counts = b.groupBy(*keys, _B).agg(F.count(F.lit(1)).alias("_rows"))
-    prior = W.partitionBy(*whole).orderBy(_B).rowsBetween(W.unboundedPreceding, -1)
+    if not keys:
+        sizes = counts.agg(F.collect_list(F.struct(_B, "_rows")).alias("s"))  # one entry per bucket
+
+        def ahead(e: Column) -> Column:
+            return F.aggregate(F.filter("s", lambda x: x[_B] < e[_B]), F.lit(0).cast("long"), lambda total, x: total + x["_rows"])
+
+        offset = sizes.select(F.map_from_entries(F.transform("s", lambda e: F.struct(e[_B], ahead(e)))).alias("o")).scalar()
+        return local.withColumn(out, F.col(out) + F.element_at(offset, F.col(_B))).drop(_B)
+    prior = W.partitionBy(*keys).orderBy(_B).rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(*keys, _B, F.coalesce(F.sum("_rows").over(prior), F.lit(0)).alias("_off"))
-    local = W.partitionBy(*keys, _B).orderBy(*order)
-    return (
-        b.join(offsets, [*keys, _B])
-        .withColumn(out, F.row_number().over(local).cast("long") - 1 + F.col("_off"))
-        .drop(_B, "_off")
-    )
+    return local.join(offsets, [*keys, _B]).withColumn(out, F.col(out) + F.col("_off")).drop(_B, "_off")
 
 
 def islands(

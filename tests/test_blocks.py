@@ -36,12 +36,10 @@ def test_running_equals_one_window(spark, skewed, kind, inclusive):
 
 
 def test_dense_index_with_buckets(spark, skewed):
-    bucket = range_bucket(skewed, "t", target_rows=100)
-    assert bucket is not None
+    bucket = range_bucket(skewed, "t", 16)
     got = dense_index(skewed, ["k"], ["t"], bucket)
-    want = dense_index(skewed, ["k"], ["t"], None)
+    want = dense_index(skewed, ["k"], ["t"], F.lit(0))
     assert got.select("k", "t", "n").exceptAll(want.select("k", "t", "n")).count() == 0
-    assert range_bucket(skewed, "t") is None
     all_rows = dense_index(skewed, [], ["t"], bucket)
     assert [r.n for r in all_rows.orderBy("t").collect()] == list(range(1500))
 
@@ -125,3 +123,25 @@ def test_self_shift_block_size(spark):
     shifts = [1, 5, 17]
     a = {r.shift: r.cost for r in signal_ops.self_shift_diff(s, shifts, size=32, chunk=2).collect()}
     assert a == {k: sum((x[i + k] - x[i]) ** 2 for i in range(300 - 17)) for k in shifts}
+
+
+def test_numbering_ignores_outliers_and_time_zones(spark):
+    rows = [(1, i, 0) for i in range(2000)] + [(1, -(10**15), 0), (2, 5, 0), (2, None, 0)]
+    df = spark.createDataFrame(rows, "k long, v long, x int").repartition(5)
+    sizes = df.groupBy(range_bucket(df, "v", 16).alias("b")).count().collect()
+    assert max(r["count"] for r in sizes) < 300
+    out = dense_index(df, ["k"], ["v"], range_bucket(df, "v", 16))
+    assert [r.n for r in out.filter("k = 1").orderBy("v").collect()] == list(range(2001))
+    assert [(r.v, r.n) for r in out.filter("k = 2").orderBy("n").collect()] == [(None, 0), (5, 1)]
+    whole = dense_index(df, [], ["v", "k"], range_bucket(df, "v", 16))
+    assert [r.n for r in whole.orderBy("v", "k").collect()] == list(range(2003))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        stamps = spark.sql("SELECT 1 AS k, TIMESTAMP_NTZ'2024-03-31 00:00:00' + make_dt_interval(0, 0, 15 * id) AS ts, id FROM range(24)")
+        got = dense_index(stamps, ["k"], ["ts"], range_bucket(stamps, "ts", 8))
+        assert got.filter("n <> id").isEmpty()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    empty = df.filter("false")
+    assert dense_index(empty, ["k"], ["v"], range_bucket(empty, "v")).isEmpty() and dense_index(empty, [], ["v"], range_bucket(empty, "v")).isEmpty()
