@@ -96,8 +96,9 @@ def _(spark, d):
         null.cast("double").alias("conditioning_lowpass_hz"),
         F.lit(1).cast("long").alias("original_rate_hz"),
     )
-    text = e.select("event_id", F.to_json(F.struct(F.array(first, second).alias("items"))).alias("manifest"))
-    return files.parse_manifest(text, "manifest", "event_id")
+    path = shared_path(spark, "manifests")
+    e.select(F.to_json(F.struct(F.array(first, second).alias("items"))).alias("manifest")).write.text(path)
+    return files.read_manifest(spark, path, lines=True).withColumn("event_id", F.regexp_extract("stem", r"\d+", 0).cast("long"))
 
 
 _OUT = "outs AS (SELECT doc_id, 'out/' || source || '_' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.wav' WHEN 1 THEN '_48k.wav' WHEN 2 THEN '_48k.flac' ELSE 'x.wav' END AS path FROM documents)"

@@ -151,27 +151,22 @@ def _(spark, d):
 
 
 @query("duplicate_patterns", "G13", oracle("cell",
-    """tiny AS (SELECT pattern AS p, count(*) AS n, sum(vol) AS s FROM cell GROUP BY 1)""",
-    """tc AS (SELECT p AS pattern, n AS "row", s % 30 AS vol FROM tiny)""",
-    "tw AS (SELECT pattern, min(pattern) OVER (PARTITION BY \"row\", vol) AS same_as, count(*) OVER (PARTITION BY \"row\", vol) AS members FROM tc)",
+    """gs AS (SELECT pattern, string_agg("row" || ':' || (1 + vol % 3), ',' ORDER BY "row") AS grid FROM cell GROUP BY 1)""",
+    "tw AS (SELECT pattern, min(pattern) OVER (PARTITION BY grid) AS same_as, count(*) OVER (PARTITION BY grid) AS members FROM gs)",
     "SELECT * FROM tw WHERE members > 1"))
 def _(spark, d):
-    t = v.cell(spark, d).groupBy("pattern").agg(F.count(F.lit(1)).alias("row"), (F.sum("vol") % 30).alias("vol"))
-    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    grid = t.select(
-        "pattern", "row", zero.alias("channel"), one.alias("note"), zero.alias("instr"), one.alias("volcmd"), "vol",
-        zero.alias("command"), zero.alias("param"),
-    )
-    return g.duplicate_patterns(grid)
+    zero = F.lit(0).cast("long")
+    blank = {k: zero for k in ("channel", "instr", "volcmd", "command", "param")}
+    coarse = v.cell(spark, d).withColumns({**blank, "note": 1 + F.col("vol") % 3}).withColumn("vol", zero)
+    return g.duplicate_patterns(coarse)
 
 
 @query("common_cells", "U2", oracle("cell", NORM,
-    "SELECT \"row\", channel, note, volcmd FROM nc WHERE instr < 50 INTERSECT SELECT \"row\", channel, note, volcmd FROM nc WHERE instr >= 50"))
+    """SELECT "row", channel, note, instr, volcmd, vol, command, param FROM nc WHERE note <= 80
+    INTERSECT SELECT "row", channel, note, instr, volcmd, vol, command, param FROM nc WHERE note > 40"""))
 def _(spark, d):
     cells = v.cell(spark, d)
-    pick = ["row", "channel", "note", "volcmd"]
-    a, b = (g.normalised(cells.filter(f"instr {op} 50")).select(*pick) for op in ("<", ">="))
-    return a.intersect(b)
+    return g.common_cells(cells.filter("note <= 80"), cells.filter("note > 40"))
 
 
 @query("only_in_a", "U2", oracle("cell", NORM,

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sigframe.functions import cells as c
 from sigframe.plans.blocked import block_of, positions, running
+from sigframe.session import materialize
 
 ROW_BLOCK = 4096
 
@@ -180,9 +181,9 @@ def pattern_groups(cells: DataFrame) -> DataFrame:
     then compared cell by cell with that smallest pattern, so a hash collision cannot merge two patterns; each
     pattern is compared once, never pair by pair."""
     used = cells.filter(~c.is_empty())
-    sigs = used.groupBy("pattern").agg(*grid_signature())
+    sigs = materialize(used.groupBy("pattern").agg(*grid_signature()), "signatures")
     first = sigs.groupBy("sig_a", "sig_b", "cells").agg(F.min("pattern").alias("same_as"))
-    cand = sigs.join(first, ["sig_a", "sig_b", "cells"]).select("pattern", "same_as", "cells")
+    cand = materialize(sigs.join(first, ["sig_a", "sig_b", "cells"]).select("pattern", "same_as", "cells"), "candidates")
     flat = used.select("pattern", "row", "channel", *[e.alias(k) for k, e in c.comparable().items()])
     others = cand.filter(F.col("pattern") != F.col("same_as"))
     mine = flat.join(others, "pattern")
@@ -200,8 +201,8 @@ def pattern_groups(cells: DataFrame) -> DataFrame:
 
 
 def duplicate_patterns(cells: DataFrame) -> DataFrame:
-    """Only the groups of two or more: `pattern, same_as`."""
-    groups = pattern_groups(cells)
+    """Only the groups of two or more: `pattern, same_as, members`."""
+    groups = materialize(pattern_groups(cells), "groups")
     many = groups.groupBy("same_as").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     return groups.join(many, "same_as").select("pattern", "same_as", "members")
 

@@ -189,9 +189,9 @@ MANIFEST = T.StructType(
 )
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """One row per job item of JSON manifest files."""
-    return spark.read.schema(MANIFEST).json(path, multiLine=True).select(F.inline("items"))
+def read_manifest(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row per job item of JSON manifest files: a manifest per file, or with `lines` one per line."""
+    return spark.read.schema(MANIFEST).json(path, multiLine=not lines).select(F.inline("items"))
 
 
 def parse_manifest(df: DataFrame, column: str, *keep: str) -> DataFrame:
