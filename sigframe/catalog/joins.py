@@ -95,10 +95,12 @@ _RULES_SQL = "ru(kind, channel, controller, plugin, param, capture, edit, ord) A
       AND (e.kind <> 11 OR r.controller = e.d1 OR (r.controller < 32 AND r.controller + 32 = e.d1)))""",
     "cp AS (SELECT *, min(CASE WHEN capture THEN ord END) OVER (PARTITION BY stream, seq) AS cut FROM hit)",
     "kp AS (SELECT * FROM cp WHERE cut IS NULL OR ord <= cut)",
-    """ag AS (SELECT stream, seq, CAST(count(*) AS INTEGER) AS matches, bool_or(capture) AS captured, arg_max(plugin, CASE WHEN edit THEN ord END) AS plugin,
+    """ag AS (SELECT stream, seq, CAST(count(*) AS INTEGER) AS matches, bool_or(capture) AS captured, arg_max(plugin, CASE WHEN edit THEN ord END) AS plugin, min(ord) AS first_ord, max(CASE WHEN edit THEN ord END) AS edit_ord,
       arg_max(param, CASE WHEN edit THEN ord END) AS param FROM kp GROUP BY 1, 2)""",
+    "bf AS (SELECT stream, seq, lag(d1) OVER w AS pc, lag(d2) OVER w AS pv FROM ev JOIN ag USING (stream, seq) WHERE kind = 11 WINDOW w AS (PARTITION BY stream ORDER BY seq))",
     """SELECT e.stream, e.seq, coalesce(matches, 0) AS matches, coalesce(captured, false) AS captured, plugin, param,
-      CASE WHEN plugin IS NOT NULL THEN CASE WHEN e.kind = 13 THEN e.d1 << 7 ELSE e.d2 << 7 END END AS value FROM ev e LEFT JOIN ag USING (stream, seq)"""))
+      CASE WHEN plugin IS NOT NULL THEN CASE WHEN e.kind = 13 THEN e.d1 << 7
+      WHEN pc < 32 AND e.d1 = pc + 32 AND first_ord = edit_ord THEN e.d2 | (pv << 7) ELSE e.d2 << 7 END END AS value FROM ev e LEFT JOIN ag USING (stream, seq) LEFT JOIN bf USING (stream, seq)"""))
 def _(spark, d):
     from sigframe.functions.text import word_parts
 

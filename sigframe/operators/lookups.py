@@ -8,7 +8,7 @@ from dataclasses import dataclass, fields
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigframe.plans.blocked import shifted
+from sigframe.plans.blocked import block_of, running, shifted
 
 
 def paired_controller(df: DataFrame) -> DataFrame:
@@ -88,10 +88,13 @@ CONTROL_CHANGE, CHANNEL_PRESSURE = 11, 13  # fixed values
 
 
 def route_controls(events: DataFrame, directives: Sequence[Directive]) -> DataFrame:
-    """Route control events (`kind, channel, data1, data2`). Rules are tried by controller, in given order within
+    """Route control events (`stream, seq, kind, channel, data1, data2`). Rules are tried by controller, in given order within
     ties; a rule fits on kind, channel and, for control changes, the controller or its partner 32 above; the first
     capturing rule that fits ends the search. The last fitting rule that allows pattern edits gives plugin,
-    parameter and value. Adds `matches, captured, plugin, param, value`; rules are literals, so there is no join."""
+    parameter and value. Adds `matches, captured, plugin, param, value`; rules are literals, so there is no join.
+
+    A control change that follows the one 32 below (of those that a rule fits, in the stream's order) joins its seven bits below
+    that one's, for its first fitting rule; any further rule gets its own seven bits only."""
     ranked = sorted(directives, key=lambda r: r.controller)
     rules = F.array(*[F.struct(*[F.lit(getattr(r, f.name)).alias(f.name) for f in fields(r)]) for r in ranked])
 
@@ -104,8 +107,14 @@ def route_controls(events: DataFrame, directives: Sequence[Directive]) -> DataFr
     cut = F.array_position(F.transform("_hits", lambda r: r["capture"]), True)
     hits = hits.withColumn("_cut", cut)
     seen = F.when(F.col("_cut") > 0, F.slice("_hits", 1, F.col("_cut").cast("int"))).otherwise(F.col("_hits"))
-    hits = hits.withColumns({"_seen": seen}).withColumn("_last", F.get(F.reverse(F.filter("_seen", lambda r: r["pattern_edit"])), F.lit(0)))
-    raw = F.shiftleft(F.when(F.col("kind") == CHANNEL_PRESSURE, F.col("data1")).otherwise(F.col("data2").bitwiseAND(F.lit(127))), 7)
+    hits = hits.withColumns({"_seen": seen})
+    heard = F.when((F.col("kind") == CONTROL_CHANGE) & (F.size("_seen") > 0), F.struct(F.col("data1").alias("cc"), F.col("data2").bitwiseAND(F.lit(127)).alias("v")))
+    hits = running(hits, ["stream"], ["seq"], block_of("seq"), {"_before": ("last", heard)}, inclusive=False)
+    hits = hits.withColumn("_last", F.get(F.reverse(F.filter("_seen", lambda r: r["pattern_edit"])), F.lit(0)))
+    low = F.when(F.col("kind") == CHANNEL_PRESSURE, F.col("data1")).otherwise(F.col("data2").bitwiseAND(F.lit(127)))
+    first_edits = ~F.exists(F.slice("_seen", 2, F.greatest(F.size("_seen") - 1, F.lit(0))), lambda r: r["pattern_edit"])
+    pair = heard.isNotNull() & (F.col("_before.cc") < 32) & (F.col("data1") == F.col("_before.cc") + 32) & first_edits
+    raw = F.when(pair, low.bitwiseOR(F.shiftleft("_before.v", 7))).otherwise(F.shiftleft(low, 7))
     return hits.withColumns(
         {
             "matches": F.size("_seen"),
@@ -114,7 +123,7 @@ def route_controls(events: DataFrame, directives: Sequence[Directive]) -> DataFr
             "param": F.col("_last.param"),
             "value": F.when(F.col("_last").isNotNull(), raw),
         }
-    ).drop("_hits", "_cut", "_seen", "_last")
+    ).drop("_hits", "_cut", "_seen", "_last", "_before")
 
 
 @dataclass(frozen=True)

@@ -38,8 +38,9 @@ def stage(df: DataFrame, slice_of: Column | str, label: str = "stage") -> tuple[
     files = max((-(-n // FILE_ROWS) for _, n in sizes), default=1)
     for (_, value), n in sizes:
         some = cut.filter(F.col("_slice").eqNullSafe(F.lit(value))).drop("_slice")
-        some.repartition(min(files, n)).write.mode("append").parquet(path)
-        for _ in range(files - n):
+        full = -(-n // FILE_ROWS)
+        some.repartition(full).write.mode("append").parquet(path)
+        for _ in range(files - full):
             some.limit(0).coalesce(1).write.mode("append").parquet(path)
     if not sizes:
         cut.drop("_slice").write.parquet(path)

@@ -1,6 +1,7 @@
 """Rules with known answers: edges, guards, phasors, cue sheets, streams."""
 
 import math
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -216,8 +217,23 @@ def test_staged_slices_have_equal_file_counts(spark, monkeypatch):
     from sigframe.streaming import runs
 
     monkeypatch.setattr(runs, "FILE_ROWS", 100)
-    df = spark.range(700).withColumn("k", F.when(F.col("id") < 600, 0).otherwise(2))
-    path, files = runs.stage(df, ["k = 0", "k = 1", "k = 2"])
-    assert files == 6 and spark.read.parquet(path).count() == 700
-    names = spark.read.parquet(path).select(F.input_file_name()).distinct().count()
-    assert names == 12
+    df = spark.range(605).withColumn("k", F.when(F.col("id") < 600, 0).when(F.col("id") < 602, 40))
+    path, files = runs.stage(df, "k")
+    assert files == 6 and spark.read.parquet(path).count() == 605
+    parts = sorted(Path(path.removeprefix("file:")).glob("part-*"), key=lambda f: f.stat().st_mtime_ns)
+    sizes = [spark.read.parquet(str(f)).count() for f in parts]
+    assert len(sizes) == 18 and sum(sizes[:6]) == 600 and sum(sizes[6:12]) == 2 and sum(sizes[12:]) == 3
+    assert spark.read.parquet(*map(str, parts[12:])).filter("k is not null").isEmpty()
+    path, files = runs.stage(df.filter("false"), "k")
+    assert files == 1 and spark.read.parquet(path).isEmpty()
+
+
+def test_paired_controls_join_for_their_first_rule(spark):
+    from sigframe.operators import lookups as lk
+
+    rules = [lk.Directive(11, 0, 7, 1, 10, False, True), lk.Directive(11, 0, 20, 2, 11, False, True), lk.Directive(11, 0, 39, 3, 12, False, False)]
+    rows = [(1, 0, 11, 0, 7, 100), (1, 1, 11, 0, 50, 1), (1, 2, 11, 0, 39, 5), (1, 3, 11, 0, 39, 6), (1, 4, 11, 0, 20, 9), (1, 5, 11, 0, 52, 3), (2, 0, 11, 0, 39, 5)]
+    events = spark.createDataFrame(rows, "stream long, seq long, kind int, channel int, data1 int, data2 int")
+    got = {(r.stream, r.seq): (r.matches, r.value) for r in lk.route_controls(events, rules).collect()}
+    assert got[1, 2] == (2, 5 | 100 << 7) and got[1, 3] == (2, 6 << 7) and got[1, 5] == (1, 3 | 9 << 7) and got[2, 0] == (2, 5 << 7)
+    assert got[1, 1] == (0, None) and got[1, 0] == (1, 100 << 7)
