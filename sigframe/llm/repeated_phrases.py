@@ -10,8 +10,8 @@ smaller id. The work:
 3. phrases: in the first text of each recurring window, runs of such windows with one anchor become a phrase: a core that
    all its windows contain, and the words on either side.
 4. automata: texts are dealt to shards by id, and a phrase goes (once) to each shard that holds its anchor in a later text. Each
-   shard compiles the cores into an Aho-Corasick automaton over word numbers, streams all its texts through it, and compares the
-   words around every occurrence.
+   shard compiles the cores into an Aho-Corasick automaton over words, streams all its texts through it, and compares the words of
+   and around every occurrence.
 
 Nulls: a null text has no words; a row with a null id is never changed and never the earlier text. Rows that share an id are
 not earlier than one another. Texts under `WINDOW` words cannot change. Each input row gives one row. Windows are compared
@@ -21,6 +21,7 @@ by 64-bit hash until step 4, which compares words.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -34,6 +35,7 @@ from sigframe.llm.words import pieces, runs, sliding_min, starts_inside, text_bu
 from sigframe.session import materialize
 
 WINDOW, GRAM = 50, 8
+SHARDS = 2  # per partition
 SPAN = WINDOW - GRAM + 1  # phrases in a window
 
 
@@ -142,40 +144,54 @@ def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([c.cast(pa.string()) if pa.types.is_binary(c.type) else c for c in cols], names)
 
 
+_OTHER = "\0"
+_RUN = re.compile(f"[^{_OTHER}]{{{GRAM},}}")
+_SIGNS = 1_000_000
+
+
 class _Shard:
-    """The automaton of one shard. Words have numbers if a phrase holds them, else 0, which no core contains."""
+    """The automaton of one shard, over texts with one character per word: its own for a word of the shard's phrases (a million
+    different ones; what is found is compared in full), `_OTHER` for any word else. A core has `GRAM` words or more, so only runs of
+    that many phrase words go through the automaton."""
 
     def __init__(self) -> None:
-        self.vocab: dict[bytes, int] = {}
-        self.phrases: dict[tuple[int, ...], list[tuple[int, int, list[bytes]]]] = {}
+        self.sign: dict[bytes, str] = {}
+        self.phrases: dict[str, list[tuple[int, int, list[bytes]]]] = {}
         self.automaton = None
 
     def add(self, first_doc: int, core: str, lead: int, phrase: str) -> None:
         words = phrase.encode().split()
         for w in words:
-            self.vocab.setdefault(w, len(self.vocab) + 1)
-        key = tuple(self.vocab[w] for w in core.encode().split())
+            if w not in self.sign:
+                n = 1 + len(self.sign) % _SIGNS
+                self.sign[w] = chr(n if n < 0xD800 else n + 0x800)  # no surrogates
+        key = "".join(self.sign[w] for w in core.encode().split())
         self.phrases.setdefault(key, []).append((first_doc, lead, words))
 
-    def covered(self, doc_id: int | None, words: list[bytes]) -> np.ndarray | None:
-        """Which words a window of an earlier text covers; None if none."""
-        if doc_id is None or len(words) < WINDOW or not self.phrases:
-            return None
+    def _occurrences(self, words: list[bytes]) -> Iterator[tuple[int, str]]:
         if self.automaton is None:
-            self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+            self.automaton = ahocorasick.Automaton()
             for key in self.phrases:
                 self.automaton.add_word(key, key)
             self.automaton.make_automaton()
+        for run in _RUN.finditer("".join(map(self.sign.get, words, repeat(_OTHER)))):
+            for end, key in self.automaton.iter(run[0]):
+                yield run.start() + end + 1 - len(key), key
+
+    def covered(self, doc_id: int | None, words: list[bytes]) -> np.ndarray | None:
+        """Which words a window of an earlier text covers; None if none."""
+        if doc_id is None or len(words) < WINDOW or not self.phrases:
+            return None
         out = None
-        for end, key in self.automaton.iter(tuple(map(self.vocab.get, words, repeat(0)))):
-            start = end - len(key) + 1
+        for start, key in self._occurrences(words):
+            stop = start + len(key)
             for first_doc, lead, phrase in self.phrases[key]:
-                if first_doc >= doc_id:
+                if first_doc >= doc_id or words[start:stop] != phrase[lead : lead + len(key)]:
                     continue
                 a, b = max(start - lead, 0), min(start - lead + len(phrase), len(words))
                 if out is not None and out[a:b].all():
                     continue
-                x, y = start, end + 1
+                x, y = start, stop
                 while x > a and words[x - 1] == phrase[x - 1 - start + lead]:
                     x -= 1
                 while y < b and words[y] == phrase[y - start + lead]:
@@ -253,7 +269,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     phrases = materialize(found.mapInArrow(_phrases, "anchor long, first_doc long, core string, lead int, phrase string").distinct(), "phrases")
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shard = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("shard")
+    shard = F.pmod(F.xxhash64("doc_id"), F.lit(SHARDS * parts)).cast("int").alias("shard")
     where = (
         stretches.mapInArrow(_stretch_anchors, "doc_id long, anchor long")
         .groupBy("anchor", shard)
