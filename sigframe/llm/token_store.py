@@ -33,16 +33,39 @@ from sigframe.llm.words import pieces
 
 SEGMENT = 1 << 20
 END = 1
-KNOWN = 500_000
+KNOWN = 700_000
 _HEAD = struct.Struct("<4sBBII")
 _WORD = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)")
 
 
+def _byte_signs() -> dict[int, int]:
+    """Fixed rule of byte-level vocabularies: printable Latin-1 bytes stand for themselves, the others for signs from 256 on, in order."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in printable]
+    return {b: b for b in printable} | {b: 256 + i for i, b in enumerate(rest)}
+
+
+_SIGNS = _byte_signs()
+
+
+class _Known(dict):
+    """Ids by word; a missing word is looked up once."""
+
+    def __init__(self, find) -> None:
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, key):
+        self[key] = got = self.find(key)
+        return got
+
+
 class WordIds:
     """Ids of words under a tokenizer that drops white space, so that a text's ids are its words' ids in a row.
 
-    Ids of up to `KNOWN` words are remembered between texts and tasks. A word of Latin letters and trailing ASCII punctuation is looked up
-    as those two, lower-cased, where the tokenizer separates and lower-cases them anyway; new ones are tokenized many at a time.
+    Ids of up to `KNOWN` words are remembered between texts and tasks. If the tokenizer lower-cases, separates letters from other
+    characters and works on bytes (tried on a few words at the start), a word of Latin letters and trailing ASCII punctuation is
+    given to its piece model as those two parts, which are remembered too.
     """
 
     def __init__(self, spec: str) -> None:
@@ -50,58 +73,39 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.wide = max(vocab.values(), default=0) > 0xFFFF
-        self.last = np.zeros(max(vocab.values(), default=0) + 1, bool)
-        self.last[[i for piece, i in vocab.items() if piece.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.wide = max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0) > 0xFFFF
+        self.known, self.parts = _Known(self._find), _Known(self._part)
+        probe = ["The", "Über", "naïve...", "ÇÀ!!", "qwrtzu,", "eßen.###", "x"]
+        self.direct = True
+        self.direct = all(self._find(w.encode()) == self._plain(w) for w in probe)
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _tokenize(self, parts: list[str]) -> None:
-        """Remember the ids of letter runs and punctuation runs."""
-        for k in range(0, len(parts), 4096):
-            some = parts[k : k + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == len(some) and ends[-1] == len(ids):
-                raw, cut = ids.tobytes(), (4 * np.concatenate([[0], ends])).tolist()
-                self.parts.update(zip(some, (raw[a:b] for a, b in zip(cut, cut[1:]))))
-            else:
-                self.parts.update((x, self._plain(x)) for x in some)
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.known) > KNOWN:
-            self.known.clear()
-        if len(self.parts) > KNOWN:
-            self.parts.clear()
-        two, other = {}, []
-        for w in words:
-            text = w.decode("utf-8", "surrogatepass")
-            m = _WORD.fullmatch(text)
-            if m and max(m[1]) < "İ" and m[1].isalpha():
-                two[w] = (m[1].lower(), m[2])
-            else:
-                other.append((w, text))
-        new = {x for pair in two.values() for x in pair if x and x not in self.parts}
-        self._tokenize(sorted(new))
-        self.parts[""] = b""
-        parts = self.parts
-        self.known.update((w, parts[a] + parts[b]) for w, (a, b) in two.items())
-        self.known.update((w, self._plain(text)) for w, text in other)
+    def _part(self, part: str) -> bytes:
+        signs = part if part.isascii() else part.encode().decode("latin-1").translate(_SIGNS)
+        ids = [t.id for t in self.model.tokenize(signs)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _find(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "surrogatepass")
+        m = _WORD.fullmatch(text) if self.direct else None
+        if m is None:
+            return self._plain(text)
+        letters, marks = m.groups()
+        if not (letters.isascii() or max(letters) < "İ" and letters.isalpha()):
+            return self._plain(text)
+        ids = self.parts[letters.lower()]
+        return ids + self.parts[marks] if marks else ids
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text, as little-endian 32-bit numbers."""
-        split = [t.split() for t in texts]
-        new = set().union(*split) - self.known.keys()
-        if new:
-            if len(self.known) > KNOWN:
-                new = set().union(*split)
-            self.learn(new)
+        for memory in (self.known, self.parts):
+            if len(memory) > KNOWN:
+                memory.clear()
         get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        return [b"".join(map(get, t.split())) for t in texts]
 
 
 class TextIds:
