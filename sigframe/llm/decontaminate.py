@@ -84,8 +84,8 @@ def contained(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_co
         looked_up = _send(whole.filter(F.col("width") == width).select("item_id", "k", "hash", "shingle"), count)
         return grams(width).join(looked_up, ["hash", "shingle"]).select("doc_id", "item_id", "k").distinct()
 
-    none = texts.limit(0).crossJoin(items.limit(0))
-    pairs = reduce(DataFrame.unionByName, map(found, widths), none.select("doc_id", "item_id"))
+    none = texts.limit(0).select("doc_id", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"))
+    pairs = reduce(DataFrame.unionByName, map(found, widths), none)
     parts = reduce(DataFrame.unionByName, map(held, widths), none.select("doc_id", "item_id", F.lit(0).alias("k")))
     pairs = materialize(pairs, "pairs")
     shared = parts.join(pairs, ["doc_id", "item_id"], "left_semi").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).cast("int").alias("n_shared"))

@@ -164,8 +164,7 @@ def outliers(rows: DataFrame) -> DataFrame:
     best = params.groupBy("grp").agg(F.min_by(F.struct(*[c for c in params.columns if c not in ("grp", "start")]), F.struct("logdet", "start")).alias("b")).select("grp", "b.*")
     near = _distance(_by_salt(good, materialize(best, "best"), "grp"), NEAR_FACTOR).filter(F.col("d2") <= FAR_LIMIT)
     final = _solved(_estimate(near.groupBy("grp").agg(*_sums()), ["grp"]))
-    total = good.agg(F.count(F.lit(1)).alias("total"))
-    final = final.crossJoin(total).filter(F.col("total") >= MIN_ROWS).drop("total")  # one row of totals
+    final = final.filter(good.agg(F.count(F.lit(1)).alias("total")).scalar() >= MIN_ROWS)
     return _distance(_by_salt(rows, final, "grp"), FAR_FACTOR).withColumnRenamed("d2", "distance")
 
 

@@ -61,9 +61,9 @@ def interleave(
     ranked = ranked.join(per, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     placed = ranked.withColumn("part", (F.col("rank") + F.lit(0.5)) / F.col("n")).drop("rank", "n")
     ordered = numbered(placed, [], F.floor(F.col("part") * BUCKETS).cast("int"), ["part", "source", "order", "doc_id", "size", "text_crc32"], "place")
-    total = narrow.agg(F.count(F.lit(1)).alias("total"))
+    total = narrow.agg(F.count(F.lit(1)).alias("total")).scalar()
     return (
-        ordered.crossJoin(total)
+        ordered.withColumn("total", total)
         .withColumn("shard", F.expr(f"cast(place * {shards} div total as int)"))
         .withColumn("slot", F.expr(f"place - (cast(shard as long) * total + {shards - 1}) div {shards}"))
         .select("doc_id", "source", "size", "text_crc32", "shard", "slot")
