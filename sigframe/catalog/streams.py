@@ -8,7 +8,7 @@ from sigframe.catalog.registry import query, r6
 from sigframe.plans import views as v
 from sigframe.plans.views import oracle
 from sigframe.streaming import operators as so
-from sigframe.streaming.runs import append_to_table, replay, stage, update_to_table
+from sigframe.streaming.runs import append_to_table, complete_to_table, replay, stage, update_to_table
 
 
 def _samples(spark, d):
@@ -20,11 +20,12 @@ def _samples(spark, d):
     return replay(spark, path, n.schema, files)
 
 
-def _events(spark, d):
-    """The events file itself as a stream."""
-    stream = replay(spark, d, v.table(spark, d, "events").schema, pathGlobFilter="events.parquet")
-    return stream.select(
-        F.col("user_id").alias("stream"), F.col("event_id").alias("seq"), (F.col("value") / 250.0 - 1).alias("x"), F.col("ts").cast("timestamp").alias("ts"), "event_type"
+def _events(spark, d, copies: int = 1):
+    """The events as a stream, a micro-batch for each ten days; further copies of a row come ten days later each."""
+    e = v.table(spark, d, "events").withColumns({"ts": F.col("ts").cast("timestamp"), "copy": F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))})
+    path, files = stage(e, F.floor(F.unix_micros("ts") / 864_000_000_000) + F.col("copy"), "events")
+    return replay(spark, path, e.schema, files).select(
+        F.col("user_id").alias("stream"), F.col("event_id").alias("seq"), (F.col("value") / 250.0 - 1).alias("x"), "ts", "event_type"
     )
 
 
@@ -56,11 +57,13 @@ def _(spark, d):
 @query("sessions", "T3", """WITH g AS (SELECT user_id AS stream, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 hour THEN 1 ELSE 0 END AS new FROM events),
     s AS (SELECT *, sum(new) OVER (PARTITION BY stream ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g),
     a AS (SELECT stream, min(ts) AS start, max(ts) + INTERVAL 6 hour AS stop, count(*) AS events FROM s GROUP BY stream, k)
-    SELECT stream, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, strftime(stop, '%Y-%m-%d %H:%M:%S') AS stop, events FROM a WHERE date_trunc('millisecond', stop) <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 1 hour""")
+    SELECT stream, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, strftime(stop, '%Y-%m-%d %H:%M:%S') AS stop, events, stop <= (SELECT max(ts) FROM events) - INTERVAL 1 hour AS closed FROM a""")
 def _(spark, d):
-    out = append_to_table(so.sessions(_events(spark, d), "6 hours"), "sessions")
+    out = complete_to_table(so.sessions(_events(spark, d), "6 hours"), "sessions")
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-    return out.select("stream", stamp("start").alias("start"), stamp("end").alias("stop"), "events")
+    newest = v.table(spark, d, "events").agg(F.max("ts").cast("timestamp").alias("top")).scalar()
+    closed = (F.col("end") <= newest - F.expr("INTERVAL 1 HOUR")).alias("closed")
+    return out.select("stream", stamp("start").alias("start"), stamp("end").alias("stop"), "events", closed)
 
 
 @query("stream_limiter", "T4", oracle("sig",
@@ -133,8 +136,7 @@ def _(spark, d):
 
 @query("dedupe_stream", "T9", "SELECT user_id AS stream, event_id AS seq, round(value / 250.0 - 1, 6) + 0.0 AS x FROM events")
 def _(spark, d):
-    twice = _events(spark, d).withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
-    return append_to_table(so.dedupe_stream(twice), "dedupe").select("stream", "seq", r6(F.col("x")).alias("x"))
+    return append_to_table(so.dedupe_stream(_events(spark, d, copies=2), "25 days"), "dedupe").select("stream", "seq", r6(F.col("x")).alias("x"))
 
 
 # Errors are delivered one slice after the others of their week, so they come late.

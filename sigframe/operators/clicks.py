@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigframe.plans.blocked import BLOCK, block_of, islands, with_halo
+from sigframe.session import materialize
 
 MAD_FLOOR = 1e-12
 KEYS = ["signal_id", "channel"]
@@ -179,6 +180,7 @@ def _region_context(df: DataFrame, regions: DataFrame, context: int, size: int)
 def repair_median(df: DataFrame, regions: DataFrame, context: int, size: int = BLOCK) -> DataFrame:
     """Replace every region, in all channels, by the median of the samples within `context` on either side that
     belong to no region. With no such neighbour the samples stay. Output has the rows of `df` and `repaired`."""
+    regions = materialize(regions, "regions")  # detection is the costly part, and it is used twice
     near = _region_context(df, regions, context, size)
     own = ["signal_id", "channel", "start_n"]
     bad = near.filter("_inside").select("signal_id", "channel", "n").distinct().withColumn("_bad", F.lit(True))
@@ -269,8 +271,9 @@ def apply_cleanup(df: DataFrame, rate: int, settings: CleanupSettings, context:
     params = crackle_params(rate) if settings.mode is CleanupMode.DECRACKLE else click_params(rate)
     fix = repair_median if settings.mode is CleanupMode.DECLICK_MEDIAN else repair_ar
     cur = df
-    for _ in range(passes):
-        cur = fix(cur.drop("repaired"), detect_regions(cur.drop("repaired"), params), context)
+    for k in range(passes):
+        now = cur.drop("repaired") if k == 0 else materialize(cur.drop("repaired"), "pass")
+        cur = fix(now, detect_regions(now, params), context)
     return cur
 
 

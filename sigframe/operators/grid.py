@@ -159,7 +159,7 @@ def forward_fill(masked: DataFrame) -> DataFrame:
     written = {
         f"_{f}": ("last", F.when(F.col("mask").bitwiseAND(F.lit(bit)) != 0, F.col(f))) for f, bit in MASK_BITS.items()
     }
-    out = running(masked, ["pattern", "channel"], ["row"], block_of("row", ROW_BLOCK), written)
+    out = running(materialize(masked, "masked"), ["pattern", "channel"], ["row"], block_of("row", ROW_BLOCK), written)
     return out.withColumns({f: F.coalesce(f"_{f}", F.lit(0)).cast("long") for f in c.FIELDS}).drop(*written)
 
 
@@ -276,7 +276,7 @@ def timeline(cells: DataFrame, header: DataFrame) -> DataFrame:
         ]
     )
     every = positions(header.select("pattern", "rows"), ["pattern"], "rows", "row", ROW_BLOCK).drop("rows")
-    rows = every.join(marks, ["pattern", "row"], "left")
+    rows = materialize(every.join(marks, ["pattern", "row"], "left"), "rows")
     block = block_of("row", ROW_BLOCK)
     state = running(
         rows, ["pattern"], ["row"], block, {"speed": ("last", F.col("_speed")), "tempo": ("last", F.col("_tempo"))}
@@ -288,7 +288,7 @@ def timeline(cells: DataFrame, header: DataFrame) -> DataFrame:
     )
     length = F.col("speed") * F.lit(2.5) / F.col("tempo")
     return running(
-        state.withColumn("seconds", length), ["pattern"], ["row"], block, {"start": ("sum", F.col("seconds"))}, inclusive=False
+        materialize(state.withColumn("seconds", length), "state"), ["pattern"], ["row"], block, {"start": ("sum", F.col("seconds"))}, inclusive=False
     )
 
 

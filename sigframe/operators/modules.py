@@ -36,6 +36,7 @@ def append_modules(target: Module, source: Module, channels: int, min_rows: int
     does not exist are dropped and the rest renumbered. If the source has one sequence, position jumps follow
     their order entry, or are cleared when it was dropped. Source patterns shorter than `min_rows` are padded and
     get a pattern break on their last row (or where `write_effect` finds room)."""
+    source = Module(materialize(source.cells, "cells"), materialize(source.header, "header"), source.orders, source.instruments)
     used = source.orders.filter(F.col("kind") == "pattern").groupBy("pattern").agg(F.min(F.struct("seq", "ord")).alias("_first"))
     valid = used.join(source.header, "pattern").select("pattern", "rows", F.col("_first.seq").alias("_s"), F.col("_first.ord").alias("_o"))
     valid = valid.withColumn("_at", F.shiftleft(F.col("_s").cast("long"), 32) + F.col("_o"))
@@ -45,7 +46,7 @@ def append_modules(target: Module, source: Module, channels: int, min_rows: int
     kept = source.orders.join(patterns.select("pattern", "new_pattern"), "pattern", "left").filter(
         (F.col("kind") != "pattern") | F.col("new_pattern").isNotNull()
     )
-    placed = dense_index(kept, ["seq"], ["ord"], block_of("ord", 4096), out="new_ord")
+    placed = materialize(dense_index(kept, ["seq"], ["ord"], block_of("ord", 4096), out="new_ord"), "placed")
     orders = placed.select(
         (F.col("seq") + 1 + _above(target.orders, "seq")).alias("seq"),
         F.col("new_ord").alias("ord"),
@@ -76,7 +77,7 @@ def append_modules(target: Module, source: Module, channels: int, min_rows: int
         }
     )
     jumped = led.drop("_to").unionByName(moved.filter(~jumps_inside))
-    body = jumped.select(F.col("new_pattern").alias("pattern"), "row", "channel", *c.FIELDS)
+    body = materialize(jumped.select(F.col("new_pattern").alias("pattern"), "row", "channel", *c.FIELDS), "body")
     header = patterns.select(F.col("new_pattern").alias("pattern"), F.greatest("rows", F.lit(min_rows)).cast("long").alias("rows"))
 
     short = patterns.filter(F.col("rows") < min_rows).select(F.col("new_pattern").alias("pattern"), (F.col("rows") - 1).alias("row"))

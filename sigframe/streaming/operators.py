@@ -89,7 +89,8 @@ def meter(df: DataFrame, window: str, slide: str | None = None, delay: str = "1
 
 
 def sessions(df: DataFrame, gap: str, delay: str = "1 hour") -> DataFrame:
-    """Activity sessions per stream. In append mode a session appears once the watermark has passed its end."""
+    """Activity sessions per stream. In append mode, for a live stream, a session appears once the watermark has passed its end; in
+    complete mode the open ones are there too."""
     return (
         df.withWatermark("ts", delay)
         .groupBy("stream", F.session_window("ts", gap).alias("w"))
