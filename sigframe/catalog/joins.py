@@ -11,6 +11,7 @@ from sigframe.operators.clicks import CleanupSettings
 from sigframe.operators.modules import Module, append_modules
 from sigframe.plans import views as v
 from sigframe.plans.views import oracle
+from sigframe.session import materialize
 
 
 @query("instrument_samples", "J1", """SELECT DISTINCT vec_id AS instr, s AS sample FROM (SELECT vec_id, CAST(floor(abs(embedding[k + 1]::DOUBLE) * 100) AS BIGINT) % 30 AS s FROM embeddings, range(64) t(k))
@@ -202,7 +203,7 @@ _APPEND = [
 
 
 def _appended(spark, d) -> Module:
-    cells = v.cell(spark, d)
+    cells = materialize(v.cell(spark, d), "cells")  # used many times below
     other = cells.withColumn("command", F.when(F.col("command").isin(9, 13), 12).otherwise(F.col("command")).cast("long"))
     heads = cells.groupBy("pattern").agg((F.max("row") + 1).alias("rows"))
     o = v.orders_seq(spark, d)
