@@ -35,7 +35,7 @@ from sigframe.llm.words import pieces, runs, sliding_min, starts_inside, text_bu
 from sigframe.session import materialize
 
 WINDOW, GRAM = 50, 8
-SHARDS = 2  # per partition
+SHARDS = 1  # per partition
 SPAN = WINDOW - GRAM + 1  # phrases in a window
 
 
