@@ -1,7 +1,8 @@
 """Quality rules: plain limits first, then robust multivariate outliers.
 
-Rows that pass the plain limits give a vector of five transformed statistics. Per group (language and source; the language, or all rows,
-where a group has fewer than `MIN_ROWS`) the minimum-covariance-determinant estimate is found by concentration steps: distances
+Rows that pass the plain limits give a vector of five transformed statistics. A row is judged by the first group that has `MIN_ROWS` rows
+past the limits: its language and source, its language, all rows. Every such group is fitted on all its rows past the limits, also on those
+that are judged by a smaller group. Its minimum-covariance-determinant estimate is found by concentration steps: distances
 under the current mean and covariance, then mean and covariance of the `SHARE` of rows nearest. Two fixed starts are taken
 (all rows; medians and median deviations) and the smaller determinant wins. After one reweighting step with the usual consistency factors,
 rows with a squared Mahalanobis distance above `CUTOFF` are rejected.
@@ -14,7 +15,7 @@ symbols or repeats at all, so the square of each statistic's `FLOOR`, the size o
 All of it is DataFrame and SQL functions. Three-word windows of one text are compared by 64-bit hash.
 
 Nulls: a null text has no words, so it fails the limits and is not kept; a null language or source is a value like any other. With
-fewer than `MIN_ROWS` rows in all there is no verdict and rows that pass the limits are kept. Each input row gives one row.
+fewer than `MIN_ROWS` rows past the limits there is no verdict and those rows are kept. Each input row gives one row.
 """
 
 from __future__ import annotations
@@ -72,13 +73,22 @@ def _by_salt(rows: DataFrame, small: DataFrame, key: str) -> DataFrame:
     return rows.join(copies, [key, "salt"], "left")
 
 
+def _key(level: str, *cols: str) -> Column:
+    """Name of a group: its level and its values, with nulls written out."""
+    return F.to_json(F.struct(F.lit(level).alias("level"), *cols), {"ignoreNullFields": "false"})
+
+
 def _groups(rows: DataFrame) -> DataFrame:
-    """Adds `grp`: language and source, or less where that has too few rows."""
-    per = rows.groupBy("pair", "lang_key").agg(F.count(F.lit(1)).alias("n"))
-    langs = per.groupBy("lang_key").agg(F.sum("n").alias("n_lang")).withColumnRenamed("lang_key", "l")
+    """Adds `grp`, the group that judges the row, and `fits`, the groups in use that it belongs to; sizes count rows past the limits."""
+    per = rows.filter("not base_failed").groupBy("pair", "lang_key").agg(F.count(F.lit(1)).alias("n"))
+    langs = per.groupBy(F.col("lang_key").alias("l")).agg(F.sum("n").alias("n_lang"), F.min("n").alias("least_pair"))
+    whole = langs.agg(F.sum("n_lang").alias("n"), F.min("n_lang").alias("least"))
     named = per.join(langs, per["lang_key"] == langs["l"])
-    grp = F.when(F.col("n") >= MIN_ROWS, F.col("pair")).when(F.col("n_lang") >= MIN_ROWS, F.col("lang_key")).otherwise(F.lit("{}"))
-    return _by_salt(rows, named.select("pair", grp.alias("grp")), "pair")
+    pair, lang, every = F.col("n") >= MIN_ROWS, F.col("n_lang") >= MIN_ROWS, whole.select("n").scalar() >= MIN_ROWS
+    levels = [(pair, F.lit(True), F.col("pair")), (lang, F.col("least_pair") < MIN_ROWS, F.col("lang_key")), (every, whole.select("least").scalar() < MIN_ROWS, _key("all"))]
+    grp = F.coalesce(*[F.when(large, key) for large, _, key in levels])
+    fits = F.array_compact(F.array(*[F.when(large & used, key) for large, used, key in levels]))
+    return _by_salt(rows, named.select("pair", grp.alias("grp"), fits.alias("fits")), "pair")
 
 
 def _vectors(rows: DataFrame) -> DataFrame:
@@ -156,15 +166,14 @@ def _concentrate(rows: DataFrame, params: DataFrame) -> DataFrame:
 
 
 def outliers(rows: DataFrame) -> DataFrame:
-    """Adds `distance` (squared Mahalanobis; null where there is no verdict) to rows of `counts` with x, grp and salt."""
-    good = rows.filter("not base_failed").select("grp", "salt", *_X)
+    """Adds `distance` (squared Mahalanobis; null where there is no verdict) to rows of `counts` with x, grp, fits and salt."""
+    good = rows.filter("not base_failed").select(F.explode("fits").alias("grp"), "salt", *_X)
     params = _solved(_starts(good))
     for _ in range(STEPS):
         params = _concentrate(good, params)
     best = params.groupBy("grp").agg(F.min_by(F.struct(*[c for c in params.columns if c not in ("grp", "start")]), F.struct("logdet", "start")).alias("b")).select("grp", "b.*")
     near = _distance(_by_salt(good, materialize(best, "best"), "grp"), NEAR_FACTOR).filter(F.col("d2") <= FAR_LIMIT)
     final = _solved(_estimate(near.groupBy("grp").agg(*_sums()), ["grp"]))
-    final = final.filter(good.agg(F.count(F.lit(1)).alias("total")).scalar() >= MIN_ROWS)
     return _distance(_by_salt(rows, final, "grp"), FAR_FACTOR).withColumnRenamed("d2", "distance")
 
 
@@ -174,8 +183,8 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = _vectors(rows.withColumn("base_failed", failed)).drop("n_lines")
     rows = rows.withColumns({
-        "pair": F.to_json(F.struct("lang", "source")),
-        "lang_key": F.to_json(F.struct("lang")),
+        "pair": _key("pair", "lang", "source"),
+        "lang_key": _key("lang", "lang"),
         "salt": F.pmod(F.xxhash64("doc_id", *_X), F.lit(SALTS)).cast("int"),
     })
     rows = materialize(rows.drop("lang", "source"), "counts")

@@ -3,6 +3,7 @@
 import hashlib
 import json
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -270,3 +271,54 @@ def test_schema_rules():
     assert tool_calls.violations({"a": -1, "b": "abc", "c": [True], "d": 1}, schema) == ["$.a: below minimum", "$.b: too long", "$.c[0]: not in enum", "$.d: not allowed"]
     assert tool_calls.violations({}, schema) == ["$.a: missing"] and tool_calls.violations([], schema) == ["$: not of type object"]
     assert tool_calls.canonical({"דּ": 1, "\U0001f600": 2.5, "a": [1e3, -0.0]}) == '{"a":[1000,0],"\U0001f600":2.5,"דּ":1}'
+
+
+def plain_texts(n, seed, odd=0):
+    """Texts of 60 to 90 words; the last `odd` have many symbols."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choices("abcdefgh", k=r.randint(2, 7)))
+    out = [[word() for _ in range(r.randint(60, 90))] for _ in range(n)]
+    return [" ".join(w if i < n - odd else [x + "#$%&" for x in w]) for i, w in enumerate(out)]
+
+
+def judged(spark, rows):
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    return {r.doc_id: r for r in apply_rules(df).collect()}
+
+
+def test_rows_of_small_groups_are_judged_by_all_rows_of_the_next_level(spark):
+    big = [(t, "en", "a") for t in plain_texts(150, 1)]
+    rare = [(t, "en", f"s{i}") for i, t in enumerate(plain_texts(4, 2, odd=2))] + [(plain_texts(1, 3, odd=1)[0], "en", None)]
+    foreign = [(t, lang, None) for t, lang in zip(plain_texts(4, 4, odd=2), [None, "de", "de", None])]
+    got = judged(spark, big + rare + foreign)
+    kept = [got[150 + i].kept for i in range(9)]
+    assert kept == [True, True, False, False, False, True, True, False, False]
+    assert all(got[i].distance is not None for i in got)
+
+
+def test_only_rows_past_the_limits_make_a_group_large(spark):
+    big = [(t, "en", "a") for t in plain_texts(150, 1)]
+    short = [("too short", "en", "b")] * 120
+    got = judged(spark, big + short + [(t, "en", "b") for t in plain_texts(2, 5, odd=1)])
+    assert got[270].kept and not got[271].kept and not got[200].kept and got[200].distance is None
+
+
+def plain_levels(rows):
+    """plain_rules with every group fitted on all its rows past the limits: each level made the only one by blanking the columns below it."""
+    levels = [rows, [(*r[:3], None) for r in rows], [(*r[:2], None, None) for r in rows]]
+    ok = [not plain_counts(r[1])[5] for r in rows]
+    sizes = [Counter(r[2:] for r, k in zip(level, ok) if k) for level in levels]
+    judge = [next((k for k in (0, 1) if sizes[k][levels[k][i][2:]] >= quality_rules.MIN_ROWS), 2) for i in range(len(rows))]
+    found = [plain_rules(level) for level in levels]
+    return [found[k][i] for i, k in enumerate(judge)]
+
+
+def test_rules_by_levels(spark, odd, monkeypatch):
+    small = spark.read.parquet(SMALL.replace("0.001", "0.01") + "/documents.parquet")
+    for df, least in ((small, 30), (odd, 10)):
+        monkeypatch.setattr(quality_rules, "MIN_ROWS", least)
+        key = lambda r: (r[0] is None, r[0] or 0, r[1:6])
+        want = sorted(plain_levels([tuple(r) for r in df.select("doc_id", "text", "lang", "source").collect()]), key=key)
+        got = sorted(((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.distance) for r in apply_rules(df).collect()), key=key)
+        assert [g[:7] for g in got] == [w[:7] for w in want]
+        assert [g[7] for g in got] == [w[7] if w[7] is None else pytest.approx(w[7], rel=1e-6, abs=1e-6) for w in want]
