@@ -143,6 +143,11 @@ def _(spark, d):
     )
 
 
+@query("sha512", "X11")  # DuckDB has no sha512
+def _(spark, d):
+    return v.table(spark, d, "documents").select("doc_id", F.sha2("text", 512).alias("sha512"))
+
+
 @query("base64_hex", "X12", """SELECT doc_id, md5(base64(encode(text))) AS b64, md5(hex(encode(text))) AS hex, true AS same FROM documents""")
 def _(spark, d):
     raw = F.encode("text", "UTF-8")

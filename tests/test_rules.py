@@ -1,5 +1,6 @@
 """Rules with known answers: edges, guards, phasors, cue sheets, streams."""
 
+import hashlib
 import math
 from pathlib import Path
 
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import column, signal
+from sigframe import catalog
 from sigframe.functions import pcm, polar, text
 from sigframe.operators import clicks, signal_ops, signal_stats
 from sigframe.operators.sequences import FNV_BASIS, FNV_PRIME, loop_state_hash
@@ -237,3 +239,11 @@ def test_paired_controls_join_for_their_first_rule(spark):
     got = {(r.stream, r.seq): (r.matches, r.value) for r in lk.route_controls(events, rules).collect()}
     assert got[1, 2] == (2, 5 | 100 << 7) and got[1, 3] == (2, 6 << 7) and got[1, 5] == (1, 3 | 9 << 7) and got[2, 0] == (2, 5 << 7)
     assert got[1, 1] == (0, None) and got[1, 0] == (1, 100 << 7)
+
+
+def test_sha512_of_every_document(spark, tmp_path):
+    catalog.load()
+    texts = ["", "abc", "ß 日本 😀", None, "x" * 10_000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.sha512 for r in catalog.QUERIES["sha512"](spark, str(tmp_path)).collect()}
+    assert got == {i: None if t is None else hashlib.sha512(t.encode()).hexdigest() for i, t in enumerate(texts)}
