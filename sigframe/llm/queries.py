@@ -153,19 +153,18 @@ TOOLS = {
 
 
 def tool_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Conversations seen as tool traffic: an assistant's turn calls a tool (by checksum of its text, with arguments out of its words) under an
+    """Conversations seen as tool traffic: an assistant's turn calls a tool (by checksum of its text, with its whole text as arguments) under an
     identifier made of its turn, and any other turn is the result of the turn before it. Some calls depend on the call before, some
-    on the next one, and some arguments are cut off or name no known tool."""
+    on the next one, and some arguments lack their last brace or name no known tool."""
     m = messages.withColumns({"text": F.coalesce("text", F.lit("")), "turn": F.col("turn").cast("long")})
     m = m.withColumns({"h": F.crc32(F.encode("text", "UTF-8")), "w": F.split("text", " ")})
     tool = F.element_at(F.array(*[F.lit(t) for t in (*TOOLS, "forget")]), (F.col("h") % 4 + 1).cast("int"))
-    head = F.array_join(F.slice("w", 1, 3), " ")
     made = (
-        F.when(tool == "search", F.to_json(F.struct(head.alias("query"), (F.size("w") % 50).alias("limit"))))
-        .when(tool == "quote", F.to_json(F.struct(F.slice("w", 1, 4).alias("words"))))
-        .otherwise(F.to_json(F.struct(F.when(F.size("w") % 5 == 0, "page").otherwise("word").alias("unit"), head.alias("of"))))
+        F.when(tool == "search", F.to_json(F.struct(F.col("text").alias("query"), (F.size("w") % 50).alias("limit"))))
+        .when(tool == "quote", F.to_json(F.struct(F.col("w").alias("words"))))
+        .otherwise(F.to_json(F.struct(F.when(F.size("w") % 5 == 0, "page").otherwise("word").alias("unit"), F.col("text").alias("of"))))
     )
-    made = F.when(F.col("h") % 11 == 0, F.substring(made, 1, 9)).otherwise(made)
+    made = F.when(F.col("h") % 11 == 0, F.left(made, F.length(made) - 1)).otherwise(made)
     name = lambda turn: F.concat(F.lit("c"), turn.cast("string"))
     before, after = F.array(name(F.col("turn") - 2)), F.array(name(F.col("turn") + 2))
     depends = F.when((F.col("h") % 3 == 0) & (F.col("turn") >= 3), before).when(F.col("h") % 13 == 0, after).otherwise(F.array().cast("array<string>"))

@@ -322,3 +322,17 @@ def test_rules_by_levels(spark, odd, monkeypatch):
         got = sorted(((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.distance) for r in apply_rules(df).collect()), key=key)
         assert [g[:7] for g in got] == [w[:7] for w in want]
         assert [g[7] for g in got] == [w[7] if w[7] is None else pytest.approx(w[7], rel=1e-6, abs=1e-6) for w in want]
+
+
+def test_arguments_hold_the_whole_text(spark):
+    texts = [" ".join(f"{i}w{k}" for k in range(200)) for i in range(40)]
+    rows = [(i, 1, "assistant", t) for i, t in enumerate(texts)]
+    calls, results = tool_messages(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    names = set()
+    for r in calls.collect():
+        made = json.loads(r.arguments if r.arguments.endswith("}") else r.arguments + "}")
+        assert texts[r.conv_id] in (made.get("query"), made.get("of"), " ".join(made.get("words", [])))
+        names.add(r.name)
+    assert set(TOOLS) <= names
+    parsed = [r for r in tool_calls.link(calls, results, TOOLS).collect() if not any("not JSON" in e for e in r.errors)]
+    assert len(parsed) >= 30 and all(w in r.json for r in parsed for w in texts[r.conv_id].split())
