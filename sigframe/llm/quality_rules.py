@@ -12,6 +12,10 @@ a bin of the log distance (all ties stay in). Nothing depends on the order of ro
 before it shuffles, and group values meet rows by (group, salt), so a source with a third of all rows is no hot key. Most texts have no
 symbols or repeats at all, so the square of each statistic's `FLOOR`, the size of a difference that means nothing, is added to its variance.
 
+The cut-off is far above the 97.5 % limit of 12.83. With these floors a squared distance from repeated lines alone is at most
+1 / 0.15^2 / 1.0554 = 42.1, from repeated words alone at most 0.5 / 0.12^2 / 1.0554 = 32.9 (beyond a share of 0.5 the plain limit acts), so neither
+rejects a row by itself; they count only together with others.
+
 All of it is DataFrame and SQL functions. Three-word windows of one text are compared by 64-bit hash.
 
 Nulls: a null text has no words, so it fails the limits and is not kept; a null language or source is a value like any other. With
