@@ -277,8 +277,7 @@ def _(spark, d):
     raw = F.encode("text", "UTF-8")
     spec = {"u8": (1, "little", False), "le16": (2, "little", False), "be16": (2, "big", False), "le24": (3, "little", False),
             "be24s": (3, "big", True), "le32": (4, "little", False), "be32s": (4, "big", True)}
-    t = v.table(spark, d, "documents").filter(F.octet_length("text") >= 4)
-    return t.select("doc_id", *[text.decode_int(raw, 0, *s).alias(k) for k, s in spec.items()])
+    return v.table(spark, d, "documents").select("doc_id", *[text.decode_int(raw, 0, *s).alias(k) for k, s in spec.items()])
 
 
 @query("interleave", "A1", """SELECT vec_id, CAST(k AS INTEGER) AS k, embedding[2 * k + 1] AS l, embedding[2 * k + 2] AS r, true AS same FROM embeddings, range(32) t(k)""")

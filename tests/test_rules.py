@@ -247,3 +247,13 @@ def test_sha512_of_every_document(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.sha512 for r in catalog.QUERIES["sha512"](spark, str(tmp_path)).collect()}
     assert got == {i: None if t is None else hashlib.sha512(t.encode()).hexdigest() for i, t in enumerate(texts)}
+
+
+def test_decode_bytes_of_short_texts(spark, tmp_path):
+    catalog.load()
+    rows = list(enumerate([None, "", "A", "AB", "ABC", "ABCD"]))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r)[1:] for r in catalog.QUERIES["decode_bytes"](spark, str(tmp_path)).orderBy("doc_id").collect()]
+    widths = [(1, "little", False), (2, "little", False), (2, "big", False), (3, "little", False), (3, "big", True), (4, "little", False), (4, "big", True)]
+    raw = [(t or "").encode() for _, t in rows]
+    assert got == [tuple(int.from_bytes(b[:n], e, signed=s) if len(b) >= n else None for n, e, s in widths) for b in raw]
