@@ -179,3 +179,28 @@ def _op10(spark: SparkSession, d: str) -> DataFrame:
     from sigframe.llm.tool_calls import link
 
     return link(*tool_messages(table(spark, d, "conversations")), TOOLS)
+
+
+def _op13_sql(k: int = 8, rounds: int = 10, size: int = 64) -> str:
+    """Ten plain rounds, one step of the WITH list each."""
+    gap = "list_sum([(v[i] - c[i]) * (v[i] - c[i]) FOR i IN range(1, 65)])".replace("65", str(size + 1))
+    near = lambda c: f"(SELECT vec_id, v, arg_min({{'k': k, 'd': d}}, (d, k)) AS best FROM (SELECT rid, vec_id, v, k, {gap} AS d FROM vecs CROSS JOIN {c}) GROUP BY rid, vec_id, v)"
+    steps = [f"""vecs AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS HUGEINT) FOR x IN embedding] AS v
+  FROM embeddings WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {size})"""]
+    steps.append(f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 AS k, v AS c FROM vecs QUALIFY k < {k})")
+    for r in range(rounds):
+        steps.append(f"p{r} AS MATERIALIZED (SELECT best.k AS k, i, sum(v[i]) AS s, count(*) AS n FROM {near(f'c{r}')}, range(1, {size + 1}) AS pos(i) GROUP BY ALL)")
+        steps.append(f"m{r} AS MATERIALIZED (SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS HUGEINT) ORDER BY i) AS c FROM p{r} GROUP BY k)")
+        steps.append(f"c{r + 1} AS MATERIALIZED (SELECT k, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (k))")
+    steps.append(f"done AS (SELECT vec_id, best.k AS k, best.d AS d FROM {near(f'c{rounds}')})")
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM done JOIN c{rounds} USING (k)"""
+
+
+@query("op13_walsh_centroids", _op13_sql())
+def _op13(spark: SparkSession, d: str) -> DataFrame:
+    from sigframe.llm.centroids import cluster
+
+    return cluster(table(spark, d, "embeddings"))
