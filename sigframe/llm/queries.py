@@ -204,3 +204,20 @@ def _op13(spark: SparkSession, d: str) -> DataFrame:
     from sigframe.llm.centroids import cluster
 
     return cluster(table(spark, d, "embeddings"))
+
+
+OP12 = """
+WITH sized AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+firsts AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY digest) END AS f FROM sized)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN f <> page_id OR (f IS NOT NULL AND page_id IS NULL) THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN f <> page_id OR page_id IS NULL THEN f END AS refers_to
+FROM firsts"""
+
+
+@query("op12_warc_chain", OP12)
+def _op12(spark: SparkSession, d: str) -> DataFrame:
+    from sigframe.llm import warc
+
+    path = shared_path(spark, "warc")
+    warc.write_archive(table(spark, d, "pages"), path)
+    return warc.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
