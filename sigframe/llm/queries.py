@@ -221,3 +221,10 @@ def _op12(spark: SparkSession, d: str) -> DataFrame:
     path = shared_path(spark, "warc")
     warc.write_archive(table(spark, d, "pages"), path)
     return warc.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op11_repair_astar")
+def _op11(spark: SparkSession, d: str) -> DataFrame:
+    from sigframe.llm import turn_repair
+
+    return turn_repair.report(*turn_repair.damage(table(spark, d, "conversations")))
