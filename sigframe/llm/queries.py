@@ -223,7 +223,31 @@ def _op12(spark: SparkSession, d: str) -> DataFrame:
     return warc.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-@query("op11_repair_astar")
+OP11 = f"""
+WITH RECURSIVE keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS s FROM conversations),
+hashed AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(s[i])::BIGINT FOR i IN range(1, length(s) + 1)]), lambda c, x: xor(c >> 8, {_crc32_steps()}[(xor(c, x) & 255) + 1])), 4294967295::BIGINT) % 20 AS h FROM keyed),
+damaged AS (SELECT conv_id, turn, CASE h WHEN 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM hashed, range(2) AS copy(n) WHERE h <> 0 AND (n = 0 OR h = 3)),
+seen AS (SELECT *, left(role, 1) AS i, right(rtrim(text, e' \\t\\n\\x0b\\x0c\\r'), 1) AS z, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again FROM damaged),
+turns AS (SELECT *, CASE WHEN z = '' THEN 'b' WHEN again THEN 'd' WHEN z NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS f, row_number() OVER w AS k, lag(i) OVER w AS before
+  FROM seen WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), again)),
+counts AS (SELECT conv_id, max(k) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 'b') AS blank, count(*) FILTER (f = 'd') AS duplicate,
+  count(*) FILTER (f = 't') AS truncated, count(*) FILTER (before || i NOT IN ('su', 'ua', 'au')) AS illegal FROM turns GROUP BY conv_id),
+moves(q, p, c, l, o) AS (VALUES ('', '', 0, '', ''), ('', 'u', 5, 'I', e'user:\\n'), ('', 'a', 10, 'II', e'user:\\nassistant:\\n'), ('s', 's', 0, '', ''), ('s', 'u', 5, 'I', e'user:\\n'), ('s', 'a', 10, 'II', e'user:\\nassistant:\\n'),
+  ('u', 'u', 0, '', ''), ('u', 'a', 5, 'I', e'assistant:\\n'), ('a', 'a', 0, '', ''), ('a', 'u', 5, 'I', e'user:\\n')),
+paths AS (SELECT conv_id, 0::BIGINT AS k, '' AS q, {{'c': 0, 'l': '', 'o': ''}} AS w FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL SELECT conv_id, k, q, arg_min({{'c': c, 'l': l, 'o': o}}, (c, l)) FROM (
+    SELECT t.conv_id, t.k, CASE e WHEN 'D' THEN m.p WHEN 'K' THEN t.i WHEN 'R' THEN CASE m.p WHEN 'u' THEN 'a' ELSE 'u' END END AS q, w.c + m.c + CASE e WHEN 'D' THEN 2 WHEN 'R' THEN 1 ELSE 0 END + CASE WHEN e <> 'D' AND t.f = 't' THEN 5 ELSE 0 END AS c,
+      w.l || m.l || e AS l, w.o || m.o || CASE e WHEN 'D' THEN '' WHEN 'K' THEN t.role || ':' || t.text || chr(10) ELSE CASE m.p WHEN 'u' THEN 'assistant:' ELSE 'user:' END || t.text || chr(10) END AS o
+    FROM paths JOIN moves AS m ON paths.q = m.q JOIN turns AS t ON t.conv_id IS NOT DISTINCT FROM paths.conv_id AND t.k = paths.k + 1 CROSS JOIN (VALUES ('D'), ('K'), ('R')) AS edit(e)
+    WHERE e = 'D' OR t.f IN ('', 't') AND (e = 'R' OR t.i = CASE m.p WHEN 'u' THEN 'a' ELSE 'u' END OR m.p = '' AND t.i = 's')) GROUP BY conv_id, k, q),
+best AS (SELECT paths.conv_id, arg_min({{'c': w.c + m.c, 'l': w.l || m.l, 'o': w.o || m.o}}, (w.c + m.c, w.l || m.l)) AS w, any_value(gaps) AS gaps, any_value(blank) AS blank, any_value(duplicate) AS duplicate, any_value(truncated) AS truncated, any_value(illegal) AS illegal
+  FROM paths LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM paths.conv_id JOIN moves AS m ON paths.q = m.q AND m.p IN ('', 'a') WHERE k = coalesce(n, 0) GROUP BY paths.conv_id)
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+  CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(w.c AS BIGINT) AS cost, w.l AS audit, sha256(left(w.o, greatest(length(w.o) - 1, 0))) AS repaired_sha256 FROM best"""
+
+
+@query("op11_repair_astar", OP11)
 def _op11(spark: SparkSession, d: str) -> DataFrame:
     from sigframe.llm import turn_repair
 
