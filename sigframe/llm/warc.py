@@ -13,7 +13,8 @@ rounds as the logarithm of the blocks in a file. Only candidates on the chain fr
 length on the chain is wrong. Payloads that hold magic lie in several pieces and are put together from the texts of their own pieces.
 
 Bounds: a task holds the offsets of one block (`spark.sql.files.maxPartitionBytes` of a file), never payloads of several records.
-Copies of a payload meet their response in a join on the digest that Spark can split; before it only one row per digest and task is shuffled.
+Payloads that occur twice or more are a table of digests; pages meet it in a join that broadcasts by
+measured size or else can be split, so a third of all pages may share a payload.
 
 Odd cases: a null html is an empty payload, a null url gives no target line, control characters in an url are percent-encoded. Rows with equal id and payload
 are each a response where that id is the smallest. A null page_id is written as an empty number and read back as null; it counts as larger than
@@ -43,7 +44,7 @@ def payloads(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("html").cast("long"), "payload_digest": F.sha2(F.col("html").cast("binary"), 256)})
     first = rows.filter(F.col("payload_bytes") >= LEAST).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies"))
-    first = first.filter("copies > 1").drop("copies")
+    first = materialize(first.filter("copies > 1").drop("copies"), "copied")  # so that its size is known: Spark then sends it to the pages if it is small
     rows = rows.join(first, "payload_digest", "left")
     return rows.withColumn("refers_to", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))).drop("first")
 
