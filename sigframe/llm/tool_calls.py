@@ -1,13 +1,15 @@
 """Tool-call linking: join calls and results by identifier, order calls topologically, validate arguments, write canonical JSON.
 
-Calls and results meet in a hash join on (conversation, identifier). A call's order key is (turn, hops): it is raised to that of any
-call that it depends on (one hop further), round by round until nothing changes, so a round only touches calls behind a
-dependency that comes later in the conversation. After 4, 8, 16, ... rounds the calls that have changed are searched for cycles; calls on
-one, or behind one, are marked and stay at their own turn. Positions are counted per conversation in blocks of turns, so a conversation with a third of all rows
-is spread like any other, and each call is a row of its own; nothing gathers a whole conversation.
+Calls and results meet in a hash join on (conversation, identifier). A call's order key is (turn, hops): the greatest of its own turn and the
+keys of the calls that it depends on, one hop further. Conversations of at most `LOCAL` calls are ordered one after the other inside tasks, calls without open
+dependencies first; what is left lies on a cycle or behind one, is marked and stays at its own turn. Larger conversations give the same by rounds of joins, in which every call
+is raised behind its dependencies until nothing changes; after 4, 8, 16, ... rounds the calls that have changed are searched for cycles. Positions are counted per conversation in blocks of turns, so a
+conversation with a third of all rows is spread like any other; no task gathers more than `LOCAL` calls.
 
-Arguments are checked against the tool's schema (types, required and further properties, enum, bounds, items) and each call is written as canonical
-JSON: keys sorted by UTF-16 code units, no spaces, whole floats as integers.
+Arguments are checked against the tool's schema (type, enum, minimum, maximum, minLength, maxLength, items, properties, required,
+additionalProperties; other words of a schema are ignored) and each call is written as canonical JSON: keys sorted by UTF-16 code units, no spaces, numbers
+with the shortest digits in the form of ECMAScript, integers in full. Text that is no JSON, numbers beyond the range of a double, integers of more than 4300 digits,
+repeated keys and too deep nesting are errors of their row; its arguments are then written as null.
 
 Every call gives one row, which also holds its result; every other result gives one. Statuses:
   linked, no result        calls
@@ -21,24 +23,32 @@ arguments, dependencies and order are listed in `errors`, never dropped.
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Iterator
+from decimal import Decimal
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sigframe.llm.sharding import numbered
 from sigframe.session import materialize
 
 BLOCK = 256
+LOCAL = 10_000  # calls of a conversation that one task may order
 _KINDS = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
+def _escaped(text: str) -> str:
+    """Lone surrogates, which UTF-8 cannot hold, written as escapes."""
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def _quoted(text: str) -> str:
-    """JSON text of a string; a lone surrogate, which UTF-8 cannot hold, stays escaped."""
-    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", json.dumps(text, ensure_ascii=False))
+    return _escaped(json.dumps(text, ensure_ascii=False))
 
 
 def canonical(value: Any) -> str:
@@ -50,14 +60,30 @@ def canonical(value: Any) -> str:
         return "{" + ",".join(inside) + "}"
     if isinstance(value, list):
         return "[" + ",".join(map(canonical, value)) + "]"
-    if isinstance(value, float) and value.is_integer() and abs(value) < 1e21:
-        return str(int(value))
-    return json.dumps(value, ensure_ascii=False, allow_nan=False)
+    if isinstance(value, float):
+        return _decimal(value)
+    return json.dumps(value)
+
+
+def _decimal(value: float) -> str:
+    """The shortest digits that give the number, without an exponent from 1e-6 to below 1e21, else as in 1e-7 or 1.5e+21."""
+    sign, digits, exponent = Decimal(repr(value)).normalize().as_tuple()
+    text, point = "".join(map(str, digits)), len(digits) + exponent
+    if not value:
+        return "0"
+    if 0 < point <= 21:
+        text = text.ljust(point, "0")
+        text = text[:point] + ("." + text[point:] if text[point:] else "")
+    elif -6 < point <= 0:
+        text = "0." + "0" * -point + text
+    else:
+        text = text[0] + ("." + text[1:] if text[1:] else "") + f"e{point - 1:+d}"
+    return "-" * sign + text
 
 
 def _is(value: Any, kind: str) -> bool:
     if kind in ("number", "integer"):
-        return isinstance(value, (int, float)) and not isinstance(value, bool) and (kind == "number" or float(value).is_integer())
+        return isinstance(value, (int, float)) and not isinstance(value, bool) and (kind == "number" or isinstance(value, int) or value.is_integer())
     return isinstance(value, _KINDS[kind])
 
 
@@ -103,6 +129,12 @@ def _bad_number(text: str) -> None:
     raise ValueError(f"not a JSON number: {text}")
 
 
+def _finite(text: str) -> float:
+    if math.isinf(value := float(text)):
+        raise ValueError("number out of range")
+    return value
+
+
 def _written(tools: dict[str, dict[str, Any]]):
     """Rows of a call and its result -> errors and canonical JSON."""
 
@@ -112,11 +144,11 @@ def _written(tools: dict[str, dict[str, Any]]):
             for call_id, name, arguments, depends_on, has_result, content, found in zip(*(batch.column(c).to_pylist() for c in ("call_id", "name", "arguments", "depends_on", "has_result", "content", "found"))):
                 wrong, value = list(found or []), None
                 try:
-                    value = json.loads(arguments or "null", object_pairs_hook=_strict, parse_constant=_bad_number)
+                    value = json.loads(arguments or "null", object_pairs_hook=_strict, parse_constant=_bad_number, parse_float=_finite)
                 except (ValueError, RecursionError) as e:
                     wrong.append(f"$: not JSON ({str(e)[:60]})")
                 else:
-                    wrong += violations(value, tools[name]) if name in tools else ["unknown tool"]
+                    wrong += [_escaped(x) for x in violations(value, tools[name])] if name in tools else ["unknown tool"]
                 record = {"arguments": value, "depends_on": sorted(set(filter(None, depends_on or []))), "id": call_id, "name": name}
                 if has_result:
                     record["result"] = content
@@ -133,6 +165,53 @@ def _written(tools: dict[str, dict[str, Any]]):
     return write
 
 
+def _topological(calls: dict[str, tuple[int, list[str]]]) -> dict[str, tuple[int, int, bool]]:
+    """(at, hop, tied) of the calls of one conversation, from their turns and the known calls they depend on."""
+    behind: dict[str, list[str]] = {c: [] for c in calls}
+    for c, (_, needs) in calls.items():
+        for d in needs:
+            behind[d].append(c)
+    open_needs = {c: len(needs) for c, (_, needs) in calls.items()}
+    ready = [c for c, n in open_needs.items() if not n]
+    key = {c: (turn, 0) for c, (turn, _) in calls.items()}
+    for c in ready:  # grows while it is read
+        at, hop = key[c]
+        for b in behind[c]:
+            key[b] = max(key[b], (at, hop + 1))
+            open_needs[b] -= 1
+            if not open_needs[b]:
+                ready.append(b)
+    done = set(ready)
+    return {c: (*key[c], False) if c in done else (calls[c][0], 0, True) for c in calls}
+
+
+def _ordered_locally(kind: pa.DataType):
+    """Orders one conversation after another; its rows follow each other."""
+    names = ["conv_id", "call_id", "at", "hop", "tied"]
+    kinds = [kind, pa.string(), pa.int64(), pa.int64(), pa.bool_()]
+
+    def out(conv: Any, calls: dict) -> pa.RecordBatch:
+        rows = [(conv, c, *x) for c, x in _topological(calls).items()]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conv, calls, ready = None, {}, []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if calls and r["conv_id"] != conv:
+                    ready.append(out(conv, calls))
+                    calls = {}
+                conv = r["conv_id"]
+                calls[r["call_id"]] = (r["turn"], r["needs"] or [])
+            if ready:
+                yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
+                ready = []
+        if calls:
+            yield out(conv, calls)
+
+    return run
+
+
 def _knots(deps: DataFrame, calls: DataFrame) -> DataFrame:
     """Those of `calls` that lie on a cycle among them or behind one: what is left when calls that depend on none of the rest go,
     again and again."""
@@ -146,16 +225,10 @@ def _knots(deps: DataFrame, calls: DataFrame) -> DataFrame:
     return left
 
 
-def _ordered(calls: DataFrame) -> DataFrame:
-    """Adds `at` (turn), `hop` and `found` (errors of dependencies and order) to calls with distinct identifiers."""
+def _ordered_by_rounds(calls: DataFrame, deps: DataFrame) -> DataFrame:
+    """(conv_id, call_id, at, hop, tied) for conversations of any size."""
     keys = ["conv_id", "call_id"]
-    deps = calls.select(*keys, F.explode("depends_on").alias("dep")).filter("dep is not null").distinct()
-    known = calls.select("conv_id", F.col("call_id").alias("dep"), F.lit(True).alias("is_known"))
-    deps = materialize(deps.join(known, ["conv_id", "dep"], "left"), "dependencies")
-    lost = deps.filter("is_known is null").groupBy(*keys).agg(F.sort_array(F.collect_list(F.concat(F.lit("unknown dependency "), "dep"))).alias("lost"))
-    deps = deps.filter("is_known").select(*keys, "dep")
-    own = F.coalesce("turn", F.lit(-1).cast("long"))
-    order = materialize(calls.select(*keys, own.alias("turn"), own.alias("at"), F.lit(0).cast("long").alias("hop"), F.lit(False).alias("moved"), F.lit(False).alias("ever"), F.lit(False).alias("tied")), "order")
+    order = materialize(calls.select(*keys, "turn", F.col("turn").alias("at"), F.lit(0).cast("long").alias("hop"), F.lit(False).alias("moved"), F.lit(False).alias("ever"), F.lit(False).alias("tied")), "order")
     rounds, look = 0, 4
     while True:
         ahead = order.select("conv_id", F.col("call_id").alias("dep"), F.struct("at", (F.col("hop") + 1).alias("hop")).alias("after"))
@@ -174,10 +247,37 @@ def _ordered(calls: DataFrame) -> DataFrame:
             order = order.join(knot, keys, "left").withColumn("tied", tied).drop("is_knot")
             order = order.withColumns({"at": F.when(F.col("tied"), F.col("turn")).otherwise(F.col("at")), "hop": F.when(F.col("tied"), F.lit(0)).otherwise(F.col("hop"))})
             order = materialize(order, "order")
-    order = order.drop("turn", "moved", "ever")
-    tied = F.when(F.col("tied"), F.array(F.lit("dependency cycle"))).otherwise(F.array().cast("array<string>"))
-    out = calls.join(order, keys).join(lost, keys, "left")
-    return out.withColumn("found", F.concat(F.coalesce("lost", F.array().cast("array<string>")), tied)).drop("lost", "tied")
+    front = order.filter("tied").select("conv_id", F.col("call_id").alias("dep"))
+    while not front.isEmpty():  # what is behind a cycle but was never raised by it
+        more = deps.join(front, ["conv_id", "dep"], "left_semi").select(*keys).distinct().withColumn("more", F.lit(True))
+        order = materialize(order.join(more, keys, "left").withColumn("more", F.coalesce("more", F.lit(False)) & ~F.col("tied")), "order")
+        front = order.filter("more").select("conv_id", F.col("call_id").alias("dep"))
+        order = order.withColumn("tied", F.col("tied") | F.col("more")).drop("more")
+    own = F.struct(F.col("turn").alias("at"), F.lit(0).cast("long").alias("hop"))
+    place = F.when(F.col("tied"), own).otherwise(F.struct("at", "hop"))
+    return order.select(*keys, place["at"].alias("at"), place["hop"].alias("hop"), "tied")
+
+
+def _ordered(calls: DataFrame) -> DataFrame:
+    """Adds `at` (turn), `hop` and `found` (errors of dependencies and order) to calls with distinct identifiers."""
+    keys = ["conv_id", "call_id"]
+    deps = calls.select(*keys, F.explode("depends_on").alias("dep")).filter("dep is not null").distinct()
+    known = calls.select("conv_id", F.col("call_id").alias("dep"), F.lit(True).alias("is_known"))
+    deps = materialize(deps.join(known, ["conv_id", "dep"], "left"), "dependencies")
+    none = F.array().cast("array<string>")
+    said = F.concat(F.lit("unknown dependency "), "dep")
+    needs = deps.groupBy(*keys).agg(F.sort_array(F.collect_list(F.when(F.col("is_known").isNull(), said))).alias("lost"), F.collect_list(F.when(F.col("is_known"), F.col("dep"))).alias("needs"))
+    slim = calls.select(*keys, F.coalesce("turn", F.lit(-1).cast("long")).alias("turn")).join(needs, keys, "left")
+    slim = materialize(slim, "slim")
+    large = materialize(slim.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LOCAL).select("conv_id"), "large")
+    kind = slim.schema["conv_id"]
+    small = slim.join(large, "conv_id", "left_anti").select(*keys, "turn", "needs").repartition("conv_id").sortWithinPartitions("conv_id")
+    order = small.mapInArrow(_ordered_locally(to_arrow_type(kind.dataType)), f"conv_id {kind.dataType.simpleString()}, call_id string, at long, hop long, tied boolean")
+    if not large.isEmpty():
+        order = order.unionByName(_ordered_by_rounds(slim.join(large, "conv_id", "left_semi"), deps.filter("is_known").select(*keys, "dep").join(large, "conv_id", "left_semi")))
+    tied = F.when(F.col("tied"), F.array(F.lit("dependency cycle"))).otherwise(none)
+    out = calls.join(order, keys).join(needs.select(*keys, "lost"), keys, "left")
+    return out.withColumn("found", F.concat(F.coalesce("lost", none), tied)).drop("lost", "tied")
 
 
 def _split(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:

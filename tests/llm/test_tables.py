@@ -9,7 +9,10 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sigframe.llm import quality_rules, tool_calls
@@ -39,11 +42,11 @@ def plain_rules(rows):
             lines = [y for y in r[1].split("\n") if y.split()]
             v = [math.log(c[1] / c[0]), math.sqrt(c[2] / c[1]), math.sqrt(len(re.findall("[A-Z]", r[1])) / c[1]), math.sqrt(c[4] / c[0]), math.sqrt(c[3] / len(lines))]
             x[i] = [math.floor(y * q.UNIT + 0.5) if y >= 0 else -math.floor(-y * q.UNIT + 0.5) for y in v]
-    pair, lang = Counter((rows[i][2], rows[i][3]) for i in x), Counter(rows[i][2] for i in x)
-    groups = defaultdict(list)
+    levels = defaultdict(list)  # every passing row of a pair, a language, the table
     for i in x:
-        a, b = rows[i][2], rows[i][3]
-        groups[(a, b) if pair[a, b] >= q.MIN_ROWS else (a,) if lang[a] >= q.MIN_ROWS else ()].append(i)
+        for k in ((rows[i][2], rows[i][3]), (rows[i][2],), ()):
+            levels[k].append(i)
+    judge = lambda i: next((k for k in ((rows[i][2], rows[i][3]), (rows[i][2],), ()) if len(levels[k]) >= q.MIN_ROWS), ())
     floor = np.diag((np.array(q.FLOOR) * q.UNIT) ** 2)
     estimate = lambda m: (m.mean(0), np.cov(m.T, bias=True) + floor)
 
@@ -52,7 +55,8 @@ def plain_rules(rows):
         return (y**2).sum(0)
 
     dist = {}
-    for members in groups.values():
+    for level in {judge(i) for i in x}:
+        members = levels[level]
         m = np.array([x[i] for i in members], float)
         mid = np.median(m, 0)
         starts = [estimate(m), (mid, np.diag((np.median(np.abs(m - mid), 0) * 1.4826) ** 2) + floor)]
@@ -64,7 +68,7 @@ def plain_rules(rows):
             starts[k] = (mean, cov)
         mean, cov = min(starts, key=lambda s: np.linalg.slogdet(s[1])[1])
         mean, cov = estimate(m[d2(m, mean, cov) / q.NEAR_FACTOR <= q.FAR_LIMIT])
-        dist.update(zip(members, d2(m, mean, cov) / q.FAR_FACTOR))
+        dist.update((i, d) for i, d in zip(members, d2(m, mean, cov) / q.FAR_FACTOR) if judge(i) == level)
     return [(r[0], *c, dist.get(i) if len(x) >= q.MIN_ROWS else None) for i, (r, c) in enumerate(zip(rows, out))]
 
 
@@ -264,6 +268,64 @@ def test_tool_calls_odd(spark):
     assert tool_calls.link(calls.filter("false"), results.filter("false"), {}).isEmpty()
 
 
+def test_long_chain_takes_few_jobs(spark):
+    kind = "conv_id long, turn long, call_id string, name string, arguments string, depends_on array<string>"
+    calls = spark.createDataFrame([(1, 5000 - i, f"k{i}", "t", "{}", [f"k{i - 1}"] if i else []) for i in range(5000)], kind)
+    results = spark.createDataFrame([], "conv_id long, turn long, call_id string, content string")
+    spark.sparkContext.setJobGroup("chain", "chain")
+    got = tool_calls.link(calls, results, {"t": {}}).collect()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("chain")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {int(r.call_id[1:]): r.position for r in got} == {i: i for i in range(5000)}
+    stages = {s for j in jobs for s in spark.sparkContext.statusTracker().getJobInfo(j).stageIds}
+    assert len(jobs) < 60 and stages
+
+
+def test_rounds_equal_the_local_order(spark, monkeypatch):
+    r = random.Random(9)
+    kind = "conv_id long, turn long, call_id string, name string, arguments string, depends_on array<string>"
+    rows = [(c, r.choice([None, *range(12)]), f"k{i}", "t", "{}", [f"k{r.randint(0, 26)}" for _ in range(r.choice([0, 0, 1, 1, 2]))]) for c in range(12) for i in range(25)]
+    calls, results = spark.createDataFrame(rows, kind), spark.createDataFrame([], "conv_id long, turn long, call_id string, content string")
+    local = check_links(calls, results, {"t": {}})
+    monkeypatch.setattr(tool_calls, "LOCAL", 0)
+    assert sorted(map(tuple, local), key=str) == sorted(map(tuple, check_links(calls, results, {"t": {}})), key=str)
+    assert any("dependency cycle" in r.errors for r in local) and any("dependency cycle" not in r.errors and json.loads(r.json)["depends_on"] for r in local)
+
+
+def test_arguments_that_break_parsers(spark):
+    texts = ['{"b":1e400}', '{"b":-1e400}', '{"a":' + "9" * 400 + "}", '{"a":' + "9" * 5000 + "}", '{"\\ud800":1}', '{"c":"\\udc00"}', "[" * 100_000, '{"a":' * 3000 + "1" + "}" * 3000, '{"b":1e-7}', "\x00", '"\\u0000"', "{" * 9, "", None, '{"a":1}x', '{"b":-0.0}', "1e999", "Infinity"]
+    kind = "conv_id long, turn long, call_id string, name string, arguments string, depends_on array<string>"
+    calls = spark.createDataFrame([(1, i, f"k{i}", "t", t, None) for i, t in enumerate(texts)], kind)
+    tools = {"t": {"type": "object", "properties": {"a": {"type": "integer", "minimum": 0}, "b": {"type": "number"}, "c": {"type": "string"}}, "additionalProperties": False}}
+    got = {r.turn: r for r in tool_calls.link(calls, spark.createDataFrame([], "conv_id long, turn long, call_id string, content string"), tools).collect()}
+    for i in (0, 1, 3, 6, 16, 17):
+        assert any("not JSON" in e for e in got[i].errors) and '"arguments":null' in got[i].json
+    assert not got[2].errors and got[4].errors == ["$.\\ud800: not allowed"] and '"b":1e-7' in got[8].json and '"b":0' in got[15].json
+
+
+@given(st.recursive(st.none() | st.booleans() | st.integers() | st.floats() | st.text(st.characters(), max_size=5), lambda x: st.lists(x, max_size=3) | st.dictionaries(st.text(st.characters(), max_size=3), x, max_size=3), max_leaves=8), st.booleans())
+@settings(max_examples=150, deadline=None)
+def test_any_json_gives_a_row(value, ascii_only):
+    text = json.dumps(value, ensure_ascii=ascii_only)
+    tools = {"t": {"type": ["object", "array", "integer", "number", "string"], "minimum": 2, "maxLength": 3, "items": {"type": "integer"}, "properties": {"a": {"enum": [1]}}, "additionalProperties": False}}
+    names = ["conv_id", "call_id", "turn", "position", "status", "name", "arguments", "depends_on", "has_result", "content", "found"]
+    try:
+        text.encode()
+    except UnicodeEncodeError:  # no such text comes out of Spark
+        text = json.dumps(value)
+    row = pa.record_batch([pa.array([x]) for x in (1, "a", 1, 1, "linked", "t", text)] + [pa.array([None], pa.list_(pa.string())), pa.array([False]), pa.array([None], pa.string()), pa.array([None], pa.list_(pa.string()))], names)
+    (out,) = tool_calls._written(tools)(iter([row]))
+    made = json.loads(out.column("json")[0].as_py())
+    if not any("not JSON" in e for e in out.column("errors")[0].as_py()):
+        asfloat = lambda t: json.loads(t, parse_int=float)
+        assert asfloat(out.column("json")[0].as_py())["arguments"] == asfloat(text) and tool_calls.canonical(made) == out.column("json")[0].as_py()
+
+
+def test_numbers_have_the_shortest_form():
+    for x, text in ((1e21, "1e+21"), (123456789012345680000.0, "123456789012345680000"), (1e-6, "0.000001"), (1e-7, "1e-7"), (-1.5e-9, "-1.5e-9"), (0.1, "0.1"), (1.5e300, "1.5e+300"), (-0.0, "0"), (100.0, "100"), (12.5, "12.5")):
+        assert tool_calls.canonical(x) == text and float(text) == x
+
+
 def test_schema_rules():
     schema = {"type": "object", "required": ["a"], "properties": {"a": {"type": "integer", "minimum": 0}, "b": {"type": ["string", "null"], "maxLength": 2}, "c": {"items": {"enum": [1, "x"]}}}, "additionalProperties": False}
     assert tool_calls.violations({"a": 1.0, "b": None, "c": [1, "x"]}, schema) == []
