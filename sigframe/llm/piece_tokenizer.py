@@ -2,8 +2,9 @@
 
 A text's pieces are those with the greatest sum of scores (ties: the longer last piece). The lattice is built one character at a time. A
 piece has at most `longest` characters, so only that many last positions can be extended; whenever the back pointers of all of
-them lead through one boundary, what lies before is settled, its ids are given out and the window moves there. Memory is bounded by the
-window, whatever the text's length.
+them lead through one boundary, what lies before is settled, its ids are given out and the window moves there. Time is proportional to a text's length.
+Memory is bounded by the window from the last settled boundary; it is short in ordinary text, but grows with a run in which the paths never meet
+(one character repeated, if there are pieces of two or more of it: which cut is best is only known at the end of the run), by four numbers a character.
 
 Where no piece can span a boundary (before a run of spaces, between two characters that are neighbours in no piece), all paths meet
 by construction. Texts are cut there, and the ids of up to `KNOWN` such units are remembered between texts.
@@ -74,10 +75,17 @@ class Vocabulary:
 
 
 class StreamingViterbi:
-    """Feed text, get settled ids."""
+    """Feed text, get settled ids.
+
+    Positions are relative to `text`, whose start is not behind `root`, the last settled boundary. Back pointers form a tree; `kids` and `sums` are the number of a position's
+    live children and the sum of their positions. A position that can no longer be extended and has no children dies, and so may its parent. While
+    the root has one child, the step to it is settled. Each position is added, dies and is settled once, so a text takes time in
+    proportion to its length.
+    """
 
     def __init__(self, vocab: Vocabulary) -> None:
         self.v, self.text, self.best, self.back = vocab, "", [0.0], [0]
+        self.kids, self.sums, self.root, self.old = [0], [0], 0, 0
 
     def feed(self, text: str) -> list[int]:
         out, step = [], self.v.longest * 4
@@ -113,31 +121,48 @@ class StreamingViterbi:
 
     def _settle(self) -> list[int]:
         """Ids up to the boundary where all paths that can still win converge."""
-        end = len(self.text)
-        ends = set(range(max(0, end - self.v.longest + 1), end + 1))
-        while len(ends) > 1:
-            last = max(ends)
-            ends.remove(last)
-            ends.add(self.back[last])
-        return self._take(ends.pop())
-
-    def _take(self, end: int) -> list[int]:
-        cut, ids = [end], []
-        while cut[-1] > 0:
-            cut.append(self.back[cut[-1]])
-        cut.reverse()
-        for a, b in zip(cut, cut[1:]):
-            piece = self.text[a:b]
-            i = self.v.ids.get(piece)
-            ids += self.v.unknown_ids(piece) if i is None else [i]
-        self.text = self.text[end:]
+        back, kids, sums = self.back, self.kids, self.sums
+        for p in range(len(kids), len(back)):
+            kids.append(0)
+            sums.append(0)
+            kids[back[p]] += 1
+            sums[back[p]] += p
+        live = max(0, len(self.text) - self.v.longest + 1)
+        for p in range(self.old, live):
+            while not kids[p] and p > self.root:
+                up = back[p]
+                kids[up] -= 1
+                sums[up] -= p
+                p = up
+        self.old = max(self.old, live)
+        ids: list[int] = []
+        while self.root < live and kids[self.root] == 1:
+            ids += self._ids(self.root, sums[self.root])
+            self.root = sums[self.root]
+        if self.root > len(self.text) // 2:
+            self._forget(self.root)
+        return ids
+
+    def _forget(self, end: int) -> None:
+        """Drop what lies before `end`, the settled boundary."""
         base = self.best[end]
+        self.text = self.text[end:]
         self.best = [b - base for b in self.best[end:]]
         self.back = [max(0, b - end) for b in self.back[end:]]
-        return ids
+        self.kids, self.sums = self.kids[end:], [s - end * k for s, k in zip(self.sums[end:], self.kids[end:])]
+        self.root, self.old = 0, max(0, self.old - end)
+
+    def _ids(self, a: int, b: int) -> list[int]:
+        piece = self.text[a:b]
+        i = self.v.ids.get(piece)
+        return self.v.unknown_ids(piece) if i is None else [i]
 
     def finish(self) -> list[int]:
-        return self._take(len(self.text))
+        cut = [len(self.text)]
+        while cut[-1] > self.root:
+            cut.append(self.back[cut[-1]])
+        cut.reverse()
+        return [i for a, b in zip(cut, cut[1:]) for i in self._ids(a, b)]
 
 
 class Codec:

@@ -1,6 +1,7 @@
 """Token store and piece tokenizer against whole-text encoding, a full lattice and round trips."""
 
 import random
+import time
 import zlib
 from pathlib import Path
 
@@ -129,6 +130,31 @@ def test_window_is_bounded_and_chunks_do_not_matter(codec):
     assert got == once.feed(text) + once.finish() and widest < 200
 
 
+def test_runs_of_one_character_take_linear_time(codec):
+    v = codec.v
+    signs = sorted({p[0] for p in v.ids if len(p) > 1 and p == p[0] * len(p)})
+    assert {"-", "#", "=", "▁"} <= set(signs)
+    for sign in signs:
+        for n in (997, 5000):
+            path = piece_tokenizer.StreamingViterbi(v)
+            ids = path.feed(sign * n) + path.finish()
+            assert "".join(v.raw[i].decode().replace(" ", "▁") for i in ids) == sign * n
+            assert score_of(v, ids) == pytest.approx(best_score(v, sign * n))
+    began = time.time()
+    ids = codec.encode("-" * 1_000_000)
+    assert time.time() - began < 30 and codec.decode(ids.tolist()) == "-" * 1_000_000
+
+
+def test_ordinary_text_keeps_a_short_window(codec):
+    r = random.Random(3)
+    text = "".join(r.choices("etaoinshr-=", weights=[9] * 9 + [1, 1], k=60_000))
+    path, widest, ids = piece_tokenizer.StreamingViterbi(codec.v), 0, []
+    for k in range(0, len(text), 500):
+        ids += path.feed(text[k : k + 500])
+        widest = max(widest, len(path.back))
+    assert widest < 2000 and score_of(codec.v, ids + path.finish()) == pytest.approx(best_score(codec.v, text))
+
+
 def test_documents_round_trip(spark, docs, odd, none):
     sp = sentencepiece.SentencePieceProcessor(model_proto=MODEL)
     for df in (docs, clashing(odd, "ids", "n_ids", "exact")):
