@@ -12,8 +12,9 @@ less than shuffling them to their candidates.
 The sketch table goes to every task only while its measured size is at most `SMALL` rows; beyond that the same join shuffles. All of it
 is DataFrame and SQL functions.
 
-Nulls: rows or items without id are not compared, a null text has no words, an item without words is contained nowhere. Rows that share
-an id are searched as one text. Each (doc_id, item_id) found is one row.
+Nulls: rows or items without id are not compared, a null text has no words, an item without words is contained nowhere. Every text and every item
+stands for itself, also where several share an id: items are kept apart by the SHA-256 of their shingles, texts by theirs. Equal texts under one id are one
+text; each pair of a text and an item found is one row, so a pair of ids comes once per pair of different texts.
 """
 
 from __future__ import annotations
@@ -44,18 +45,19 @@ def _send(small: DataFrame, rows: int) -> DataFrame:
 
 
 def benchmark_items(bench: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id, width, shingles, n_shingles) of all items that have words."""
+    """(item_id, width, shingles, n_shingles, item) of all items that have words; `item` is the key."""
     items = bench.select(F.col(id_col).alias("item_id"), _words(text_col).alias("words")).filter("item_id is not null and size(words) > 0")
     items = items.withColumn("width", F.least(F.lit(WIDTH), F.size("words")))
-    return items.select("item_id", "width", _shingles("width").alias("shingles")).withColumn("n_shingles", F.size("shingles")).distinct()
+    items = items.select("item_id", "width", _shingles("width").alias("shingles")).distinct()
+    return items.withColumns({"n_shingles": F.size("shingles"), "item": F.struct("item_id", F.sha2(F.array_join("shingles", "\n"), 256).alias("mark"))})
 
 
 def sketches(items: DataFrame) -> DataFrame:
-    """(item_id, width, hash): the bottom-k MinHash of every item, k by size partition."""
+    """(item, width, hash): the bottom-k MinHash of every item, k by size partition."""
     rows = items.withColumn("k", F.expr(f"cast(({_LARGEST}) div 5 as int) + 1"))
-    rows = rows.select("item_id", "width", "k", F.explode("shingles").alias("shingle")).withColumn("hash", F.xxhash64("shingle"))
-    order = F.row_number().over(W.partitionBy("item_id", "width").orderBy("hash", "shingle"))
-    return rows.withColumn("rank", order).filter("rank <= k").select("item_id", "width", "hash")
+    rows = rows.select("item", "width", "k", F.explode("shingles").alias("shingle")).withColumn("hash", F.xxhash64("shingle"))
+    order = F.row_number().over(W.partitionBy("item", "width").orderBy("hash", "shingle"))
+    return rows.withColumn("rank", order).filter("rank <= k").select("item", "width", "hash")
 
 
 def contained(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -65,29 +67,30 @@ def contained(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_co
     count = items.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
     widths = [r.width for r in items.select("width").distinct().collect()]  # at most five numbers
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    whole = materialize(items.select("item_id", "width", F.posexplode("shingles").alias("k", "shingle")).withColumn("hash", F.xxhash64("shingle")), "shingles")
+    texts = texts.select(F.struct("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("mark")).alias("doc"), "text")
+    whole = materialize(items.select("item", "width", F.posexplode("shingles").alias("k", "shingle")).withColumn("hash", F.xxhash64("shingle")), "shingles")
 
     def grams(width: int) -> DataFrame:
         """Every shingle of every text."""
-        words = texts.select("doc_id", _words("text").alias("words"))
-        at = words.select("doc_id", "words", F.expr(f"explode(if(size(words) < {width}, null, sequence(0, size(words) - {width})))").alias("i"))
+        words = texts.select("doc", _words("text").alias("words"))
+        at = words.select("doc", "words", F.expr(f"explode(if(size(words) < {width}, null, sequence(0, size(words) - {width})))").alias("i"))
         shingle = F.concat_ws(" ", *[F.col("words")[F.col("i") + k] for k in range(width)]).alias("shingle")
-        return at.select("doc_id", shingle).withColumn("hash", F.xxhash64("shingle"))
+        return at.select("doc", shingle).withColumn("hash", F.xxhash64("shingle"))
 
     def found(width: int) -> DataFrame:
         """Candidates: texts with a shingle of an item's sketch."""
-        looked_up = _send(sketch.filter(F.col("width") == width).select("item_id", "hash"), count)
-        return grams(width).select("doc_id", "hash").join(looked_up, "hash").select("doc_id", "item_id").distinct()
+        looked_up = _send(sketch.filter(F.col("width") == width).select("item", "hash"), count)
+        return grams(width).select("doc", "hash").join(looked_up, "hash").select("doc", "item").distinct()
 
     def held(width: int) -> DataFrame:
         """Which shingles of the items the texts hold, compared as strings."""
-        looked_up = _send(whole.filter(F.col("width") == width).select("item_id", "k", "hash", "shingle"), count)
-        return grams(width).join(looked_up, ["hash", "shingle"]).select("doc_id", "item_id", "k").distinct()
+        looked_up = _send(whole.filter(F.col("width") == width).select("item", "k", "hash", "shingle"), count)
+        return grams(width).join(looked_up, ["hash", "shingle"]).select("doc", "item", "k").distinct()
 
-    none = texts.limit(0).select("doc_id", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"))
+    none = texts.limit(0).select("doc", F.lit(None).cast(items.schema["item"].dataType).alias("item"))
     pairs = reduce(DataFrame.unionByName, map(found, widths), none)
-    parts = reduce(DataFrame.unionByName, map(held, widths), none.select("doc_id", "item_id", F.lit(0).alias("k")))
+    parts = reduce(DataFrame.unionByName, map(held, widths), none.select("doc", "item", F.lit(0).alias("k")))
     pairs = materialize(pairs, "pairs")
-    shared = parts.join(pairs, ["doc_id", "item_id"], "left_semi").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).cast("int").alias("n_shared"))
-    sized = shared.join(items.select("item_id", "n_shingles"), "item_id").filter("5 * n_shared >= 4 * n_shingles")
-    return sized.select("doc_id", "item_id", "n_shingles", "n_shared", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
+    shared = parts.join(pairs, ["doc", "item"], "left_semi").groupBy("doc", "item").agg(F.count(F.lit(1)).cast("int").alias("n_shared"))
+    sized = shared.join(items.select("item", "n_shingles"), "item").filter("5 * n_shared >= 4 * n_shingles")
+    return sized.select("doc.doc_id", "item.item_id", "n_shingles", "n_shared", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))

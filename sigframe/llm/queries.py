@@ -77,14 +77,15 @@ def _op5(spark: SparkSession, d: str) -> DataFrame:
 
 
 OP6 = """
-WITH docs AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+WITH docs AS (SELECT doc_id, d, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM (SELECT row_number() OVER () AS d, * FROM (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL))),
 items AS (SELECT item_id, w, least(5, len(w)) AS width FROM (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL) WHERE len(w) > 0),
-item_shingles AS (SELECT DISTINCT item_id, width, array_to_string(w[i : i + width - 1], ' ') AS s FROM (SELECT item_id, w, width, unnest(range(1, len(w) - width + 2)) AS i FROM items)),
-sizes AS (SELECT item_id, width, count(*) AS n FROM item_shingles GROUP BY ALL),
-doc_shingles AS (SELECT DISTINCT doc_id, width, array_to_string(w[i : i + width - 1], ' ') AS s FROM (SELECT doc_id, w, width, unnest(range(1, len(w) - width + 2)) AS i FROM docs, (SELECT DISTINCT width FROM items))),
-shared AS (SELECT doc_id, item_id, count(*) AS n_shared FROM doc_shingles JOIN item_shingles USING (width, s) GROUP BY ALL)
+keyed AS (SELECT row_number() OVER () AS k, * FROM (SELECT DISTINCT item_id, width, [array_to_string(w[i : i + width - 1], ' ') FOR i IN range(1, len(w) - width + 2)] AS g FROM items)),
+item_shingles AS (SELECT DISTINCT k, item_id, width, unnest(g) AS s FROM keyed),
+sizes AS (SELECT k, count(*) AS n FROM item_shingles GROUP BY ALL),
+doc_shingles AS (SELECT DISTINCT d, doc_id, width, array_to_string(w[i : i + width - 1], ' ') AS s FROM (SELECT d, doc_id, w, width, unnest(range(1, len(w) - width + 2)) AS i FROM docs, (SELECT DISTINCT width FROM items))),
+shared AS (SELECT d, doc_id, k, item_id, count(*) AS n_shared FROM doc_shingles JOIN item_shingles USING (width, s) GROUP BY ALL)
 SELECT doc_id, item_id, CAST(n AS INTEGER) AS n_shingles, CAST(n_shared AS INTEGER) AS n_shared, n_shared / n AS containment
-FROM shared JOIN sizes USING (item_id) WHERE 5 * n_shared >= 4 * n"""
+FROM shared JOIN sizes USING (k) WHERE 5 * n_shared >= 4 * n"""
 
 
 @query("op6_benchmark_containment", OP6)

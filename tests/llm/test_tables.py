@@ -102,25 +102,27 @@ def plain_words(text):
 
 
 def plain_contained(docs, items):
-    out = set()
+    out = Counter()
+    texts = {(d, t) for d, t in docs if d is not None and t is not None}
+    held = {}
     for item, text in items:
         w = plain_words(text)
         width = min(5, len(w))
-        s = {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if w else set()
-        seen = defaultdict(set)
-        for doc_id, doc in docs:
+        if w and item is not None:
+            held[item, tuple(dict.fromkeys(tuple(w[i : i + width]) for i in range(len(w) - width + 1)))] = width
+    for (item, grams), width in held.items():
+        for doc_id, doc in texts:
             d = plain_words(doc)
-            seen[doc_id] |= s & {tuple(d[i : i + width]) for i in range(len(d) - width + 1)}
-        for doc_id, both in seen.items():
-            if s and doc_id is not None and item is not None and 5 * len(both) >= 4 * len(s):
-                out.add((doc_id, item, len(s), len(both)))
+            both = set(grams) & {tuple(d[i : i + width]) for i in range(len(d) - width + 1)}
+            if 5 * len(both) >= 4 * len(grams):
+                out[doc_id, item, len(grams), len(both)] += 1
     return out
 
 
 def test_containment(spark, docs, odd, none):
     bench = spark.read.parquet(f"{SMALL}/benchmark.parquet")
     items = [tuple(r) for r in bench.select("item_id", "text").collect()]
-    run = lambda d, b: {(r.doc_id, r.item_id, r.n_shingles, r.n_shared) for r in contained(d, b).collect()}
+    run = lambda d, b: Counter((r.doc_id, r.item_id, r.n_shingles, r.n_shared) for r in contained(d, b).collect())
     texts = [(r.doc_id, r.text) for r in docs.collect()]
     got = run(docs, bench)
     assert got == plain_contained(texts, items) and got
@@ -133,7 +135,17 @@ def test_containment(spark, docs, odd, none):
     d = clashing(odd, "item_id", "words", "own")
     want = plain_contained([(r.doc_id, r.text) for r in odd.collect()], own)
     assert run(d, b) == want and {(14, 1), (14, 2), (8, 3), (10, 4), (9, 8), (14, 9)} <= {w[:2] for w in want}
-    assert run(none, b) == set() == run(d, b.filter("false"))
+    assert run(none, b) == Counter() == run(d, b.filter("false"))
+
+
+def test_containment_with_shared_ids(spark):
+    word = lambda a, n: " ".join(f"w{i}" for i in range(a, a + n))
+    items = [(1, word(0, 14)), (1, word(100, 14)), (2, word(200, 9)), (2, word(200, 9)), (None, word(0, 14))]
+    half = f"{word(0, 9)} x {word(100, 9)}"
+    docs = [(5, half), (6, word(0, 9)), (6, word(5, 9)), (7, word(0, 14)), (7, word(95, 25)), (7, word(95, 25)), (8, word(200, 9)), (None, word(0, 14))]
+    got = contained(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    found = Counter((r.doc_id, r.item_id, r.n_shingles, r.n_shared) for r in got.collect())
+    assert found == plain_contained(docs, items) == Counter({(7, 1, 10, 10): 2, (8, 2, 5, 5): 1})
 
 
 def test_containment_without_broadcast(spark, docs, monkeypatch):
