@@ -1,7 +1,9 @@
 """A corpus pipeline out of the operators in `sigframe.llm`.
 
 Each stage's table is written as Parquet and reread as the next one's documents. All but the last return the columns of documents.
-A document without an id takes part in every stage but is never dropped as a copy or as contaminated, since it cannot be named.
+Where a stage drops documents that an operator has named, rows are numbered first and exactly the rows found go, whatever ids they share or lack. Of a group of copies the row with
+the smallest doc_id stays (nulls last; ties: the smallest SHA-256 of the text, then any). In substring dedup a document without an id neither loses
+words nor makes others lose any, since only documents with a smaller id count as earlier.
 """
 
 from __future__ import annotations
@@ -26,10 +28,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.filter(F.col("score") >= quality_classifier.THRESHOLD).select("row.*")
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """Every row as `row`, with a number `at`; written, so that the numbers hold."""
+    return materialize(docs.select(F.monotonically_increasing_id().alias("at"), F.struct(*docs.columns).alias("row")), "numbered")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component stays, the one with the smallest id."""
-    copies = near_duplicates(docs).filter("component_id <> doc_id").select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    rows = numbered(docs)
+    found = near_duplicates(rows, "at", "row.text").select(F.col("doc_id").alias("at"), "component_id")
+    key = F.struct(F.col("row.doc_id").isNull().alias("nameless"), "row.doc_id", F.sha2(F.coalesce("row.text", F.lit("")).cast("binary"), 256).alias("mark"), "at")
+    crowded = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component_id")
+    found = materialize(found.join(crowded, "component_id", "left_semi"), "copies")
+    found = materialize(found.join(rows.select("at", key.alias("key")), "at"), "copies")
+    first = found.groupBy("component_id").agg(F.min("key").alias("least")).select("component_id", F.col("least.at").alias("first"))
+    copies = found.join(first, "component_id").filter("at <> first").select("at")
+    return rows.join(copies, "at", "left_anti").select("row.*")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +57,9 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item go."""
-    found = decontaminate.contained(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    rows = numbered(docs)
+    found = decontaminate.contained(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "at", "row.text").select(F.col("doc_id").alias("at")).distinct()
+    return rows.join(found, "at", "left_anti").select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
