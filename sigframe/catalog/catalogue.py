@@ -10,7 +10,7 @@ from sigframe.plans import views as v
 from sigframe.plans.blocked import range_bucket
 from sigframe.plans.views import oracle
 from sigframe.session import shared_path
-from sigframe.sources import cue, files
+from sigframe.sources import cue, files, probing
 
 _EXT = ["xm", "IT", "zip", "html", "S3M", "tar.gz", "txt", "mod", "7z", "mo3"]
 _EXT_SQL = "['" + "', '".join(_EXT) + "']"
@@ -58,10 +58,30 @@ def _(spark, d):
 
 @query("probe_magic", "S5")
 def _(spark, d):
-    p = files.probe_magic(spark, d)
+    p = probing.probe_files(spark, d)
     return p.select(F.element_at(F.split("path", "/"), -1).alias("name"), "result", "format")
 
 
+# Heads made of part columns: version, last order, rows per beat, channels and counts that are now and then out of range, or cut short.
+_HEADS = """h AS (SELECT p_partkey AS k, p_size AS version, p_partkey % 140 AS orders, p_partkey % 70 AS beats, p_partkey % 35 AS channels, p_size % 9 AS samples, p_partkey % 7 AS tracks, p_partkey % 11 AS patterns,
+    p_partkey % 300 AS comment, CASE WHEN p_partkey % 13 = 0 THEN p_partkey % 66 ELSE 66 END AS have, 1000 + p_partkey % 2000 AS length, p_partkey % 17 <> 0 AS signed FROM part)"""
+
+
+@query("probe_heads", "S5", f"""WITH {_HEADS}, r AS (SELECT k, CASE WHEN NOT signed AND have > 0 THEN 'failure' WHEN have < 66 THEN 'want_more' WHEN version < 32 AND orders <= 127 AND beats <= 64 AND channels BETWEEN 1 AND 32
+    AND length >= 66 + 37 * samples + 128 + 192 * tracks + 64 * (patterns + 1) + comment THEN 'success' ELSE 'failure' END AS result FROM h)
+    SELECT k, result, CASE WHEN result = 'success' THEN 'mtm' END AS format FROM r""")
+def _(spark, d):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    byte = lambda c: F.lpad(F.hex(c), 2, "0")
+    le = lambda c: F.concat(byte(c % 256), byte(F.floor(c / 256)))
+    sign = F.when(k % 17 != 0, "4D544D").otherwise("544D4D")
+    digits = F.concat(sign, byte(size), F.repeat(F.lit("41"), 20), le(k % 7), byte(k % 11), byte(k % 140), le(k % 300), byte(size % 9), F.lit("00"), byte(k % 70), byte(k % 35), F.repeat(F.lit("08"), 32))
+    head = F.substr(F.unhex(digits), F.lit(1), F.when(k % 13 == 0, k % 66).otherwise(66).cast("int"))
+    only = [f for f in probing.FORMATS if f.name == "mtm"]
+    rows = v.table(spark, d, "part").select(k.alias("k"), head.alias("head"), (1000 + k % 2000).alias("length"))
+    return rows.select("k", probing.probe(F.col("head"), F.col("length"), only).alias("p")).select("k", "p.result", "p.format")
+
+
 @query("decode_header", "S6", """WITH h AS (SELECT doc_id, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM documents),
     y AS (SELECT doc_id, n, [16 * (strpos('0123456789ABCDEF', substr(h, 2 * i + 1, 1)) - 1) + strpos('0123456789ABCDEF', substr(h, 2 * i + 2, 1)) - 1 for i in range(64, 80)] AS b FROM h)
     SELECT doc_id, CASE WHEN n >= 66 THEN b[1] + b[2] * 256 END AS orders, CASE WHEN n >= 70 THEN b[5] + b[6] * 256 END AS channels, CASE WHEN n >= 80 THEN b[15] + b[16] * 256 END AS tempo FROM y""")
@@ -70,6 +90,17 @@ def _(spark, d):
     return t.select("doc_id", *files.decode_header(F.encode("text", "UTF-8"), files.XM_HEADER)).select("doc_id", "orders", "channels", "tempo")
 
 
+@query("decode_more_headers", "S6", """WITH h AS (SELECT doc_id, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM documents),
+    y AS (SELECT doc_id, n, [16 * (strpos('0123456789ABCDEF', substr(h, 2 * i + 1, 1)) - 1) + strpos('0123456789ABCDEF', substr(h, 2 * i + 2, 1)) - 1 for i in range(64)] AS b FROM h)
+    SELECT doc_id, CASE WHEN n >= 34 THEN b[33] + b[34] * 256 END AS orders, CASE WHEN n >= 36 THEN b[35] + b[36] * 256 END AS s3m_samples, CASE WHEN n >= 44 THEN b[43] + b[44] * 256 END AS s3m_version,
+    CASE WHEN n >= 51 THEN b[51] END AS s3m_tempo, CASE WHEN n >= 36 THEN b[35] + b[36] * 256 END AS imf_patterns, CASE WHEN n >= 50 THEN b[50] END AS imf_tempo, CASE WHEN n >= 52 THEN b[52] END AS imf_amplification FROM y""")
+def _(spark, d):
+    raw = F.encode("text", "UTF-8")
+    named = lambda layout, short: [c.alias(f"{short}_{f.name}") for c, f in zip(files.decode_header(raw, layout), layout)]
+    t = v.table(spark, d, "documents").select("doc_id", *named(files.S3M_HEADER, "s3m"), *named(files.IMF_HEADER, "imf"))
+    return t.select("doc_id", F.col("s3m_orders").alias("orders"), "s3m_samples", "s3m_version", "s3m_tempo", "imf_patterns", "imf_tempo", "imf_amplification")
+
+
 @query("decode_file_header", "S6")
 def _(spark, d):
     layout = [files.Field("magic", 0, 4, "text"), files.Field("word", 4, 4, "le"), files.Field("half", 4, 2, "be")]

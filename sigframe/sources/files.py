@@ -63,52 +63,6 @@ def archive_candidates(entries: DataFrame, cap: int = MAX_ENTRIES) -> tuple[Data
     return ranked, counts.filter(F.col("candidates") > cap)
 
 
-@dataclass(frozen=True)
-class Magic:
-    format: str
-    offset: int
-    hex: str
-
-
-# A few signatures by offset.
-MAGICS = [
-    Magic("it", 0, "494D504D"),
-    Magic("xm", 0, "457874656E646564204D6F64756C653A20"),
-    Magic("s3m", 44, "5343524D"),
-    Magic("669", 0, "6966"),
-    Magic("669", 0, "4A4E"),
-    Magic("dmf", 0, "44444D46"),
-    Magic("parquet", 0, "50415231"),
-]
-
-
-def probe(head: Column, magics: Sequence[Magic]) -> Column:
-    """struct(result, format): success with the first format whose bytes match, else want_more while some
-    signature reaches past the bytes given, else failure."""
-    fmt = F.lit(None).cast("string")
-    more = F.lit(False)
-    text = F.hex(head)
-    for m in reversed(magics):
-        here = F.substring(text, 2 * m.offset + 1, len(m.hex)) == m.hex
-        fmt = F.when(here, m.format).otherwise(fmt)
-    for m in magics:
-        more = more | (F.length(text) < 2 * m.offset + len(m.hex))
-    result = F.when(fmt.isNotNull(), "success").when(more, "want_more").otherwise("failure")
-    return F.struct(result.alias("result"), fmt.alias("format"))
-
-
-def probe_magic(spark: SparkSession, root: str, magics: Sequence[Magic] = MAGICS, limit: int = MAX_BYTES) -> DataFrame:
-    """Probe the files below `root`. The size limit is pushed to the listing, so larger files are never opened and
-    are reported as `too_large`."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    head = F.substring("content", 1, max(m.offset + len(m.hex) // 2 for m in magics))
-    small = files.filter(F.col("length") <= limit).select("path", "length", probe(head, magics).alias("p"))
-    large = files.filter(F.col("length") > limit).select("path", "length")
-    return small.select("path", "length", "p.result", "p.format").unionByName(
-        large.withColumns({"result": F.lit("too_large"), "format": F.lit(None).cast("string")})
-    )
-
-
 @dataclass(frozen=True)
 class Field:
     """One header field; kind is text (NUL- and space-trimmed), le or be."""
@@ -119,7 +73,7 @@ class Field:
     kind: str
 
 
-# The scalar fields of two module headers.
+# The scalar fields of four module headers.
 IT_HEADER = [
     Field("magic", 0, 4, "text"),
     Field("name", 4, 26, "text"),
@@ -131,6 +85,34 @@ IT_HEADER = [
     Field("speed", 50, 1, "le"),
     Field("tempo", 51, 1, "le"),
 ]
+S3M_HEADER = [
+    Field("name", 0, 28, "text"),
+    Field("kind", 29, 1, "le"),
+    Field("orders", 32, 2, "le"),
+    Field("samples", 34, 2, "le"),
+    Field("patterns", 36, 2, "le"),
+    Field("flags", 38, 2, "le"),
+    Field("made_with", 40, 2, "le"),
+    Field("version", 42, 2, "le"),
+    Field("magic", 44, 4, "text"),
+    Field("volume", 48, 1, "le"),
+    Field("speed", 49, 1, "le"),
+    Field("tempo", 50, 1, "le"),
+    Field("master", 51, 1, "le"),
+    Field("panning", 53, 1, "le"),
+]
+IMF_HEADER = [
+    Field("name", 0, 32, "text"),
+    Field("orders", 32, 2, "le"),
+    Field("patterns", 34, 2, "le"),
+    Field("instruments", 36, 2, "le"),
+    Field("flags", 38, 2, "le"),
+    Field("speed", 48, 1, "le"),
+    Field("tempo", 49, 1, "le"),
+    Field("master", 50, 1, "le"),
+    Field("amplification", 51, 1, "le"),
+    Field("magic", 60, 4, "text"),
+]
 XM_HEADER = [
     Field("magic", 0, 17, "text"),
     Field("name", 17, 20, "text"),
@@ -161,10 +143,12 @@ def decode_header(content: Column, layout: Sequence[Field]) -> list[Column]:
 
 
 def decode_headers(spark: SparkSession, root: str, layout: Sequence[Field], limit: int = MAX_BYTES) -> DataFrame:
-    """`path, error` and the layout's columns for every file below `root`. The size limit is pushed to the listing; larger files
-    are never opened and give a row with an error."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    small = files.filter(F.col("length") <= limit).select("path", F.lit(None).cast("string").alias("error"), *decode_header(F.col("content"), layout))
+    """`path, error` and the layout's columns for every file below `root`, from as many bytes of each as the layout reaches. Files over the size limit
+    are not opened; they and unreadable ones give a row with an error."""
+    from sigframe.sources.probing import heads
+
+    files = scan_files(spark, root)
+    small = heads(files.filter(F.col("length") <= limit), max(f.offset + f.width for f in layout)).select("path", "error", *decode_header(F.col("head"), layout))
     large = files.filter(F.col("length") > limit).select("path", F.concat(F.col("length"), F.lit(f" bytes exceeds the {limit} byte safety limit")).alias("error"))
     return small.unionByName(large, allowMissingColumns=True)
 

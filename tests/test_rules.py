@@ -66,12 +66,6 @@ def test_size_guard_boundary_and_entry_cap(spark):
     assert kept.count() == 2048 and {r.archive for r in kept.select("archive").distinct().collect()} == {"b"}
 
 
-def test_probe_three_states(spark):
-    rows = [(b"IMPM1234" + b"\0" * 60,), (b"\0" * 60,), (b"ab",)]
-    df = spark.createDataFrame(rows, "head binary").select(files.probe(F.col("head"), files.MAGICS).alias("p"))
-    assert sorted((r.p.result, r.p.format) for r in df.collect()) == [("failure", None), ("success", "it"), ("want_more", None)]
-
-
 def test_resample_keeps_identity_and_length(spark):
     taps = [0.0, 0.25, 1.0, 0.25, 0.0]
     assert column(signal_ops.resample_linear(signal(spark, taps), 48000, 48000)) == taps
