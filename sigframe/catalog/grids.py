@@ -251,7 +251,7 @@ def _(spark, d):
 FORMATS = [
     ("small", 37, 96, False, False, False, False, " abcdefghi?klmnop" + "?" * 41, " vpc??a?????????"),
     ("large", 1, 120, True, True, True, False, " " + "x" * 40 + "?" * 17, " vpc?ab?hl??????"),
-    ("full", 1, 120, True, True, True, True, " " + "x" * 57, " vpcdabuh??gfe?o"),
+    ("full", 1, 120, True, True, True, True, " " + "x" * 57, " abcdefgh??ijk?l"),
 ]
 
 

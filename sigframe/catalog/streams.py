@@ -8,7 +8,7 @@ from sigframe.catalog.registry import query, r6
 from sigframe.plans import views as v
 from sigframe.plans.views import oracle
 from sigframe.streaming import operators as so
-from sigframe.streaming.runs import append_to_table, complete_to_table, replay, stage, update_to_table
+from sigframe.streaming.runs import append_to_table, replay, stage, update_to_table
 
 
 def _samples(spark, d):
@@ -59,11 +59,9 @@ def _(spark, d):
     a AS (SELECT stream, min(ts) AS start, max(ts) + INTERVAL 6 hour AS stop, count(*) AS events FROM s GROUP BY stream, k)
     SELECT stream, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, strftime(stop, '%Y-%m-%d %H:%M:%S') AS stop, events, stop <= (SELECT max(ts) FROM events) - INTERVAL 1 hour AS closed FROM a""")
 def _(spark, d):
-    out = complete_to_table(so.sessions(_events(spark, d), "6 hours"), "sessions")
+    out = update_to_table(so.sessions(_events(spark, d), "6 hours"), ["stream", "start"], "sessions").filter("status <> 'merged'")
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-    newest = v.table(spark, d, "events").agg(F.max("ts").cast("timestamp").alias("top")).scalar()
-    closed = (F.col("end") <= newest - F.expr("INTERVAL 1 HOUR")).alias("closed")
-    return out.select("stream", stamp("start").alias("start"), stamp("end").alias("stop"), "events", closed)
+    return out.select("stream", stamp("start").alias("start"), stamp("end").alias("stop"), "events", (F.col("status") == "closed").alias("closed"))
 
 
 @query("stream_limiter", "T4", oracle("sig",

@@ -1,18 +1,22 @@
 """Streaming operators. Plans that Structured Streaming has built in are composed from it; the others keep a small
 state per stream with `transformWithStateInPandas`.
 
-Within a micro-batch the rows of a stream arrive unordered and are put in sequence order inside the handler. These
-recursions are not linear, so one stream is sequential work; streams run in parallel, and a micro-batch's size bounds
-what a handler holds.
+Within a micro-batch the rows of a stream arrive unordered and are put in sequence order inside the handler. If they come in more than one Arrow batch,
+they wait in map state on disk, by stretches of `SPAN` sequence numbers, and are taken out stretch by stretch, so a stream with most of
+the rows needs no more memory than a stretch. These recursions are not linear, so one stream of a micro-batch is sequential work; streams run in parallel.
 """
 
 from __future__ import annotations
 
 import json
+import math
+from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -23,33 +27,68 @@ from sigframe.streaming.runs import use_rocksdb
 Step = Callable[[dict, pd.DataFrame], tuple[dict, pd.DataFrame]]
 
 
+SPAN = 16_384  # sequence numbers of a stream that a handler sorts at a time
+
+
+def _to_bytes(pdf: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    table = pa.Table.from_pandas(pdf, preserve_index=False)
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _from_bytes(raw: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(raw).read_pandas()
+
+
 class OrderedStep(StatefulProcessor):
-    """Keeps one JSON state per stream and applies `step(state, rows in order) -> (state, output)`."""
+    """Keeps one JSON state per stream and applies `step(state, rows in order) -> (state, output)` to one stretch after the other."""
 
-    def __init__(self, step: Step, order: str, key: str):
-        self.step, self.order, self.key = step, order, key
+    def __init__(self, step: Step, order: str, key: str, span: int):
+        self.step, self.order, self.key, self.span = step, order, key, span
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", "doc string")
+        self.waiting = handle.getMapState("waiting", "stretch long, part long", "rows binary")
+
+    def _stretches(self, rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        head = next(rows)
+        more = next(rows, None)
+        if more is None:
+            yield head.sort_values(self.order, kind="stable")
+            return
+        parts: Counter[int] = Counter()
+        for pdf in chain([head, more], rows):
+            at = pdf[self.order].to_numpy() // self.span
+            for k in np.unique(at).tolist():
+                self.waiting.updateValue((k, parts[k]), (_to_bytes(pdf[at == k]),))
+                parts[k] += 1
+        for k in sorted(parts):
+            held = []
+            for n in range(parts[k]):
+                held.append(_from_bytes(self.waiting.getValue((k, n))[0]))
+                self.waiting.removeKey((k, n))
+            yield pd.concat(held).sort_values(self.order, kind="stable")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        before = json.loads(self.state.get()[0]) if self.state.exists() else {}
-        after, out = self.step(before, pdf)
-        self.state.update((json.dumps(after),))
-        if len(out):
-            out.insert(0, self.key, key[0])
-            yield out
+        state = json.loads(self.state.get()[0]) if self.state.exists() else {}
+        for pdf in self._stretches(iter(rows)):
+            state, out = self.step(state, pdf)
+            if len(out):
+                out.insert(0, self.key, key[0])
+                yield out
+        self.state.update((json.dumps(state),))
 
     def close(self) -> None:
         pass
 
 
-def stateful(df: DataFrame, key: str, order: str, step: Step, schema: str) -> DataFrame:
+def stateful(df: DataFrame, key: str, order: str, step: Step, schema: str, span: int = SPAN) -> DataFrame:
     """`schema` is the output's DDL, the key first."""
     use_rocksdb(df.sparkSession)
     return df.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=OrderedStep(step, order, key), outputStructType=schema, outputMode="append", timeMode="none"
+        statefulProcessor=OrderedStep(step, order, key, span), outputStructType=schema, outputMode="append", timeMode="none"
     )
 
 
@@ -88,14 +127,75 @@ def meter(df: DataFrame, window: str, slide: str | None = None, delay: str = "1
     )
 
 
-def sessions(df: DataFrame, gap: str, delay: str = "1 hour") -> DataFrame:
-    """Activity sessions per stream. In append mode, for a live stream, a session appears once the watermark has passed its end; in
-    complete mode the open ones are there too."""
-    return (
-        df.withWatermark("ts", delay)
-        .groupBy("stream", F.session_window("ts", gap).alias("w"))
-        .agg(F.count(F.lit(1)).alias("events"))
-        .select("stream", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
+class SessionStep(StatefulProcessor):
+    """Keeps the open sessions of a stream (start, end, events; in microseconds) and a timer at the end of each."""
+
+    def __init__(self, gap: int):
+        self.gap = gap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getMapState("open", "start long", "end long, events long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        before = {k[0]: tuple(v) for k, v in self.open.iterator()}
+        now = [(s, e, n) for s, (e, n) in before.items()]
+        for pdf in rows:
+            ts = np.sort(pdf["ts"].to_numpy().astype("datetime64[us]").astype(np.int64))
+            cut = np.flatnonzero(np.diff(ts) >= self.gap) + 1
+            first, last = np.concatenate(([0], cut)), np.concatenate((cut, [len(ts)]))
+            now = self._merged(now + [(int(ts[a]), int(ts[b - 1]) + self.gap, int(b - a)) for a, b in zip(first, last)])
+        after = {s: (e, n) for s, e, n in now}
+        for s in before.keys() - after.keys():
+            self.open.removeKey((s,))
+        changed = [s for s in after if before.get(s) != after[s]]
+        for s in changed:
+            self.open.updateValue((s,), after[s])
+            self.handle.registerTimer(after[s][0] // 1000)
+        rows_out = [(s, *after[s], "open") for s in changed] + [(s, s, 0, "merged") for s in before.keys() - after.keys()]
+        if rows_out:
+            yield self._frame(key[0], rows_out)
+
+    @staticmethod
+    def _merged(sessions: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        out: list[tuple[int, int, int]] = []
+        for s, e, n in sorted(sessions):
+            if out and s < out[-1][1]:
+                out[-1] = (out[-1][0], max(e, out[-1][1]), n + out[-1][2])
+            else:
+                out.append((s, e, n))
+        return out
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """A timer is of no account if its session has grown since."""
+        due = expiredTimerInfo.getExpiryTimeInMs()
+        ended = [(k[0], *v, "closed") for k, v in self.open.iterator() if v[0] // 1000 <= due]
+        for s, *_ in ended:
+            self.open.removeKey((s,))
+        if ended:
+            yield self._frame(key[0], ended)
+
+    @staticmethod
+    def _frame(stream, rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=["start", "end", "events", "status"])
+        for c in ("start", "end"):
+            out[c] = pd.to_datetime(out[c], unit="us", utc=True)
+        out.insert(0, "stream", stream)
+        return out
+
+    def close(self) -> None:
+        pass
+
+
+def sessions(df: DataFrame, gap: str, delay: str = "1 hour", key_type: str = "long") -> DataFrame:
+    """Activity sessions per stream, for update mode: `stream, start, end, events, status`. A micro-batch gives a row for every session that it opened or
+    changed (`open`), for every start that another session has taken over (`merged`, without events), and one for each session whose end the
+    watermark has passed (`closed`); a closed session leaves the state. The newest row of a (stream, start) holds."""
+    use_rocksdb(df.sparkSession)
+    length = df.sparkSession.sql(f"SELECT unix_micros(timestamp_micros(0) + INTERVAL {gap})").first()[0]
+    schema = f"stream {key_type}, start timestamp, end timestamp, events long, status string"
+    return df.withWatermark("ts", delay).select("stream", "ts").groupBy("stream").transformWithStateInPandas(
+        statefulProcessor=SessionStep(length), outputStructType=schema, outputMode="update", timeMode="eventTime"
     )
 
 
@@ -123,14 +223,15 @@ ATTACK_STEPS = {"stock": 1, "gentle": 4}  # fixed values: clips per step down
 def gain_control_step(state: dict, x: np.ndarray, limit: int, block: int, timeout: int, attack_every: int) -> tuple[dict, np.ndarray]:
     """Integer gain control over one run of samples, in steps of 1/1024.
 
-    A sample beyond the limit counts as a clip, and every `attack_every` clips lower the gain at once. At the end of
-    each block of `block` samples: without clips the clip count restarts; if the gain did not fall and is below unity
-    the quiet time grows, and at `timeout` samples the gain rises one step; otherwise the quiet time restarts.
+    A sample beyond the limit counts as a clip, and every `attack_every` clips lower the gain at once. Blocks have `block` samples. A block without clips
+    makes the count start anew. A block below unity in which the gain did not fall is calm; as soon as calm blocks in a row last for `timeout` samples, the gain rises
+    one step and the calm starts anew.
 
     Between two steps the gain is constant, so a whole stretch up to the block's end is scaled and compared at once, and cut
     behind the clip that makes the gain fall.
     """
-    s = {"gain": UNITY, "held": UNITY, "attack": 0, "quiet": 0, "at": 0, "clips": 0} | state
+    s = {"gain": UNITY, "attack": 0, "calm": 0, "at": 0, "clips": 0, "fell": False} | state
+    patience = max(1, math.ceil(timeout / block))
     done, out = 0, [np.empty(0, dtype=np.int64)]
     while done < len(x):
         stretch = (x[done : done + block - s["at"]] * s["gain"]) >> 10
@@ -141,27 +242,15 @@ def gain_control_step(state: dict, x: np.ndarray, limit: int, block: int, timeou
             stretch = stretch[: clips[-1] + 1]
         out.append(stretch)
         done += len(stretch)
-        s["at"] += len(stretch)
-        s["clips"] += len(clips)
         s["attack"] = 0 if falls else s["attack"] + len(clips)
-        s["gain"] -= falls
+        s |= {"at": s["at"] + len(stretch), "clips": s["clips"] + len(clips), "gain": s["gain"] - falls, "fell": s["fell"] or falls}
         if s["at"] == block:
-            _close_block(s, block, timeout)
+            calm = s["calm"] + 1 if s["gain"] < UNITY and not s["fell"] else 0
+            rise, calm = divmod(calm, patience)
+            s |= {"gain": s["gain"] + rise, "calm": calm, "attack": s["attack"] if s["clips"] else 0, "at": 0, "clips": 0, "fell": False}
     return s, np.concatenate(out)
 
 
-def _close_block(s: dict, block: int, timeout: int) -> None:
-    if not s["clips"]:
-        s["attack"] = 0
-    if s["gain"] < s["held"] or s["held"] == UNITY:
-        s["held"], s["quiet"] = s["gain"], 0
-    else:
-        s["quiet"] += block
-        if s["quiet"] >= timeout:
-            s["held"], s["quiet"] = s["held"] + 1, 0
-    s["gain"], s["at"], s["clips"] = s["held"], 0, 0
-
-
 def gain_control(df: DataFrame, limit: int, block: int, timeout: int, profile: str = "stock", key_type: str = "long") -> DataFrame:
     """Automatic gain control on integer samples `stream, seq, x`; gives `y` and the gain after the micro-batch."""
     every = ATTACK_STEPS[profile]

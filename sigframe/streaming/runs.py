@@ -67,20 +67,6 @@ def append_to_table(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def complete_to_table(stream: DataFrame, label: str) -> DataFrame:
-    """Run a complete-mode plan over all available input: every micro-batch's whole result is written under its batch number, and
-    the last one is read back. For bounded replays only, since nothing leaves the state."""
-    spark = stream.sparkSession
-    path, state = shared_path(spark, label), shared_path(spark, f"{label}-checkpoint")
-
-    def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    stream.writeStream.outputMode("complete").option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(save).start().awaitTermination()
-    rows = spark.read.option("basePath", path).parquet(path)
-    return rows.filter(F.col("batch") == rows.agg(F.max("batch").alias("b")).scalar()).drop("batch")
-
-
 def update_to_table(stream: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
     """Run an update-mode plan: every micro-batch's changed rows are written under its batch number (rewritten if the
     batch is retried), and the table read back holds the latest row per key."""
