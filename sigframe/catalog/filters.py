@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sigframe.catalog.registry import query, r6
 from sigframe.operators import filters as fl
+from sigframe.operators import transforms
 from sigframe.operators.signal_ops import window_frames
 from sigframe.plans import views as v
 from sigframe.plans.views import oracle
@@ -115,17 +116,25 @@ def _(spark, d):
 @query("dft", "A8", """WITH x AS (SELECT vec_id, k, embedding[k + 1]::DOUBLE AS x FROM embeddings, range(64) t(k))
     SELECT vec_id, CAST(b AS INTEGER) AS bin, round(sum(x * cos(2 * pi() * b * k / 64)), 5) + 0.0 AS re, round(-sum(x * sin(2 * pi() * b * k / 64)), 5) + 0.0 AS im FROM x, range(33) t(b) GROUP BY 1, 2""")
 def _(spark, d):
-    e = v.table(spark, d, "embeddings").select("vec_id", fl.dft(F.col("embedding")).alias("z"))
+    e = v.table(spark, d, "embeddings").select("vec_id", transforms.dft(F.col("embedding")).alias("z"))
     return e.select("vec_id", F.posexplode("z").alias("bin", "z")).select("vec_id", "bin", r6(F.col("z.re"), 5).alias("re"), r6(F.col("z.im"), 5).alias("im"))
 
 
 @query("idft", "A8", "SELECT vec_id, CAST(k AS INTEGER) AS k, round(embedding[k + 1]::DOUBLE, 6) + 0.0 AS x FROM embeddings, range(64) t(k)")
 def _(spark, d):
-    z = v.table(spark, d, "embeddings").select("vec_id", fl.dft(F.col("embedding")).alias("z"))
-    back = fl.idft(F.transform("z", lambda c: c["re"]), F.transform("z", lambda c: c["im"]))
+    z = v.table(spark, d, "embeddings").select("vec_id", transforms.dft(F.col("embedding")).alias("z"))
+    back = transforms.idft(F.transform("z", lambda c: c["re"]), F.transform("z", lambda c: c["im"]))
     return z.select("vec_id", F.posexplode(back).alias("k", "x")).withColumn("x", r6(F.col("x")))
 
 
+@query("dft_any_length", "A8", """WITH f AS (SELECT vec_id, 3 + vec_id % 61 AS n, embedding[1 : 3 + vec_id % 61] AS e FROM embeddings), x AS (SELECT vec_id, n, k, e[k + 1]::DOUBLE AS x FROM f, range(64) t(k) WHERE k < n)
+    SELECT vec_id, CAST(b AS INTEGER) AS bin, round(sum(x * cos(2 * pi() * ((b * k) % n) / n)), 5) + 0.0 AS re, round(-sum(x * sin(2 * pi() * ((b * k) % n) / n)), 5) + 0.0 AS im FROM x, range(33) t(b) WHERE b <= n // 2 GROUP BY 1, 2""")
+def _(spark, d):
+    e = v.table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, (F.col("vec_id") % 61 + 3).cast("int")).alias("e"))
+    z = e.select("vec_id", F.posexplode(transforms.dft(F.col("e"))).alias("bin", "z"))
+    return z.select("vec_id", "bin", r6(F.col("z.re"), 5).alias("re"), r6(F.col("z.im"), 5).alias("im"))
+
+
 @query("overlap_add", "A8", oracle("sig",
     "len AS (SELECT signal_id, max(n) + 1 AS frames FROM sig GROUP BY 1)",
     "f AS (SELECT signal_id, n, x FROM sig JOIN len USING (signal_id), range(2000) t(k) WHERE n BETWEEN k * 8 AND k * 8 + 15 AND k * 8 + 16 <= frames)",

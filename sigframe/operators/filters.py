@@ -299,35 +299,6 @@ def convolve_blocks(df: DataFrame, taps: Sequence[float], size: int = FILTER_BLO
     return flat.select(*KEYS, (F.col("_block") * size + F.col("_j")).alias("n"), "_p.x", "_p.y")
 
 
-def _angle(b: Column, k: Column, n: Column) -> Column:
-    return (b * k % n) * F.lit(2 * math.pi) / n
-
-
-def dft(xs: Column) -> Column:
-    """Spectrum of a frame: array of struct(re, im), bins 0 .. len/2, as sums over a cosine and a sine basis."""
-    n = F.size(xs)
-
-    def part(b: Column, wave) -> Column:
-        return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda total, k: total + F.get(xs, k).cast("double") * wave(_angle(b, k, n)))
-
-    return F.transform(F.sequence(F.lit(0), F.floor(n / 2).cast("int")), lambda b: F.struct(part(b, F.cos).alias("re"), (-part(b, F.sin)).alias("im")))
-
-
-def idft(re: Column, im: Column) -> Column:
-    """Frame from its half spectrum (even length): bins strictly between the first and the last stand for two."""
-    half = F.size(re) - 1
-    n = half * 2
-
-    def sample(k: Column) -> Column:
-        def add(total: Column, b: Column) -> Column:
-            twice = F.when((b == 0) | (b == half), 1.0).otherwise(2.0)
-            return total + twice * (F.get(re, b) * F.cos(_angle(b, k, n)) - F.get(im, b) * F.sin(_angle(b, k, n)))
-
-        return F.aggregate(F.sequence(F.lit(0), half), F.lit(0.0), add) / n
-
-    return F.transform(F.sequence(F.lit(0), n - 1), sample)
-
-
 def overlap_add(frames: DataFrame, hop: int, keys: Sequence[str]) -> DataFrame:
     """Add frames `keys, frame, i, x` back into one signal by position."""
     return frames.groupBy(*keys, (F.col("frame") * hop + F.col("i")).alias("n")).agg(F.sum("x").alias("x"))

@@ -12,9 +12,11 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from sigframe.operators.signal_stats import attach_by_block, lengths
+from sigframe.operators.transforms import shift_cost_udf
 from sigframe.plans.blocked import BLOCK, block_of, core_only, halo_window, positions, running, shifted, with_halo
 
 KEYS = ["signal_id", "channel"]
@@ -333,30 +335,25 @@ def pitch_input(df: DataFrame, rate: int) -> DataFrame:
     return long.select("signal_id", F.lit(0).alias("channel"), (F.col("n") + F.col("_turn") * F.col("_frames")).alias("n"), "x")
 
 
-def self_shift_diff(df: DataFrame, shifts: Sequence[int], size: int = BLOCK, chunk: int = 64) -> DataFrame:
-    """`signal_id, channel, shift, cost`: sum of squared differences with the signal moved by each lag, over the first
-    N - max(lag) samples. The lags of a block are leads of one window and are summed map-side, `chunk` lags per
-    pass; nothing is copied per lag."""
-    top = max(shifts)
-    wide = with_halo(df, "n", 0, top, max(size, top + 1))
-    w = halo_window(SIGNAL, ["n"])
-    parts = []
-    for at in range(0, len(shifts), chunk):
-        part = list(shifts[at : at + chunk])
-        cols = {f"_s{s}": F.lead("x", s).over(w) for s in part}
-        rows = wide.withColumns({**cols, "_end": F.lead("x", top).over(w)}).filter(F.col("_core") & F.col("_end").isNotNull())
-        sums = rows.groupBy(*SIGNAL).agg(
-            *[F.sum((F.col(f"_s{s}") - F.col("x")) * (F.col(f"_s{s}") - F.col("x"))).alias(f"_s{s}") for s in part]
-        )
-        pairs = F.array(*[F.struct(F.lit(s).alias("shift"), F.col(f"_s{s}").alias("cost")) for s in part])
-        parts.append(sums.select(*SIGNAL, F.inline(pairs)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+SHIFT_BLOCK = 16_384
 
 
-def folded_histogram(df: DataFrame, rate: int, reference: float = 440.0, size: int = BLOCK) -> DataFrame:
+def self_shift_diff(df: DataFrame, shifts: Sequence[int], size: int = SHIFT_BLOCK) -> DataFrame:
+    """`signal_id, channel, shift, cost`: sum of squared differences with the signal moved by each lag, over the first
+    N - max(lag) samples. One pass: a block gathers its samples and the `max(lag)` after them, gets the costs of all lags from two energies and a
+    fast correlation, and the blocks' costs are added up. Samples without a value take no part."""
+    lags = [int(s) for s in shifts]
+    top = max(lags)
+    wide = with_halo(df, "n", 0, top, max(min(size, SHIFT_BLOCK), 1))
+    kind = "double" if isinstance(df.schema["x"].dataType, (T.DoubleType, T.FloatType)) else "bigint"
+    samples = F.transform(F.sort_array(F.collect_list(F.struct("n", "x"))), lambda s: s["x"].cast(kind))
+    blocks = wide.groupBy(*SIGNAL, "_block").agg(samples.alias("xs"), F.count_if("_core").alias("own"))
+    costs = blocks.select(*SIGNAL, F.posexplode(shift_cost_udf(lags, kind)("xs", "own")).alias("_at", "cost"))
+    named = costs.select(*SIGNAL, F.get(F.array(*[F.lit(s) for s in lags]), F.col("_at")).alias("shift"), "cost")
+    return named.groupBy(*SIGNAL, "shift").agg(F.sum("cost").alias("cost"))
+
+
+def folded_histogram(df: DataFrame, rate: int, reference: float = 440.0, size: int = SHIFT_BLOCK) -> DataFrame:
     """`signal_id, channel, bin, cost`: shift costs of all candidates, added up by octave-folded bin. Equal lags are computed
     once and then weighted by the number of candidates they stand for."""
     weight: dict[int, dict[int, int]] = {}

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import column, signal
-from sigframe.operators import clicks, filters, signal_ops
+from sigframe.operators import clicks, filters, signal_ops, transforms
 from sigframe.operators.signal_stats import attach_by_block, lengths
 from sigframe.plans.blocked import block_of, dense_index, islands, positions, range_bucket, running, shifted
 
@@ -117,12 +117,44 @@ def test_convolutions_agree(spark):
     assert np.allclose(a, b)
 
 
-def test_self_shift_block_size(spark):
-    x = [float(v) for v in np.random.default_rng(7).integers(-100, 100, 300)]
+@pytest.mark.parametrize("shifts", [[1, 5, 17], list(range(1, 60))])
+@pytest.mark.parametrize("whole", [True, False])
+def test_self_shift_block_size(spark, shifts, whole):
+    x = np.random.default_rng(7).integers(-32768, 32768, 500) if whole else np.random.default_rng(7).normal(size=500)
     s = signal(spark, x)
-    shifts = [1, 5, 17]
-    a = {r.shift: r.cost for r in signal_ops.self_shift_diff(s, shifts, size=32, chunk=2).collect()}
-    assert a == {k: sum((x[i + k] - x[i]) ** 2 for i in range(300 - 17)) for k in shifts}
+    s = s.withColumn("x", F.col("x").cast("long")) if whole else s
+    for size in (32, 200, 10_000):
+        got = {r.shift: r.cost for r in signal_ops.self_shift_diff(s, shifts, size=size).collect()}
+        m = 500 - max(shifts)
+        want = {k: ((x[k : k + m].astype(object) - x[:m].astype(object)) ** 2).sum() for k in shifts}
+        assert got == (want if whole else pytest.approx(want))
+    assert signal_ops.self_shift_diff(s.filter(f"n < {max(shifts)}"), shifts).isEmpty()
+
+
+def test_pitch_lags_of_a_full_rate_take_one_scan(spark):
+    x = np.random.default_rng(8).integers(-32768, 32768, 45_000)
+    s = spark.range(len(x)).select(F.lit(1).alias("signal_id"), F.lit(0).alias("channel"), F.col("id").alias("n"), F.get(F.array(*[F.lit(int(v)) for v in x[:1000]]), (F.col("id") % 1000).cast("int")).alias("x"))
+    shifts = sorted({k for _, k in signal_ops.candidate_shifts(44_100)})
+    assert len(shifts) > 1000
+    out = signal_ops.self_shift_diff(s, shifts)
+    got = {r.shift: r.cost for r in out.collect()}
+    y = np.tile(x[:1000], 45)
+    m = 45_000 - max(shifts)
+    assert all(got[k] == ((y[k : k + m] - y[:m]) ** 2).sum() for k in shifts)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Range (") <= 2  # the final and the initial plan
+
+
+def test_transforms_match_the_definition(spark):
+    rng = np.random.default_rng(9)
+    frames = [rng.normal(size=n).tolist() for n in (1, 2, 3, 7, 8, 30, 64, 101)] + [[], None, [1.0, None]]
+    df = spark.createDataFrame([(i, f) for i, f in enumerate(frames)], "i int, f array<double>").withColumn("z", transforms.dft(F.col("f")))
+    df = df.withColumn("b", transforms.idft(F.transform("z", lambda c: c["re"]), F.transform("z", lambda c: c["im"])))
+    got = {r.i: r for r in df.collect()}
+    for i, f in enumerate(frames[:8]):
+        assert np.allclose([complex(c.re, c.im) for c in got[i].z], np.fft.rfft(f))
+        if len(f) % 2 == 0:
+            assert np.allclose(got[i].b, f)
+    assert got[8].z == [] and got[9].z is None and [c.re for c in got[10].z] == [None, None]
 
 
 def test_numbering_ignores_outliers_and_time_zones(spark):
