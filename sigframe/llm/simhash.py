@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sigframe.llm.components import components
 from sigframe.llm.words import pieces
@@ -59,9 +60,11 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) for every row."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
+    """(doc_id, fp) for every row; a doc_id is a number, or a struct that has an order."""
+    kind = docs.select(F.col(id_col).alias("doc_id")).schema["doc_id"].dataType
+    kind = kind.simpleString() if isinstance(kind, StructType) else "bigint"
+    rows = docs.select(F.col(id_col).cast(kind).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(_fingerprints, f"doc_id {kind}, fp long")
 
 
 def _masks(bits: list[int]) -> list[int]:
