@@ -280,3 +280,52 @@ def _(spark, d):
     head = g.pattern_rows(cells)
     target = head.select("pattern", F.least(F.col("rows") - 1, F.col("pattern") % 3).alias("row"))
     return g.write_effect(cells, head, target, c.FX_PATTERN_BREAK, 0, 4)
+
+
+# One effect per mode of the search.
+_MODES = {
+    "effect_previous_row": g.Effect(c.FX_SPEED, 6, retry="previous"),
+    "effect_fixed_channel": g.Effect(c.FX_TEMPO, 125, channel=2, retry="next"),
+    "effect_same_row_only": g.Effect(c.FX_PATTERN_BREAK, 0, retry="none", multiple=True),
+    "effect_converted": g.Effect(c.FX_PANNING8, 130, retry="next", channel=1),
+    "volume_effect_converted": g.Effect(c.VOL_VOLUME, 40, volume=True, retry="previous", channel=0),
+}
+
+
+def _mode_sql(e: g.Effect) -> str:
+    lo, hi = (0, 3) if e.channel is None else (e.channel, e.channel)
+    ways, values = [], []
+    for kind, forms in enumerate(e.forms()):
+        tests = []
+        for x in forms:
+            own, name = "volcmd" if x.volume else "command", "" if x.volume == e.volume else "converted_"
+            if not x.multiple:
+                tests.append((f"coalesce({own}, 0) = {x.command}", name + "present", x))
+            tests.append((f"coalesce({own}, 0) = 0", name + "free", x))
+            if x is forms[0] and not x.volume:
+                tests.append((f"coalesce({own}, 0) IN (13, 9)", name + "moved_to_volume", x))
+        for rank, (test, action, x) in enumerate(tests):
+            ways.append(f"CASE WHEN kind = {kind} AND {test} THEN {10 * kind + rank} END")
+            values.append(f"({10 * kind + rank}, '{action}', {x.command}, {x.param}, {str(x.volume).lower()})")
+    step = {"next": "r >= f", "previous": "r <= f", "none": "r = f"}[e.retry]
+    return oracle("cell", HEAD,
+        'ta AS (SELECT pattern, least("rows" - 1, pattern % 3 + 3) AS f, "rows" FROM head)',
+        f"""sl AS (SELECT pattern, r AS row_no, abs(r - f) AS far, CASE WHEN r = f THEN 0 WHEN abs(r - f) % 2 = 1 THEN 1 ELSE 2 END AS kind, ch AS channel FROM ta, range(0, 1000) t(r), range({lo}, {hi + 1}) c(ch)
+        WHERE r < "rows" AND {step})""",
+        f"""ca AS (SELECT sl.pattern, far, row_no, sl.channel, unnest([{', '.join(ways)}]) AS way FROM sl LEFT JOIN cell ON cell.pattern = sl.pattern AND cell."row" = row_no AND cell.channel = sl.channel)""",
+        "ok AS (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY far, way, channel) AS k FROM ca WHERE way IS NOT NULL)",
+        f"w(way, action, command, param, in_volume) AS (VALUES {', '.join(values)})",
+        'SELECT pattern, row_no AS "row", channel, action, command, param, in_volume FROM ok JOIN w USING (way) WHERE k = 1')
+
+
+def _register_mode(name: str, e: g.Effect) -> None:
+    @query(name, "U9", _mode_sql(e))
+    def _(spark, d):
+        cells = v.cell(spark, d)
+        head = g.pattern_rows(cells)
+        target = head.select("pattern", F.least(F.col("rows") - 1, F.col("pattern") % 3 + 3).alias("row"))
+        return g.place_effect(cells, head, target, e, 4)
+
+
+for _name, _effect in _MODES.items():
+    _register_mode(_name, _effect)

@@ -4,13 +4,13 @@ be left out. `rows` of a pattern comes from a header table `pattern, rows`."""
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigframe.functions import cells as c
-from sigframe.plans.blocked import block_of, positions, running
+from sigframe.plans.blocked import block_of, islands, positions, running
 from sigframe.session import materialize
 
 ROW_BLOCK = 4096
@@ -346,36 +346,104 @@ def conformance(cells: DataFrame, specs: Sequence[FormatSpec]) -> DataFrame:
     return pairs.select("format", "pattern", "row", "channel", F.explode(found).alias("violation"))
 
 
-def write_effect(
-    cells: DataFrame, header: DataFrame, target: DataFrame, command: int, param: int, channels: int
-) -> DataFrame:
-    """Place one effect per pattern at `target` (`pattern, row`) or, failing that, on the next rows.
+@dataclass(frozen=True)
+class Effect:
+    """What to write: an effect with its parameter, or with `volume` a volume command with its value.
 
-    On the first row that allows it: already there - nothing to do; else the first free channel; else the first
-    channel holding a volume or panning effect, which moves to the volume column. Returns per pattern
-    `pattern, row, channel, action` and the effect to write; patterns with no possible row are absent. Volume and panning effects that
-    find no space may use a free volume column instead.
+    `channel`: only there (else any); `multiple`: write although the same is already on the row; `retry`: rows to try if a row has no space ("none", "next",
+    "previous", towards that end of the pattern). `s3m`: panning has 129 steps; `volume_column`: the format has volume commands there.
     """
-    near = target.withColumnRenamed("row", "_from").join(header.select("pattern", "rows"), "pattern")
-    slots = near.select(
-        "pattern", F.explode(F.sequence(F.col("_from"), F.col("rows") - 1)).alias("row")
-    ).withColumn("channel", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(channels - 1).cast("long"))))
-    have = cells.select("pattern", "row", "channel", "command", "volcmd", "param")
-    grid = slots.join(have, ["pattern", "row", "channel"], "left").select(
-        "pattern",
-        "row",
-        "channel",
-        F.coalesce("command", F.lit(0)).alias("_fx"),
-        F.coalesce("volcmd", F.lit(0)).alias("_vol"),
-    )
-    rank = F.when(F.col("_fx") == command, 0).when(F.col("_fx") == 0, 1).when(F.col("_fx").isin(c.FX_VOLUME, c.FX_PANNING8), 2)
-    if command in (c.FX_VOLUME, c.FX_PANNING8):
-        rank = rank.when(F.col("_vol") == 0, 3)
-    action = F.element_at(F.array(*[F.lit(x) for x in ("present", "free", "moved_to_volume", "as_volume")]), F.col("best.rank") + 1)
-    best = grid.withColumn("rank", rank).filter(F.col("rank").isNotNull())
-    return (
-        best.groupBy("pattern")
-        .agg(F.min(F.struct("row", "rank", "channel")).alias("best"))
-        .select("pattern", F.col("best.row").alias("row"), F.col("best.channel").alias("channel"), action.alias("action"))
-        .withColumns({"command": F.lit(command), "param": F.lit(param)})
-    )
+
+    command: int
+    param: int
+    volume: bool = False
+    channel: int | None = None
+    multiple: bool = False
+    retry: str = "next"
+    s3m: bool = False
+    volume_column: bool = True
+
+    def converted(self) -> Effect | None:
+        """The same in the other column; None if there is no such thing."""
+        pan = 2 if self.s3m else 4
+        if self.volume:
+            table = {c.VOL_VOLUME: (c.FX_VOLUME, self.param), c.VOL_PANNING: (c.FX_PANNING8, min(self.param * pan, 255))}
+        elif self.s3m and self.param > 0x80:
+            table = {c.FX_VOLUME: (c.VOL_VOLUME, min(self.param, 64))}
+        else:
+            table = {c.FX_VOLUME: (c.VOL_VOLUME, min(self.param, 64)), c.FX_PANNING8: (c.VOL_PANNING, (self.param // 2) if self.s3m else min((self.param + 2) // 4, 64))}
+        new = table.get(self.command)
+        return new and replace(self, command=new[0], param=new[1], volume=not self.volume)
+
+    def forms(self) -> list[list[Effect]]:
+        """What is tried on the first row, on every second row from the next one, and on every second row from the one after that. A converted form stays for the next row, where the
+        other one, converted back, comes second."""
+        turned = self.converted()
+        if turned is None:
+            return [[self]] * 3
+        back = turned.converted()
+        return [[self, turned], [turned, back], [back, back.converted()]]
+
+
+def _best(forms: list[Effect], original: Effect, lo: int, hi: int) -> Column:
+    """The first way to write on a row with the cells `_c`: struct(channel, action, command, param, in_volume). Only the first form may
+    move what is there."""
+    every = F.sequence(F.lit(lo).cast("long"), F.lit(hi).cast("long"))
+    where = lambda test: F.transform(F.filter("_c", test), lambda x: x["channel"].cast("long"))
+    code = lambda name, test: where(lambda x: test(x[name]))
+    out = []
+    for e in forms:
+        own = "volcmd" if e.volume else "command"
+        ways = [("free", F.array_min(F.array_except(every, code(own, lambda v: v != 0))))]
+        if not e.multiple:
+            wanted = F.lit(e.command)
+            ways.insert(0, ("present", F.array_min(code(own, lambda v: v == wanted))))  # noqa: B023
+        if e is forms[0] and not e.volume:
+            ways.append(("moved_to_volume", F.array_min(where(_movable(e)))))
+        out += [F.when(at.isNotNull(), _way(at, name, e, original)) for name, at in ways]
+    return F.coalesce(*out)
+
+
+def _movable(e: Effect):
+    """Whether a cell's effect can go to its volume column."""
+    volume, wide = F.lit(e.volume_column), F.lit(not e.s3m)
+    return lambda x: (x["command"] == c.FX_VOLUME) & volume | (x["command"] == c.FX_PANNING8) & ((x["param"] <= 0x80) | wide)
+
+
+def _way(channel: Column, action: str, e: Effect, original: Effect) -> Column:
+    name = action if e.volume == original.volume else f"converted_{action}"
+    return F.struct(channel.cast("long").alias("channel"), F.lit(name).alias("action"), F.lit(e.command).alias("command"), F.lit(e.param).alias("param"), F.lit(e.volume).alias("in_volume"))
+
+
+def place_effect(cells: DataFrame, header: DataFrame, target: DataFrame, effect: Effect, channels: int) -> DataFrame:
+    """Place one effect per pattern at `target` (`pattern, row`) or, failing that, on the nearest row in the direction of `retry` that has space.
+
+    On a row: already there - nothing to do; else the first free channel; else the first channel holding a volume or panning effect, which
+    moves to the volume column; else, converted to the other column, there or free in that column (see `Effect.forms` for further rows). Returns per pattern
+    `pattern, row, channel, action` and what is written (`command, param, in_volume`); patterns with no possible row are absent.
+
+    Only rows that have cells are looked at. Those without space are merged into runs of rows, so only the run around the target counts, however long it
+    is.
+    """
+    lo, hi = (0, channels - 1) if effect.channel is None else (effect.channel, effect.channel)
+    start = target.select("pattern", F.col("row").alias("_from")).join(header.select("pattern", "rows"), "pattern").filter(F.col("_from").between(0, F.col("rows") - 1))
+    cell = F.struct("channel", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("command", "volcmd", "param")])
+    rows = cells.filter(F.col("channel").between(lo, hi)).groupBy("pattern", "row").agg(F.collect_list(cell).alias("_c"))
+    ahead = (F.col("row") - F.col("_from")) * (-1 if effect.retry == "previous" else 1)
+    forms = effect.forms()
+    which = lambda make: F.when(F.col("row") == F.col("_from"), make(forms[0])).when((F.col("row") - F.col("_from")) % 2 != 0, make(forms[1])).otherwise(make(forms[2]))
+    rows = rows.join(start, "pattern").filter(ahead >= 0).select("pattern", "row", "_from", which(lambda f: _best(f, effect, lo, hi)).alias("best"))
+    rows = rows.filter("row = _from") if effect.retry == "none" else rows
+    full = islands(rows.filter("best is null").select("pattern", "row"), ["pattern"], "row")
+    near = start.join(full, "pattern", "left").withColumn("_in", F.col("_from").between(F.col("start_n"), F.col("end_n")))
+    past = {"next": F.col("end_n") + 1, "previous": F.col("start_n") - 1, "none": F.lit(-1)}[effect.retry]
+    at = near.groupBy("pattern", "_from", "rows").agg(F.max(F.when(F.col("_in"), past)).alias("row")).withColumn("row", F.coalesce("row", "_from"))
+    at = at.filter(F.col("row").between(0, F.col("rows") - 1))
+    found = at.join(rows.select("pattern", "row", "best"), ["pattern", "row"], "left")
+    empty = which(lambda f: _way(F.lit(lo), "free", f[0], effect))
+    return found.withColumn("best", F.coalesce("best", empty)).select("pattern", "row", "best.*")
+
+
+def write_effect(cells: DataFrame, header: DataFrame, target: DataFrame, command: int, param: int, channels: int) -> DataFrame:
+    """`place_effect` on the next rows: `pattern, row, channel, action, command, param`."""
+    return place_effect(cells, header, target, Effect(command, param), channels).drop("in_volume")
