@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, fields
+from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,26 +51,48 @@ def rate_band(rate: Column) -> Column:
     return F.when(rate <= 44100, 44100).when(rate <= 72000, 48000).otherwise(96000)
 
 
-def nearest_direction(
-    queries: DataFrame, grid: DataFrame, dims: Sequence[str], query_id: str, grid_id: str, chunk: int = 2048
-) -> DataFrame:
-    """Nearest grid direction of every query, ties to the smaller id. The grid is packed into arrays of about
-    `chunk` directions; each query meets each array once and keeps one best candidate, so a measured grid (one
-    array) costs a single pass and a larger one a partial minimum per array."""
-    parts = max(-(-grid.count() // chunk), 1)
-    packed = grid.groupBy(F.pmod(F.xxhash64(grid_id), F.lit(parts)).alias("_part")).agg(
-        F.collect_list(F.struct(F.col(grid_id).alias("id"), *[F.col(c).alias(c) for c in dims])).alias("_grid")
-    )
-
-    def score(g: Column) -> Column:
-        dist = sum(((F.col(c) - g[c]) * (F.col(c) - g[c]) for c in dims), F.lit(0.0))
-        return F.struct(dist.alias("dist"), g["id"].alias("id"))
-
-    pairs = queries.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    best = pairs.join(packed, "_part").select(query_id, F.array_min(F.transform("_grid", score)).alias("_best"))
-    return best.groupBy(query_id).agg(F.min("_best").alias("_best")).select(
-        query_id, F.col("_best.id").alias(grid_id), F.sqrt("_best.dist").alias("dist")
-    )
+LEVELS = 10  # halvings of the grid's extent
+
+
+def nearest_direction(queries: DataFrame, grid: DataFrame, dims: Sequence[str], query_id: str, grid_id: str) -> DataFrame:
+    """Nearest grid direction of every query, ties to the smaller id.
+
+    Space is cut into cells on `LEVELS` + 1 levels, each level's twice as wide as the last one's; every cell that holds a direction has one representative. A query first meets the
+    representatives of its own cell on all levels: the nearest of them bounds the answer. On the finest level whose cells are at least as wide as that bound, the answer
+    lies in the query's cell or one beside it, so only the directions there are compared, and none can be missed. Queries whose bound exceeds the whole extent (far outside the grid)
+    meet all directions. All of it is one plan of equi joins on (level, cell). Equal directions are merged first; rows with a null or NaN coordinate take no part.
+    """
+    names = [f"_x{i}" for i in range(len(dims))]
+    cells = [f"_c{i}" for i in range(len(dims))]
+    sound = lambda df: df.filter(reduce(lambda a, b: a & b, [F.col(x).isNotNull() & ~F.isnan(x) for x in names]))
+    points = sound(grid.select(F.col(grid_id).alias("_id"), *[F.col(d).cast("double").alias(x) for d, x in zip(dims, names)]))
+    points = points.groupBy(*names).agg(F.min("_id").alias("_id"))
+    asked = sound(queries.select(F.col(query_id).alias("_q"), *[F.col(d).cast("double").alias(x) for d, x in zip(dims, names)]))
+    low = [points.agg(F.min(x)).scalar() for x in names]
+    span = points.agg(F.greatest(*[F.max(x) - F.min(x) for x in names], F.lit(0.0)).alias("e") if len(names) > 1 else (F.max(names[0]) - F.min(names[0])).alias("e")).scalar()
+    extent = F.when(span > 0, span * (1 + 1e-9)).otherwise(1.0)
+    cell = lambda x, lo: F.floor((x - lo) / (extent * F.pow(F.lit(2.0), F.col("_level") - LEVELS))).cast("long")
+    levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("_level")
+
+    on_cells = points.select("*", levels).withColumns({c: cell(F.col(x), lo) for c, x, lo in zip(cells, names, low)})
+    key = ["_level", *cells]
+    other = [f"_g{i}" for i in range(len(dims))]
+    gap = sum(((F.col(x) - F.col(g)) * (F.col(x) - F.col(g)) for x, g in zip(names, other)), F.lit(0.0))
+    named = on_cells.select(*key, "_id", *[F.col(x).alias(g) for x, g in zip(names, other)])
+    one = named.groupBy(*key).agg(F.min(F.struct("_id", *other)).alias("_r")).select(*key, "_r.*").drop("_id")
+    inside = lambda x, lo: F.least(F.greatest(F.col(x), lo), lo + span)
+    own = asked.select("*", levels).withColumns({c: cell(inside(x, lo), lo) for c, x, lo in zip(cells, names, low)})
+    bound = own.join(one, key).groupBy("_q", *names).agg(F.sqrt(F.min(gap)).alias("_u"))
+
+    level = F.greatest(F.ceil(F.log2(F.col("_u") * (1 + 1e-9) / extent) + LEVELS), F.lit(0)).cast("int")
+    bound = bound.withColumn("_level", F.when(F.col("_u") > 0, level).otherwise(0))
+    step = [F.struct(*[F.lit(o).alias(c) for o, c in zip(offsets, cells)]) for offsets in product((-1, 0, 1), repeat=len(dims))]
+    around = bound.withColumns({c: cell(F.col(x), lo) for c, x, lo in zip(cells, names, low)}).withColumn("_far", F.col("_level") > LEVELS)
+    around = around.withColumn("_s", F.explode(F.when(F.col("_far"), F.array(F.struct(*[F.lit(0).alias(c) for c in cells]))).otherwise(F.array(*step))))
+    around = around.withColumns({c: F.when(F.col("_far"), F.lit(0)).otherwise(F.col(c) + F.col(f"_s.{c}")).cast("long") for c in cells})
+    around = around.withColumn("_level", F.least("_level", F.lit(LEVELS))).select("_q", *names, *key)
+    best = around.join(named, key).groupBy("_q").agg(F.min(F.struct(gap.alias("dist"), F.col("_id").alias("id"))).alias("_best"))
+    return best.select(F.col("_q").alias(query_id), F.col("_best.id").alias(grid_id), F.sqrt("_best.dist").alias("dist"))
 
 
 @dataclass(frozen=True)
