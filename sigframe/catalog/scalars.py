@@ -269,8 +269,8 @@ def _(spark, d):
     )
 
 
-@query("decode_bytes", "X3", """WITH b AS (SELECT doc_id, [strpos('0123456789ABCDEF', substr(hex(encode(text)), i, 1)) - 1 for i in range(1, 9)] AS h FROM documents WHERE octet_length(encode(text)) >= 4),
-    y AS (SELECT doc_id, h[1] * 16 + h[2] AS a, h[3] * 16 + h[4] AS b, h[5] * 16 + h[6] AS c, h[7] * 16 + h[8] AS e FROM b)
+@query("decode_bytes", "X3", """WITH b AS (SELECT doc_id, [strpos('0123456789ABCDEF', substr(hex(encode(text)), i, 1)) - 1 for i in range(1, 9)] AS h, octet_length(encode(text)) AS n FROM documents),
+    y AS (SELECT doc_id, CASE WHEN n >= 1 THEN h[1] * 16 + h[2] END AS a, CASE WHEN n >= 2 THEN h[3] * 16 + h[4] END AS b, CASE WHEN n >= 3 THEN h[5] * 16 + h[6] END AS c, CASE WHEN n >= 4 THEN h[7] * 16 + h[8] END AS e FROM b)
     SELECT doc_id, a AS u8, a + b * 256 AS le16, b + a * 256 AS be16, a + b * 256 + c * 65536 AS le24, CASE WHEN c + b * 256 + a * 65536 >= 8388608 THEN c + b * 256 + a * 65536 - 16777216 ELSE c + b * 256 + a * 65536 END AS be24s,
     a + b * 256 + c * 65536 + e * 16777216 AS le32, CASE WHEN e + c * 256 + b * 65536 + a * 16777216 >= 2147483648 THEN e + c * 256 + b * 65536 + a * 16777216 - 4294967296 ELSE e + c * 256 + b * 65536 + a * 16777216 END AS be32s FROM y""")
 def _(spark, d):

@@ -22,7 +22,6 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 BLOCK = 1 << 16
-PARTS = 64  # buckets of a numbering
 _B = "_block"
 
 
@@ -153,21 +152,46 @@ def range_bucket(df: DataFrame, col: str, parts: int | None = None) -> Column:
     """A non-decreasing bucket (-1 for NULL, else 0 .. `parts`) of a numeric or time column, with about as many rows in each.
 
     The limits are quantiles, taken by a one-row aggregate inside the plan, so outliers do not matter and a hot key is
-    spread over as many buckets as the table is. Rows that share one value share a bucket.
+    spread over as many buckets as the table is; by default there are as many as shuffle partitions. Rows that share one value share a bucket.
     """
-    n = parts or PARTS
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     v = _as_number(df, col)
     limits = df.agg(F.percentile_approx(v, [i / n for i in range(1, n)]).alias("_limits")).scalar()
     return F.coalesce(F.array_position(F.sort_array(F.array_append(limits, v)), v) - 1, F.lit(-1)).cast("long") if n > 1 else F.lit(0).cast("long")
 
 
-def dense_index(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], bucket: Column, out: str = "n") -> DataFrame:
+LARGE_KEY = 100_000  # rows of a key that one task numbers in any case
+
+
+def _by_large_keys(df: DataFrame, keys: list[str], order: Sequence[str | Column], first: str, out: str) -> DataFrame:
+    """Only keys with more rows than a partition's share of the table are cut into buckets; there are fewer of them than partitions. In
+    a table without such keys this is one count per key and one sorted pass."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = F.struct(*keys)
+    per = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", key)
+    share = df.agg((F.count(F.lit(1)) / parts).alias("_share")).scalar()
+    large = per.agg(F.collect_list(F.when(F.col("_n") > F.greatest(F.lit(LARGE_KEY), share), F.col("_k"))).alias("_large")).scalar()
+    is_large = F.array_contains(large, key)
+    some = df.filter(is_large)
+    b = df.withColumn(_B, F.when(is_large, range_bucket(some, first, parts)).otherwise(F.lit(0)).cast("long"))
+    local = b.withColumn(out, F.row_number().over(W.partitionBy(*keys, _B).orderBy(*order)).cast("long") - 1)
+    counts = b.filter(is_large).groupBy(*keys, _B).agg(F.count(F.lit(1)).alias("_rows"))
+    prior = W.partitionBy(*keys).orderBy(_B).rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select(key.alias("_k"), F.col(_B).alias("_b"), F.coalesce(F.sum("_rows").over(prior), F.lit(0)).alias("_off"))
+    joined = local.join(offsets, key.eqNullSafe(F.col("_k")) & (F.col(_B) == F.col("_b")), "left")
+    return joined.withColumn(out, F.col(out) + F.coalesce("_off", F.lit(0))).drop(_B, "_k", "_b", "_off")
+
+
+def dense_index(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], bucket: Column | str, out: str = "n") -> DataFrame:
     """0-based row number inside `keys` along `order`.
 
     `bucket` is a non-decreasing function of the order: a block of positions, or a `range_bucket`, which it has to be without
-    keys. A task numbers one bucket of one key; the offsets come from the bucket counts.
+    keys. A task numbers one bucket of one key; the offsets come from the bucket counts. With keys it can also be the name of the first order column; then
+    only large keys are cut.
     """
     keys = list(keys)
+    if isinstance(bucket, str):
+        return _by_large_keys(df, keys, order, bucket, out)
     b = df.withColumn(_B, bucket)
     local = b.withColumn(out, F.row_number().over(W.partitionBy(*keys, _B).orderBy(*order)).cast("long") - 1)
     counts = b.groupBy(*keys, _B).agg(F.count(F.lit(1)).alias("_rows"))
@@ -180,8 +204,9 @@ def dense_index(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
         offset = sizes.select(F.map_from_entries(F.transform("s", lambda e: F.struct(e[_B], ahead(e)))).alias("o")).scalar()
         return local.withColumn(out, F.col(out) + F.element_at(offset, F.col(_B))).drop(_B)
     prior = W.partitionBy(*keys).orderBy(_B).rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(*keys, _B, F.coalesce(F.sum("_rows").over(prior), F.lit(0)).alias("_off"))
-    return local.join(offsets, [*keys, _B]).withColumn(out, F.col(out) + F.col("_off")).drop(_B, "_off")
+    offsets = counts.select(F.struct(*keys).alias("_k"), F.col(_B).alias("_b"), F.coalesce(F.sum("_rows").over(prior), F.lit(0)).alias("_off"))
+    joined = local.join(offsets, F.struct(*keys).eqNullSafe(F.col("_k")) & (F.col(_B) == F.col("_b")))
+    return joined.withColumn(out, F.col(out) + F.col("_off")).drop(_B, "_k", "_b", "_off")
 
 
 def islands(

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigframe.plans.blocked import dense_index, range_bucket
+from sigframe.plans.blocked import dense_index
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -16,7 +16,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 def numbered_events(spark: SparkSession, d: str) -> DataFrame:
     """events plus `n`, the position inside the user by (ts, event_id)."""
     ev = table(spark, d, "events")
-    return dense_index(ev, ["user_id"], ["ts", "event_id"], range_bucket(ev, "ts"))
+    return dense_index(ev, ["user_id"], ["ts", "event_id"], "ts")
 
 
 def sig(spark: SparkSession, d: str) -> DataFrame:
@@ -31,7 +31,7 @@ def sig(spark: SparkSession, d: str) -> DataFrame:
 def siglong(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem").select("l_suppkey", "l_shipdate", "l_extendedprice")
     mean = li.agg(F.round(F.avg("l_extendedprice"), 2).alias("_m")).scalar()
-    num = dense_index(li, ["l_suppkey"], ["l_shipdate", "l_extendedprice"], range_bucket(li, "l_shipdate"))
+    num = dense_index(li, ["l_suppkey"], ["l_shipdate", "l_extendedprice"], "l_shipdate")
     return num.select(
         F.col("l_suppkey").alias("signal_id"),
         F.lit(0).alias("channel"),
@@ -43,7 +43,7 @@ def siglong(spark: SparkSession, d: str) -> DataFrame:
 def numbered_lines(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
     order = ["l_partkey", "l_suppkey", "l_linenumber", "l_quantity"]
-    return dense_index(li, ["l_orderkey"], order, range_bucket(li, "l_partkey"), out="row")
+    return dense_index(li, ["l_orderkey"], order, "l_partkey", out="row")
 
 
 def cell(spark: SparkSession, d: str) -> DataFrame:

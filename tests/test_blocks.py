@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from conftest import column, signal
 from sigframe.operators import clicks, filters, signal_ops, transforms
 from sigframe.operators.signal_stats import attach_by_block, lengths
+from sigframe.plans import blocked
 from sigframe.plans.blocked import block_of, dense_index, islands, positions, range_bucket, running, shifted
 
 random.seed(3)
@@ -117,6 +118,19 @@ def test_convolutions_agree(spark):
     assert np.allclose(a, b)
 
 
+def test_numbering_cuts_only_large_keys(spark, skewed, monkeypatch):
+    want = dense_index(skewed, ["k"], ["t"], F.lit(0))
+    rows = [(None, t, 1) for t in range(300)] + [(1, None, 2), (2, 7, 3)]
+    odd = spark.createDataFrame(rows, "k long, t long, v long").unionByName(skewed)
+    for least in (10, 10**6):
+        monkeypatch.setattr(blocked, "LARGE_KEY", least)
+        got = dense_index(skewed, ["k"], ["t"], "t")
+        assert got.exceptAll(want).isEmpty() and got.count() == want.count()
+        numbered = dense_index(odd, ["k"], ["t", "v"], "t")
+        assert numbered.exceptAll(dense_index(odd, ["k"], ["t", "v"], F.lit(0))).isEmpty() and numbered.count() == odd.count()
+    assert dense_index(odd.filter("false"), ["k"], ["t"], "t").isEmpty()
+
+
 @pytest.mark.parametrize("shifts", [[1, 5, 17], list(range(1, 60))])
 @pytest.mark.parametrize("whole", [True, False])
 def test_self_shift_block_size(spark, shifts, whole):
