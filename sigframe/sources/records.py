@@ -7,10 +7,15 @@ and start with a clean memory.
 
 from __future__ import annotations
 
+from array import array
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql.functions import udtf
+from pyspark.sql.functions import arrow_udtf
 
 from sigframe.functions.cells import FIELDS
 from sigframe.plans.blocked import block_of
@@ -43,32 +48,43 @@ def encode_layout(cells: DataFrame) -> DataFrame:
     )
 
 
-@udtf(returnType="row long, channel long, note long, instr long, volcmd long, vol long, command long, param long")
+_COLUMNS = ["pattern", "row", "channel", *FIELDS]
+
+
+@arrow_udtf(returnType=", ".join(f"{c} long" for c in _COLUMNS))
 class DecodeLayout:
-    """Rows of one chunk."""
+    """Rows of all chunks of a batch (`pattern, first_row, content`), gathered column by column."""
 
-    def eval(self, content: bytes, first_row: int):
+    def eval(self, chunks: pa.RecordBatch) -> Iterator[pa.Table]:
+        out = array("q")
+        for pattern, row, content in zip(*(chunks.column(c).to_pylist() for c in ("pattern", "first_row", "content"))):
+            self._chunk(out, pattern, row, content or b"")
+        cells = np.frombuffer(out, np.int64).reshape(-1, len(_COLUMNS)) if out else np.zeros((0, len(_COLUMNS)), np.int64)
+        yield pa.table({c: pa.array(np.ascontiguousarray(cells[:, i])) for i, c in enumerate(_COLUMNS)})
+
+    @staticmethod
+    def _chunk(out: array, pattern: int, row: int, content: bytes) -> None:
         last: dict[int, list[int]] = {}
-        row, at = first_row, 0
-        while at < len(content):
+        at, size = 0, len(content)
+        while at < size:
             head = content[at]
             at += 1
-            if head == 0:
+            if not head:
                 row += 1
                 continue
-            channel = (head & 0x7F) - 1
-            cell = last.setdefault(channel, [0] * len(FIELDS))
-            if head & 0x80 and at < len(content):
-                mask = content[at]
+            cell = last.setdefault(head & 0x7F, [0] * len(FIELDS))
+            if head & 0x80 and at < size:
+                changed = _SET[content[at]]
                 at += 1
-                for i in range(len(FIELDS)):
-                    if mask & (1 << i) and at < len(content):
-                        cell[i] = content[at]
-                        at += 1
-            yield (row, channel, *cell)
+                for i, value in zip(changed, content[at : at + len(changed)]):
+                    cell[i] = value
+                at = min(at + len(changed), size)
+            out.extend((pattern, row, (head & 0x7F) - 1, *cell))
+
+
+_SET = [[i for i in range(len(FIELDS)) if mask >> i & 1] for mask in range(256)]  # columns of a mask byte
 
 
 def decode_layout(chunks: DataFrame) -> DataFrame:
-    """Cells of chunks made by `encode_layout`."""
-    rows = DecodeLayout(F.col("content").outer(), F.col("first_row").outer())
-    return chunks.lateralJoin(rows).select("pattern", "row", "channel", *FIELDS)
+    """Cells of chunks made by `encode_layout`: a table function over whole Arrow batches."""
+    return DecodeLayout(chunks.select("pattern", "first_row", "content").asTable()).select(*_COLUMNS)
