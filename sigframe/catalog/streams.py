@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sigframe.catalog.registry import query, r6
+from sigframe.operators import scans
 from sigframe.plans import views as v
 from sigframe.plans.views import oracle
 from sigframe.streaming import operators as so
@@ -123,6 +124,21 @@ def _(spark, d):
     return append_to_table(so.running_status(s), "status")
 
 
+@query("follower_blocks", "T6", oracle("sig", _FOLLOW, """SELECT stream, seq, round(peak, 6) AS peak,
+    round(x * pow(2, 32 * ((0.97::DOUBLE - greatest(peak, 0.97::DOUBLE)) * 0.5 + 0.9999999::DOUBLE - 1)), 6) + 0.0 AS y FROM rec WHERE seq >= 0"""))
+def _(spark, d):
+    s = v.sig(spark, d).select(F.col("signal_id").alias("stream"), F.col("n").alias("seq"), "x")
+    out = scans.follower(s, 0.2, 0.9, 0.97, 0.5, size=64)
+    return out.select("stream", "seq", r6(F.col("peak")).alias("peak"), r6(F.col("y")).alias("y"))
+
+
+@query("running_status_blocks", "T7", oracle("byte_stream", _STATUS,
+    "SELECT stream, seq, array_to_string(list_transform(out, lambda x: printf('%02x', x)), '') AS message FROM rec WHERE out IS NOT NULL"))
+def _(spark, d):
+    s = v.numbered_events(spark, d).select(F.col("user_id").alias("stream"), F.col("n").alias("seq"), (F.col("event_id") % 256).alias("b"))
+    return scans.running_status(s, size=64)
+
+
 @query("stream_paired_controller", "T8", oracle("controls",
     "c AS (SELECT stream, seq, (word >> 8) & 63 AS cc, ((word >> 16) & 127) AS v FROM controls)",
     "l AS (SELECT *, lag(cc) OVER w AS pcc, lag(v) OVER w AS pv FROM c WINDOW w AS (PARTITION BY stream ORDER BY seq))",

@@ -262,13 +262,17 @@ def gain_control(df: DataFrame, limit: int, block: int, timeout: int, profile: s
     return stateful(df, "stream", "seq", step, f"stream {key_type}, seq long, y long")
 
 
+def levels(x: np.ndarray) -> np.ndarray:
+    """1 + log2|x| / 32, at least 0."""
+    with np.errstate(divide="ignore"):
+        return np.maximum(1.0 + np.log2(np.abs(x)) / 32.0, 0.0)
+
+
 def follower_step(peak: float, x: np.ndarray, attack: float, release: float, threshold: float, ratio: float) -> tuple[float, np.ndarray, np.ndarray]:
-    """Peak follower in the log domain (1 + log2|x| / 32, at least 0) and the gain 2^(32 (c - 1)) with
+    """Peak follower over `levels` and the gain 2^(32 (c - 1)) with
     c = (threshold - peak) * ratio + 0.9999999 for peaks above the threshold."""
-    with np.errstate(divide="ignore"):
-        level = np.maximum(1.0 + np.log2(np.abs(x)) / 32.0, 0.0)
     peaks = np.empty(len(x))
-    for i, v in enumerate(level.tolist()):
+    for i, v in enumerate(levels(x).tolist()):
         peak = v + (peak - v) * (attack if peak <= v else release)
         peaks[i] = peak
     c = (threshold - np.maximum(peaks, threshold)) * ratio + 0.9999999
