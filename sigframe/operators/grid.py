@@ -8,6 +8,7 @@ from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from sigframe.functions import cells as c
 from sigframe.plans.blocked import block_of, islands, positions, running
@@ -268,7 +269,11 @@ DEFAULT_SPEED, DEFAULT_TEMPO = 6, 125  # fixed values: initial ticks per row and
 
 def timeline(cells: DataFrame, header: DataFrame) -> DataFrame:
     """Start time of every row: a row lasts speed ticks of 2.5 / tempo seconds; speed and tempo effects (non-zero,
-    the highest channel wins) hold from their row on. Rows without cells are generated from the header."""
+    the highest channel wins) hold from their row on. Rows without cells are generated from the header.
+
+    One carried pass over blocks of rows: until a block sets a speed or a tempo, its time is a multiple of the speed, of 1 / tempo or of both that it is entered
+    with, so four sums and the last values of each block give all blocks their entries.
+    """
     marks = cells.groupBy("pattern", "row").agg(
         *[
             F.max_by("param", F.when((F.col("command") == code) & (F.col("param") > 0), F.col("channel"))).alias(name)
@@ -276,20 +281,25 @@ def timeline(cells: DataFrame, header: DataFrame) -> DataFrame:
         ]
     )
     every = positions(header.select("pattern", "rows"), ["pattern"], "rows", "row", ROW_BLOCK).drop("rows")
-    rows = materialize(every.join(marks, ["pattern", "row"], "left"), "rows")
-    block = block_of("row", ROW_BLOCK)
-    state = running(
-        rows, ["pattern"], ["row"], block, {"speed": ("last", F.col("_speed")), "tempo": ("last", F.col("_tempo"))}
-    ).select(
-        "pattern",
-        "row",
-        F.coalesce("speed", F.lit(DEFAULT_SPEED)).cast("long").alias("speed"),
-        F.coalesce("tempo", F.lit(DEFAULT_TEMPO)).cast("long").alias("tempo"),
-    )
-    length = F.col("speed") * F.lit(2.5) / F.col("tempo")
-    return running(
-        materialize(state.withColumn("seconds", length), "state"), ["pattern"], ["row"], block, {"start": ("sum", F.col("seconds"))}, inclusive=False
-    )
+    rows = materialize(every.join(marks, ["pattern", "row"], "left"), "rows").withColumn("_at", block_of("row", ROW_BLOCK))
+    inside = W.partitionBy("pattern", "_at").orderBy("row")
+    local = rows.withColumns({x: F.last(x, True).over(inside) for x in ("_speed", "_tempo")})
+    ticks, pace = F.coalesce("_speed", F.lit(1)), F.coalesce("_tempo", F.lit(1))
+    share = lambda s, t: F.coalesce(F.sum(F.when(F.col("_speed").isNull() == F.lit(s), F.when(F.col("_tempo").isNull() == F.lit(t), ticks * F.lit(2.5) / pace))), F.lit(0.0))
+    blocks = local.groupBy("pattern", "_at").agg(
+        F.max_by("_speed", "row").alias("_s"), F.max_by("_tempo", "row").alias("_t"),
+        share(False, False).alias("_both"), share(True, False).alias("_by_speed"), share(False, True).alias("_by_tempo"), share(True, True).alias("_open"),
+    )
+    before = W.partitionBy("pattern").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    entry = blocks.withColumns({"_s": F.coalesce(F.last("_s", True).over(before), F.lit(DEFAULT_SPEED)), "_t": F.coalesce(F.last("_t", True).over(before), F.lit(DEFAULT_TEMPO))})
+    spent = F.col("_both") + F.col("_by_speed") * F.col("_s") + F.col("_by_tempo") / F.col("_t") + F.col("_open") * F.col("_s") / F.col("_t")
+    entry = entry.select("pattern", "_at", "_s", "_t", F.coalesce(F.sum(spent).over(before), F.lit(0.0)).alias("_start"))
+    out = local.join(entry, ["pattern", "_at"]).select(
+        "pattern", "row", "_at", "_start", F.coalesce("_speed", "_s").cast("long").alias("speed"), F.coalesce("_tempo", "_t").cast("long").alias("tempo")
+    )
+    out = out.withColumn("seconds", F.col("speed") * F.lit(2.5) / F.col("tempo"))
+    run = F.coalesce(F.sum("seconds").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    return out.withColumn("start", F.col("_start") + run).drop("_at", "_start")
 
 
 def position_at(rows: DataFrame, asked: DataFrame, width: float = 10.0) -> DataFrame:

@@ -191,3 +191,24 @@ def test_numbering_ignores_outliers_and_time_zones(spark):
         spark.conf.set("spark.sql.session.timeZone", zone)
     empty = df.filter("false")
     assert dense_index(empty, ["k"], ["v"], range_bucket(empty, "v")).isEmpty() and dense_index(empty, [], ["v"], range_bucket(empty, "v")).isEmpty()
+
+
+def test_timeline_carries_over_blocks(spark, monkeypatch):
+    from sigframe.functions import cells as c
+    from sigframe.operators import grid
+
+    monkeypatch.setattr(grid, "ROW_BLOCK", 4)
+    r = random.Random(11)
+    rows = {1: 50, 2: 3, 3: 17}
+    cells = [(p, k, ch, r.choice([c.FX_SPEED, c.FX_TEMPO, 0]), r.choice([0, 3, 7, 90, 200])) for p, n in rows.items() for k in range(n) for ch in range(2) if r.random() < 0.15]
+    df = spark.createDataFrame(cells, "pattern long, row long, channel long, command long, param long")
+    head = spark.createDataFrame(list(rows.items()), "pattern long, rows long")
+    got = {(x.pattern, x.row): (x.start, x.speed, x.tempo) for x in grid.timeline(df, head).collect()}
+    for p, n in rows.items():
+        at, speed, tempo = 0.0, 6, 125
+        for k in range(n):
+            for _, _, _, fx, v in sorted(x for x in cells if x[:2] == (p, k)):
+                speed, tempo = v if fx == c.FX_SPEED and v else speed, v if fx == c.FX_TEMPO and v else tempo
+            assert got[p, k] == (pytest.approx(at), speed, tempo)
+            at += speed * 2.5 / tempo
+    assert len(got) == sum(rows.values())
