@@ -83,6 +83,16 @@ def _(spark, d):
     return _out(fl.resonant_filter(_input(spark, d), 70, 30, 44100, True, size=BLOCK), 3)
 
 
+@query("resonant_classic", "W14", _oracle(fl.resonant_sections(90, 60, 44100, modifier=-40, classic=True)))
+def _(spark, d):
+    return _out(fl.resonant_filter(_input(spark, d), 90, 60, 44100, modifier=-40, classic=True, size=BLOCK))
+
+
+@query("resonant_open", "W14", oracle("sig", "SELECT signal_id, channel, n, round(x, 6) + 0.0 AS y FROM sig"))
+def _(spark, d):
+    return _out(fl.resonant_filter(v.sig(spark, d), 127, 0, 44100, modifier=256, classic=True, size=BLOCK))
+
+
 _G = math.sqrt(1 - 0.25)
 
 

@@ -224,14 +224,19 @@ def cutoff_hz(cutoff: float, modifier: int, rate: float) -> float:
     return min(max(hz, 120.0), 20000.0, rate * 0.5)
 
 
-def resonant_sections(cutoff: int, resonance: int, rate: float, high_pass: bool = False, modifier: int = 0) -> list[Section]:
+def resonant_sections(cutoff: int, resonance: int, rate: float, high_pass: bool = False, modifier: int = 0, classic: bool = False) -> list[Section]:
     """A two-pole resonant section (cutoff and resonance 0..127) and the Butterworth section after it. In high-pass
-    mode the first section keeps `output - input` as its state."""
+    mode the first section keeps `output - input` as its state. The `classic` form damps in proportion to the period, and does nothing at all without resonance when the
+    modified cutoff is fully open."""
+    if classic and resonance == 0 and cutoff * (modifier + 256) // 256 >= 254:  # fixed value: fully open
+        return []
     damping = 10.0 ** (-resonance * (24.0 / 128.0) / 20.0)
     omega = cutoff_hz(cutoff, modifier, rate) * 2.0 * math.pi / rate
-    d = min((1.0 - 2.0 * damping) * omega, 2.0)
-    d = (2.0 * damping - d) / omega
     e = 1.0 / (omega * omega)
+    if classic:
+        d = damping / omega + damping - 1.0
+    else:
+        d = (2.0 * damping - min((1.0 - 2.0 * damping) * omega, 2.0)) / omega
     total = 1.0 + d + e
     feed = 1.0 / total
     a1, a2 = (d + e + e) / total, -e / total
@@ -242,8 +247,8 @@ def resonant_sections(cutoff: int, resonance: int, rate: float, high_pass: bool
     return [first, Section(b0=edge * norm, a1=2.0 * math.cos(omega) * norm, a2=-(1.0 - alpha) * norm)]
 
 
-def resonant_filter(df: DataFrame, cutoff: int, resonance: int, rate: float, high_pass: bool = False, **kw) -> DataFrame:
-    return cascade_scan(df, resonant_sections(cutoff, resonance, rate, high_pass), **kw)
+def resonant_filter(df: DataFrame, cutoff: int, resonance: int, rate: float, high_pass: bool = False, modifier: int = 0, classic: bool = False, **kw) -> DataFrame:
+    return cascade_scan(df, resonant_sections(cutoff, resonance, rate, high_pass, modifier, classic) or [Section(b0=1.0)], **kw)
 
 
 def _delay_line(df: DataFrame, keys: Sequence[str], delay: int, gain: float, feedback: float, size: int) -> DataFrame:
