@@ -1,16 +1,16 @@
 """A corpus pipeline out of the operators in `sigframe.llm`.
 
 Each stage's table is written as Parquet and reread as the next one's documents. All but the last return the columns of documents.
-Where a stage drops documents that an operator has named, rows are numbered first and exactly the rows found go, whatever ids they share or lack. Of a group of copies the row with
-the smallest doc_id stays (nulls last; ties: the smallest SHA-256 of the text, then any). In substring dedup a document without an id neither loses
-words nor makes others lose any, since only documents with a smaller id count as earlier.
+Exactly the rows that an operator found go, whatever ids they share or lack: rows are named by their contents, not by their id alone. Of a group of copies the row with
+the smallest doc_id stays (nulls last; ties: the smallest SHA-256 of the text, then of the row; of rows that are equal in every column one stays). Every row with a contaminated
+text goes. In substring dedup a document without an id neither loses words nor makes others lose any, since only documents with a smaller id count as earlier.
 """
 
 from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigframe.llm import decontaminate, piece_tokenizer, quality_classifier
@@ -28,22 +28,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.filter(F.col("score") >= quality_classifier.THRESHOLD).select("row.*")
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """Every row as `row`, with a number `at`; written, so that the numbers hold."""
-    return materialize(docs.select(F.monotonically_increasing_id().alias("at"), F.struct(*docs.columns).alias("row")), "numbered")
+def sha256(text: Column) -> Column:
+    return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component stays, the one with the smallest id."""
-    rows = numbered(docs)
-    found = near_duplicates(rows, "at", "row.text").select(F.col("doc_id").alias("at"), "component_id")
-    key = F.struct(F.col("row.doc_id").isNull().alias("nameless"), "row.doc_id", F.sha2(F.coalesce("row.text", F.lit("")).cast("binary"), 256).alias("mark"), "at")
-    crowded = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component_id")
-    found = materialize(found.join(crowded, "component_id", "left_semi"), "copies")
-    found = materialize(found.join(rows.select("at", key.alias("key")), "at"), "copies")
-    first = found.groupBy("component_id").agg(F.min("key").alias("least")).select("component_id", F.col("least.at").alias("first"))
-    copies = found.join(first, "component_id").filter("at <> first").select("at")
-    return rows.join(copies, "at", "left_anti").select("row.*")
+    row = F.struct(*docs.columns)
+    name = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", sha256(F.coalesce("text", F.lit(""))).alias("mark"), sha256(F.to_json(row)).alias("whole"))
+    rows = docs.select(name.alias("name"), row.alias("row"))
+    found = materialize(near_duplicates(rows, "name", "row.text").select(F.col("doc_id").alias("name"), "component_id"), "copies")
+    first = F.col("component_id") == F.col("name")
+    gone = found.filter(~first).select("name").distinct()
+    equal = materialize(found.filter(first).groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("name"), "equal")
+    alone = rows.join(gone.unionByName(equal), "name", "left_anti").select("row")
+    one = rows.join(equal, "name", "left_semi").groupBy("name").agg(F.first("row").alias("row")).select("row")
+    return alone.unionByName(one).select("row.*")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,9 +57,9 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item go."""
-    rows = numbered(docs)
-    found = decontaminate.contained(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "at", "row.text").select(F.col("doc_id").alias("at")).distinct()
-    return rows.join(found, "at", "left_anti").select("row.*")
+    rows = docs.select(sha256(F.col("text")).alias("mark"), F.struct(*docs.columns).alias("row"))
+    found = decontaminate.contained(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "mark", "row.text").select(F.col("doc_id").alias("mark")).distinct()
+    return rows.join(found, "mark", "left_anti").select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
