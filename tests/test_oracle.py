@@ -11,7 +11,8 @@ from verify import TABLES, compare
 SMALL = "/root/testdata/sf0.001"
 PICK = """clicks_per_stream rms_envelope pcm_convert shrink change_mask duplicate_patterns timeline next_on_free_row ensure_unique
 visit_scan archive_candidates collect_outputs validate_cue tree_signature polar_slerp ulaw_alaw decode_bytes running_limiter resample_sinc
-argmin_bin eq6 cross_echo route_controls envelope_at append_cells meter reblock late_rows enhance decode_layout""".split()
+argmin_bin eq6 cross_echo route_controls envelope_at append_cells meter reblock late_rows enhance decode_layout probe_heads decode_more_headers
+effect_previous_row effect_converted volume_effect_converted follower_blocks running_status_blocks sessions nearest_direction dft_any_length resonant_classic""".split()
 catalog.load()
 NAMES = list(catalog.QUERIES) if os.environ.get("SIGFRAME_ALL") else PICK
 
