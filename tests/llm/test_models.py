@@ -5,10 +5,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sigframe.llm import language_id, quality_classifier
+from sigframe.llm.language_id import held_out
+from sigframe.llm.words import text_buffers
 from tests.llm.conftest import SMALL, clashing
 
 
@@ -141,3 +144,36 @@ def test_label_columns_are_no_inputs(more, labels):
     a = quality_classifier.score(more, model).collect()
     b = quality_classifier.score(more.withColumns({"lang": F.lit("xx"), "source": F.lit("s"), "n_chars": F.lit(0)}), model).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+def test_scores_match_a_plain_fit(spark, docs):
+    """The whole model again: one matrix of all labelled rows, and calibration by the max-min formula."""
+    qc = quality_classifier
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet").filter(~held_out())
+    got = {r.doc_id: r.score for r in qc.score(docs, qc.fit(docs, labels)).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    held = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit("calibration")), F.lit(4)) == 0
+    known = {r.doc_id: (r.y, r.held) for r in labels.groupBy("doc_id").agg(F.min("quality").alias("y")).select("doc_id", "y", held.alias("held")).collect() if r.y in (0, 1) and r.doc_id in texts}
+    stats = lambda t: qc.statistics(*text_buffers(pa.array([t or ""])))[0]
+    x = np.array([stats(texts[d]) for d in known])
+    y, cal = np.array([v[0] for v in known.values()], float), np.array([v[1] for v in known.values()])
+    rng = np.random.default_rng(qc.SEED)
+    turn, shift = rng.normal(0, np.sqrt(2 * qc.GAMMA), (x.shape[1], qc.FEATURES)), rng.uniform(0, 2 * np.pi, qc.FEATURES)
+    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-3)
+
+    def features(v):
+        return np.append(np.sqrt(2 / qc.FEATURES) * np.cos(np.clip((v - mean) / scale, -8, 8) @ turn + shift), 1.0)
+
+    z = np.array([features(v) for v in x])
+    fit = ~cal
+    weight = np.linalg.solve(z[fit].T @ z[fit] + qc.RIDGE * fit.sum() / qc.FEATURES * np.eye(qc.FEATURES + 1), z[fit].T @ y[fit])
+    order = np.argsort(z[cal] @ weight, kind="stable")
+    raw, target = (z[cal] @ weight)[order], y[cal][order]
+    n = len(raw)
+    iso = np.array([max(min(target[j : k + 1].mean() for k in range(i, n)) for j in range(i + 1)) for i in range(n)])
+    values = np.unique(np.round(iso, 12))
+    blocks = [np.flatnonzero(np.round(iso, 12) == v) for v in values]
+    at, to = [raw[b].mean() for b in blocks], [target[b].mean() for b in blocks]
+    want = {d: float(np.clip(np.interp(features(stats(t)) @ weight, at, to), 0, 1)) for d, t in texts.items()}
+    assert n > 10 and want.keys() == got.keys()
+    assert max(abs(want[d] - got[d]) for d in want) < 1e-6
