@@ -1,9 +1,10 @@
 """Streaming operators. Plans that Structured Streaming has built in are composed from it; the others keep a small
 state per stream with `transformWithStateInPandas`.
 
-Within a micro-batch the rows of a stream arrive unordered and are put in sequence order inside the handler. If they come in more than one Arrow batch,
-they wait in map state on disk, by stretches of `SPAN` sequence numbers, and are taken out stretch by stretch, so a stream with most of
-the rows needs no more memory than a stretch. These recursions are not linear, so one stream of a micro-batch is sequential work; streams run in parallel.
+The streams' states lie in `SLOTS` slots (hash of the stream), the keys of the handlers: a call costs far more than a few rows, and a slot's streams share it.
+Within a micro-batch the rows of a stream arrive unordered and are put in sequence order inside the handler. If a slot has more than `HELD` stretches of rows,
+they wait in map state on disk, by stream and stretch of `SPAN` sequence numbers, and are taken out stretch by stretch, so a stream with most of
+the rows needs no more memory than that. These recursions are not linear, so one stream of a micro-batch is sequential work; streams run in parallel.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ Step = Callable[[dict, pd.DataFrame], tuple[dict, pd.DataFrame]]
 
 
 SPAN = 16_384  # sequence numbers of a stream that a handler sorts at a time
+HELD = 8  # stretches' worth of rows of a slot that a handler keeps in memory
+SLOTS = 4096  # keys that the streams' states are dealt to
 
 
 def _to_bytes(pdf: pd.DataFrame) -> bytes:
@@ -42,53 +45,85 @@ def _from_bytes(raw: bytes) -> pd.DataFrame:
     return pa.ipc.open_stream(raw).read_pandas()
 
 
+def slot_of(key: str) -> Column:
+    """The slot of a stream, the key of its state: a call of a handler and its state calls then serve many streams. Rows without a stream have
+    a slot of their own, so that the others keep their type."""
+    return F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64(key), F.lit(SLOTS))).cast("int")
+
+
+def by_stream(pdf: pd.DataFrame, key: str, order: str) -> Iterator[tuple[object, pd.DataFrame]]:
+    """The rows of each stream, in order."""
+    codes = pd.factorize(pdf[key])[0]
+    at = np.lexsort((pdf[order].to_numpy(), codes))
+    pdf, codes = pdf.take(at), codes[at]
+    cut = np.flatnonzero(np.diff(codes)) + 1
+    streams = pdf[key].tolist()
+    for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(pdf)]):
+        yield None if codes[a] < 0 else streams[a], pdf.iloc[a:b]
+
+
 class OrderedStep(StatefulProcessor):
-    """Keeps one JSON state per stream and applies `step(state, rows in order) -> (state, output)` to one stretch after the other."""
+    """Keeps one JSON state per stream of a slot and applies `step(state, rows in order) -> (state, output)` to one stretch after the other."""
 
-    def __init__(self, step: Step, order: str, key: str, span: int):
-        self.step, self.order, self.key, self.span = step, order, key, span
+    def __init__(self, step: Step, order: str, key: str, kind: str, span: int):
+        self.step, self.order, self.key, self.kind, self.span = step, order, key, kind, span
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "doc string")
-        self.waiting = handle.getMapState("waiting", "stretch long, part long", "rows binary")
-
-    def _stretches(self, rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        head = next(rows)
-        more = next(rows, None)
-        if more is None:
-            yield head.sort_values(self.order, kind="stable")
+        self.state = handle.getMapState("state", f"stream {self.kind}", "doc string")
+        self.waiting = handle.getMapState("waiting", f"stream {self.kind}, stretch long, part long", "rows binary")
+
+    def _stretches(self, rows: Iterator[pd.DataFrame]) -> Iterator[tuple[object, pd.DataFrame]]:
+        head: list[pd.DataFrame] = []
+        for pdf in rows:
+            head.append(pdf)
+            if sum(map(len, head)) > HELD * self.span:
+                break
+        else:
+            yield from by_stream(pd.concat(head), self.key, self.order)
             return
-        parts: Counter[int] = Counter()
-        for pdf in chain([head, more], rows):
-            at = pdf[self.order].to_numpy() // self.span
-            for k in np.unique(at).tolist():
-                self.waiting.updateValue((k, parts[k]), (_to_bytes(pdf[at == k]),))
-                parts[k] += 1
-        for k in sorted(parts):
+        parts: Counter[tuple] = Counter()
+        for pdf in chain(head, rows):
+            for stream, mine in by_stream(pdf, self.key, self.order):
+                at = mine[self.order].to_numpy() // self.span
+                for k in np.unique(at).tolist():
+                    self.waiting.updateValue((stream, k, parts[stream, k]), (_to_bytes(mine[at == k]),))
+                    parts[stream, k] += 1
+        head.clear()
+        for stream, k in sorted(parts):
             held = []
-            for n in range(parts[k]):
-                held.append(_from_bytes(self.waiting.getValue((k, n))[0]))
-                self.waiting.removeKey((k, n))
-            yield pd.concat(held).sort_values(self.order, kind="stable")
+            for n in range(parts[stream, k]):
+                held.append(_from_bytes(self.waiting.getValue((stream, k, n))[0]))
+                self.waiting.removeKey((stream, k, n))
+            yield stream, pd.concat(held).sort_values(self.order, kind="stable")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        state = json.loads(self.state.get()[0]) if self.state.exists() else {}
-        for pdf in self._stretches(iter(rows)):
-            state, out = self.step(state, pdf)
+        states = {k[0]: v[0] for k, v in self.state.iterator()}
+        touched, outs = set(), []
+        for stream, pdf in self._stretches(iter(rows)):
+            state, out = self.step(json.loads(states.get(stream, "{}")), pdf)
+            states[stream] = json.dumps(state)
+            touched.add(stream)
             if len(out):
-                out.insert(0, self.key, key[0])
-                yield out
-        self.state.update((json.dumps(state),))
+                out.insert(0, self.key, [stream] * len(out))
+                outs.append(out)
+            if sum(map(len, outs)) >= self.span:
+                yield pd.concat(outs, ignore_index=True)
+                outs = []
+        if outs:
+            yield pd.concat(outs, ignore_index=True)
+        for stream in touched:
+            self.state.updateValue((stream,), (states[stream],))
 
     def close(self) -> None:
         pass
 
 
 def stateful(df: DataFrame, key: str, order: str, step: Step, schema: str, span: int = SPAN) -> DataFrame:
-    """`schema` is the output's DDL, the key first."""
+    """`schema` is the output's DDL, the key first; the key is of an atomic type."""
     use_rocksdb(df.sparkSession)
-    return df.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=OrderedStep(step, order, key, span), outputStructType=schema, outputMode="append", timeMode="none"
+    kind = df.schema[key].dataType.simpleString()
+    return df.withColumn("_slot", slot_of(key)).groupBy("_slot").transformWithStateInPandas(
+        statefulProcessor=OrderedStep(step, order, key, kind, span), outputStructType=schema, outputMode="append", timeMode="none"
     )
 
 
@@ -128,33 +163,63 @@ def meter(df: DataFrame, window: str, slide: str | None = None, delay: str = "1
 
 
 class SessionStep(StatefulProcessor):
-    """Keeps the open sessions of a stream (start, end, events; in microseconds) and a timer at the end of each."""
+    """Keeps the open sessions of each stream of a slot (JSON lists of start, end, events; in microseconds) and a timer at the slot's first end."""
 
-    def __init__(self, gap: int):
-        self.gap = gap
+    def __init__(self, gap: int, kind: str):
+        self.gap, self.kind = gap, kind
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "start long", "end long, events long")
+        self.open = handle.getMapState("open", f"stream {self.kind}", "doc string")
+
+    def _load(self) -> dict[object, list[tuple[int, int, int]]]:
+        return {k[0]: [tuple(s) for s in json.loads(v[0])] for k, v in self.open.iterator()}
+
+    def _keep(self, stream, sessions: list[tuple[int, int, int]]) -> None:
+        if sessions:
+            self.open.updateValue((stream,), (json.dumps(sessions),))
+        else:
+            self.open.removeKey((stream,))
+
+    def _wake(self, ends: Iterator[int]) -> None:
+        first = min(ends, default=None)
+        if first is not None:
+            self.handle.registerTimer(first // 1000)
+
+    def _cut(self, pdf: pd.DataFrame) -> Iterator[tuple[object, list[tuple[int, int, int]]]]:
+        """Sessions of each stream of one batch."""
+        codes, streams = pd.factorize(pdf["stream"])
+        ts = pdf["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
+        at = np.lexsort((ts, codes))
+        codes, ts = codes[at], ts[at]
+        cut = np.flatnonzero((np.diff(ts) >= self.gap) | (np.diff(codes) != 0)) + 1
+        first, last = np.concatenate(([0], cut)), np.concatenate((cut, [len(ts)]))
+        names = [*streams.tolist(), None]  # code -1: no stream
+        found: dict[object, list[tuple[int, int, int]]] = {}
+        for c, s, e, n in zip(codes[first].tolist(), ts[first].tolist(), (ts[last - 1] + self.gap).tolist(), (last - first).tolist()):
+            found.setdefault(names[c], []).append((s, e, n))
+        yield from found.items()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        before = {k[0]: tuple(v) for k, v in self.open.iterator()}
-        now = [(s, e, n) for s, (e, n) in before.items()]
+        """What the watermark has passed is closed here, so that a start has one row in a micro-batch."""
+        due = timerValues.getCurrentWatermarkInMs()
+        loaded = self._load()
+        now: dict[object, list[tuple[int, int, int]]] = {}
         for pdf in rows:
-            ts = np.sort(pdf["ts"].to_numpy().astype("datetime64[us]").astype(np.int64))
-            cut = np.flatnonzero(np.diff(ts) >= self.gap) + 1
-            first, last = np.concatenate(([0], cut)), np.concatenate((cut, [len(ts)]))
-            now = self._merged(now + [(int(ts[a]), int(ts[b - 1]) + self.gap, int(b - a)) for a, b in zip(first, last)])
-        after = {s: (e, n) for s, e, n in now}
-        for s in before.keys() - after.keys():
-            self.open.removeKey((s,))
-        changed = [s for s in after if before.get(s) != after[s]]
-        for s in changed:
-            self.open.updateValue((s,), after[s])
-            self.handle.registerTimer(after[s][0] // 1000)
-        rows_out = [(s, *after[s], "open") for s in changed] + [(s, s, 0, "merged") for s in before.keys() - after.keys()]
-        if rows_out:
-            yield self._frame(key[0], rows_out)
+            for stream, some in self._cut(pdf):
+                now[stream] = self._merged(now.get(stream, loaded.get(stream, [])) + some)
+        out, ends = [], [e for stream, held in loaded.items() if stream not in now for _, e, _ in held]
+        for stream, sessions in now.items():
+            before, after = set(loaded.get(stream, [])), {s for s, _, _ in sessions}
+            closed = [x for x in sessions if x[1] // 1000 <= due]
+            kept = [x for x in sessions if x[1] // 1000 > due]
+            out += [(stream, *x, "closed") for x in closed] + [(stream, *x, "open") for x in kept if x not in before]
+            out += [(stream, s, s, 0, "merged") for s, _, _ in before if s not in after]
+            self._keep(stream, kept)
+            ends += [e for _, e, _ in kept]
+        self._wake(ends)
+        if out:
+            yield self._frame(out)
 
     @staticmethod
     def _merged(sessions: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -167,20 +232,24 @@ class SessionStep(StatefulProcessor):
         return out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """A timer is of no account if its session has grown since."""
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        ended = [(k[0], *v, "closed") for k, v in self.open.iterator() if v[0] // 1000 <= due]
-        for s, *_ in ended:
-            self.open.removeKey((s,))
-        if ended:
-            yield self._frame(key[0], ended)
+        """Closes all that the watermark has passed; a timer is of no account if its session has grown or closed since."""
+        due = timerValues.getCurrentWatermarkInMs()
+        out, ends = [], []
+        for stream, sessions in self._load().items():
+            kept = [x for x in sessions if x[1] // 1000 > due]
+            if len(kept) < len(sessions):
+                out += [(stream, *x, "closed") for x in sessions if x[1] // 1000 <= due]
+                self._keep(stream, kept)
+            ends += [e for _, e, _ in kept]
+        self._wake(ends)
+        if out:
+            yield self._frame(out)
 
     @staticmethod
-    def _frame(stream, rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["start", "end", "events", "status"])
+    def _frame(rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=["stream", "start", "end", "events", "status"])
         for c in ("start", "end"):
             out[c] = pd.to_datetime(out[c], unit="us", utc=True)
-        out.insert(0, "stream", stream)
         return out
 
     def close(self) -> None:
@@ -194,8 +263,9 @@ def sessions(df: DataFrame, gap: str, delay: str = "1 hour", key_type: str = "lo
     use_rocksdb(df.sparkSession)
     length = df.sparkSession.sql(f"SELECT unix_micros(timestamp_micros(0) + INTERVAL {gap})").first()[0]
     schema = f"stream {key_type}, start timestamp, end timestamp, events long, status string"
-    return df.withWatermark("ts", delay).select("stream", "ts").groupBy("stream").transformWithStateInPandas(
-        statefulProcessor=SessionStep(length), outputStructType=schema, outputMode="update", timeMode="eventTime"
+    kind = df.schema["stream"].dataType.simpleString()
+    return df.withWatermark("ts", delay).select("stream", "ts", slot_of("stream").alias("_slot")).groupBy("_slot").transformWithStateInPandas(
+        statefulProcessor=SessionStep(length, kind), outputStructType=schema, outputMode="update", timeMode="eventTime"
     )
 
 

@@ -97,3 +97,32 @@ def test_gain_rises_after_calm_blocks():
     assert y[:4].tolist() == [30000, 30000, 29970, 29970] and state["gain"] == 1024
     state, y = so.gain_control_step({}, np.array([30000] * 4 + [100] * 12), 20000, 4, 8, 2)
     assert state["gain"] == 1023 and state["calm"] == 1
+
+
+def test_streams_share_slots(spark, small_batches, monkeypatch):
+    monkeypatch.setattr(so, "SLOTS", 3)
+    assert spark.range(500).select(so.slot_of("id").alias("k")).distinct().count() == 3
+    rng = np.random.default_rng(4)
+    rows = [(f"s{i % 40}" if i % 41 else None, i // 5, float(v)) for i, v in enumerate(rng.normal(size=2000))]
+    df = spark.createDataFrame(rows, "stream string, seq long, x double").repartition(3, F.rand(3))
+    path, files = stage(df, F.col("seq") >= 200, "slots")
+    got = append_to_table(so.stream_limiter(replay(spark, path, df.schema, files), "string"), "slots").collect()
+    peak, want = {}, []
+    for s, n, x in sorted(rows, key=lambda r: r[1]):
+        peak[s] = max(peak.get(s, 1.0), abs(x))
+        want.append((str(s), n, round(x / peak[s], 9)))
+    assert sorted((str(r.stream), r.seq, round(r.y, 9)) for r in got) == sorted(want)
+    assert any(r.stream is None for r in got)
+
+
+def test_sessions_of_many_streams_in_few_slots(spark, small_batches, monkeypatch):
+    monkeypatch.setattr(so, "SLOTS", 2)
+    got = sessions_of(spark, [[(s, s % 7 + 20 * k) for s in range(100) for k in range(3)], [(s, 55) for s in range(0, 100, 2)], [(500, 200)]])
+    want = {(s, s % 7 + 20 * k): (s % 7 + 20 * k + 10, 1, "closed") for s in range(100) for k in range(3)}
+    for s in range(0, 100, 2):
+        want[s, s % 7 + 40] = (want[s, s % 7 + 40][0], 1, "closed")
+        if s % 7 == 6:
+            want[s, 46] = (65, 2, "closed")
+        else:
+            want[s, 55] = (65, 1, "closed")
+    assert got == want | {(500, 200): (210, 1, "open")}
