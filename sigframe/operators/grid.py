@@ -271,19 +271,39 @@ def timeline(cells: DataFrame, header: DataFrame) -> DataFrame:
     """Start time of every row: a row lasts speed ticks of 2.5 / tempo seconds; speed and tempo effects (non-zero,
     the highest channel wins) hold from their row on. Rows without cells are generated from the header.
 
-    One carried pass over blocks of rows: until a block sets a speed or a tempo, its time is a multiple of the speed, of 1 / tempo or of both that it is entered
+    Blocks of rows meet the effects inside them, and rows are generated behind that join. Patterns of one block need no more. In the others, until a block sets a
+    speed or a tempo, its time is a multiple of the speed, of 1 / tempo or of both that it is entered
     with, so four sums and the last values of each block give all blocks their entries.
     """
-    marks = cells.groupBy("pattern", "row").agg(
-        *[
-            F.max_by("param", F.when((F.col("command") == code) & (F.col("param") > 0), F.col("channel"))).alias(name)
-            for name, code in (("_speed", c.FX_SPEED), ("_tempo", c.FX_TEMPO))
-        ]
+    kinds = {"_speed": c.FX_SPEED, "_tempo": c.FX_TEMPO}
+    marks = (
+        cells.filter(F.col("command").isin(*kinds.values()) & (F.col("param") > 0))
+        .groupBy("pattern", "row")
+        .agg(*[F.max_by("param", F.when(F.col("command") == code, F.col("channel"))).cast("long").alias(name) for name, code in kinds.items()])
+        .groupBy("pattern", block_of("row", ROW_BLOCK).alias("_at"))
+        .agg(F.collect_list(F.struct(F.col("row").cast("long").alias("row"), *kinds, F.lit(True).alias("_mark"))).alias("_marks"))
     )
-    every = positions(header.select("pattern", "rows"), ["pattern"], "rows", "row", ROW_BLOCK).drop("rows")
-    rows = materialize(every.join(marks, ["pattern", "row"], "left"), "rows").withColumn("_at", block_of("row", ROW_BLOCK))
     inside = W.partitionBy("pattern", "_at").orderBy("row")
-    local = rows.withColumns({x: F.last(x, True).over(inside) for x in ("_speed", "_tempo")})
+
+    def filled(some: DataFrame) -> DataFrame:
+        last = F.floor((F.col("rows") - 1) / ROW_BLOCK).cast("long")
+        blocks = some.filter("rows > 0").select("pattern", "rows", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_at"))
+        top = F.least((F.col("_at") + 1) * ROW_BLOCK, F.col("rows").cast("long")) - 1
+        none = F.lit(None).cast("long")
+        own = F.transform(F.sequence(F.col("_at") * ROW_BLOCK, top), lambda n: F.struct(n.alias("row"), none.alias("_speed"), none.alias("_tempo"), F.lit(False).alias("_mark")))
+        met = blocks.join(marks, ["pattern", "_at"], "left")
+        rows = met.select("pattern", "_at", F.explode(F.when(F.col("_marks").isNull(), own).otherwise(F.concat("_marks", own))).alias("_r")).select("pattern", "_at", "_r.*")
+        so_far = W.partitionBy("pattern", "_at").orderBy("row", F.desc("_mark")).rowsBetween(W.unboundedPreceding, 0)
+        return rows.withColumns({x: F.last(x, True).over(so_far) for x in kinds}).filter("not _mark").drop("_mark")
+
+    def timed(rows: DataFrame, speed: Column, tempo: Column, start: Column) -> DataFrame:
+        out = rows.withColumns({"speed": F.coalesce("_speed", speed).cast("long"), "tempo": F.coalesce("_tempo", tempo).cast("long"), "_start": start})
+        out = out.withColumn("seconds", F.col("speed") * F.lit(2.5) / F.col("tempo"))
+        run = F.coalesce(F.sum("seconds").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+        return out.withColumn("start", F.col("_start") + run).select("pattern", "row", "speed", "tempo", "seconds", "start")
+
+    whole = timed(filled(header.filter(F.col("rows") <= ROW_BLOCK)), F.lit(DEFAULT_SPEED), F.lit(DEFAULT_TEMPO), F.lit(0.0))
+    local = filled(header.filter(F.col("rows") > ROW_BLOCK))
     ticks, pace = F.coalesce("_speed", F.lit(1)), F.coalesce("_tempo", F.lit(1))
     share = lambda s, t: F.coalesce(F.sum(F.when(F.col("_speed").isNull() == F.lit(s), F.when(F.col("_tempo").isNull() == F.lit(t), ticks * F.lit(2.5) / pace))), F.lit(0.0))
     blocks = local.groupBy("pattern", "_at").agg(
@@ -293,19 +313,14 @@ def timeline(cells: DataFrame, header: DataFrame) -> DataFrame:
     before = W.partitionBy("pattern").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
     entry = blocks.withColumns({"_s": F.coalesce(F.last("_s", True).over(before), F.lit(DEFAULT_SPEED)), "_t": F.coalesce(F.last("_t", True).over(before), F.lit(DEFAULT_TEMPO))})
     spent = F.col("_both") + F.col("_by_speed") * F.col("_s") + F.col("_by_tempo") / F.col("_t") + F.col("_open") * F.col("_s") / F.col("_t")
-    entry = entry.select("pattern", "_at", "_s", "_t", F.coalesce(F.sum(spent).over(before), F.lit(0.0)).alias("_start"))
-    out = local.join(entry, ["pattern", "_at"]).select(
-        "pattern", "row", "_at", "_start", F.coalesce("_speed", "_s").cast("long").alias("speed"), F.coalesce("_tempo", "_t").cast("long").alias("tempo")
-    )
-    out = out.withColumn("seconds", F.col("speed") * F.lit(2.5) / F.col("tempo"))
-    run = F.coalesce(F.sum("seconds").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    return out.withColumn("start", F.col("_start") + run).drop("_at", "_start")
+    entry = entry.select("pattern", "_at", "_s", "_t", F.coalesce(F.sum(spent).over(before), F.lit(0.0)).alias("_from"))
+    return whole.unionByName(timed(local.join(entry, ["pattern", "_at"]), F.col("_s"), F.col("_t"), F.col("_from")))
 
 
 def position_at(rows: DataFrame, asked: DataFrame, width: float = 10.0) -> DataFrame:
     """The row playing at each asked `pattern, sec` (seconds): both sides meet in time slots of `width` seconds, so
     the as-of lookup is an equi join; times past the end give no row."""
-    spans = rows.withColumn("end", F.col("start") + F.col("seconds")).withColumn(
+    spans = rows.select("pattern", "row", "start", (F.col("start") + F.col("seconds")).alias("end")).withColumn(
         "_slot", F.explode(F.sequence(F.floor(F.col("start") / width).cast("long"), F.floor(F.col("end") / width).cast("long")))
     )
     q = asked.withColumn("_slot", F.floor(F.col("sec") / width).cast("long"))

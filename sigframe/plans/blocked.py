@@ -161,25 +161,22 @@ def range_bucket(df: DataFrame, col: str, parts: int | None = None) -> Column:
 
 
 LARGE_KEY = 100_000  # rows of a key that one task numbers in any case
+KEY_GROUPS = 16_384  # groups of keys (by hash) that are counted first
 
 
 def _by_large_keys(df: DataFrame, keys: list[str], order: Sequence[str | Column], first: str, out: str) -> DataFrame:
-    """Only keys with more rows than a partition's share of the table are cut into buckets; there are fewer of them than partitions. In
-    a table without such keys this is one count per key and one sorted pass."""
+    """Only keys with more rows than a partition's share of the table are cut into buckets; there are fewer of them than partitions. Groups of
+    keys are counted first, and single keys only in groups with that many rows. All other keys are numbered in one shuffled and sorted pass that meets no join."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    key = F.struct(*keys)
-    per = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", key)
-    share = df.agg((F.count(F.lit(1)) / parts).alias("_share")).scalar()
-    large = per.agg(F.collect_list(F.when(F.col("_n") > F.greatest(F.lit(LARGE_KEY), share), F.col("_k"))).alias("_large")).scalar()
-    is_large = F.array_contains(large, key)
+    key, group = F.struct(*keys), F.pmod(F.xxhash64(*keys), F.lit(KEY_GROUPS))
+    groups = df.groupBy(group.alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
+    limit = groups.agg(F.greatest(F.lit(LARGE_KEY), F.coalesce(F.sum("_n"), F.lit(0)) / parts).alias("_limit")).scalar()
+    full = groups.agg(F.collect_list(F.when(F.col("_n") > limit, F.col("_g"))).alias("_full")).scalar()
+    per = df.filter(F.array_contains(full, group)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", key)
+    is_large = F.array_contains(per.agg(F.collect_list(F.when(F.col("_n") > limit, F.col("_k"))).alias("_large")).scalar(), key)
+    small = df.filter(~is_large).withColumn(out, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("long") - 1)
     some = df.filter(is_large)
-    b = df.withColumn(_B, F.when(is_large, range_bucket(some, first, parts)).otherwise(F.lit(0)).cast("long"))
-    local = b.withColumn(out, F.row_number().over(W.partitionBy(*keys, _B).orderBy(*order)).cast("long") - 1)
-    counts = b.filter(is_large).groupBy(*keys, _B).agg(F.count(F.lit(1)).alias("_rows"))
-    prior = W.partitionBy(*keys).orderBy(_B).rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(key.alias("_k"), F.col(_B).alias("_b"), F.coalesce(F.sum("_rows").over(prior), F.lit(0)).alias("_off"))
-    joined = local.join(offsets, key.eqNullSafe(F.col("_k")) & (F.col(_B) == F.col("_b")), "left")
-    return joined.withColumn(out, F.col(out) + F.coalesce("_off", F.lit(0))).drop(_B, "_k", "_b", "_off")
+    return small.unionByName(dense_index(some, keys, order, range_bucket(some, first, parts), out))
 
 
 def dense_index(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], bucket: Column | str, out: str = "n") -> DataFrame:

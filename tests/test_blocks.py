@@ -212,3 +212,25 @@ def test_timeline_carries_over_blocks(spark, monkeypatch):
             assert got[p, k] == (pytest.approx(at), speed, tempo)
             at += speed * 2.5 / tempo
     assert len(got) == sum(rows.values())
+
+
+@pytest.mark.parametrize("groups", [1, 7])
+def test_numbering_counts_single_keys_only_in_full_groups(spark, skewed, monkeypatch, groups):
+    monkeypatch.setattr(blocked, "LARGE_KEY", 10)
+    monkeypatch.setattr(blocked, "KEY_GROUPS", groups)
+    got = dense_index(skewed, ["k"], ["t"], "t")
+    want = dense_index(skewed, ["k"], ["t"], F.lit(0))
+    assert got.exceptAll(want).isEmpty() and got.count() == want.count()
+
+
+def test_timeline_generates_rows_behind_the_join(spark, monkeypatch):
+    from sigframe.functions import cells as c
+    from sigframe.operators import grid
+
+    monkeypatch.setattr(grid, "ROW_BLOCK", 4)
+    cells = [(1, 1, 0, c.FX_SPEED, 3), (1, 1, 1, c.FX_SPEED, 4), (1, 2, 0, c.FX_TEMPO, 0), (1, 9, 0, c.FX_SPEED, 9), (1, -1, 0, c.FX_SPEED, 9), (2, 5, 0, c.FX_TEMPO, 250), (2, 7, 0, c.FX_SPEED, 9)]
+    df = spark.createDataFrame(cells, "pattern long, row long, channel long, command long, param long")
+    out = grid.timeline(df, spark.createDataFrame([(1, 3), (2, 7), (3, 0), (4, 1)], "pattern long, rows long"))
+    got = {(r.pattern, r.row): (r.speed, r.tempo) for r in out.collect()}
+    assert got == {(1, 0): (6, 125), (1, 1): (4, 125), (1, 2): (4, 125), **{(2, n): (6, 125 if n < 5 else 250) for n in range(7)}, (4, 0): (6, 125)}
+    assert out.columns == ["pattern", "row", "speed", "tempo", "seconds", "start"]
