@@ -91,7 +91,10 @@ def nearest_direction(queries: DataFrame, grid: DataFrame, dims: Sequence[str],
     around = around.withColumn("_s", F.explode(F.when(F.col("_far"), F.array(F.struct(*[F.lit(0).alias(c) for c in cells]))).otherwise(F.array(*step))))
     around = around.withColumns({c: F.when(F.col("_far"), F.lit(0)).otherwise(F.col(c) + F.col(f"_s.{c}")).cast("long") for c in cells})
     around = around.withColumn("_level", F.least("_level", F.lit(LEVELS))).select("_q", *names, *key)
-    best = around.join(named, key).groupBy("_q").agg(F.min(F.struct(gap.alias("dist"), F.col("_id").alias("id"))).alias("_best"))
+    # A cell's queries and directions make far more pairs than the shuffled bytes tell, so as many tasks as there are partitions share them, and a pair is three numbers.
+    spread = around.repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+    pairs = spread.join(named, key).select("_q", F.struct(gap.alias("dist"), F.col("_id").alias("id")).alias("_pair"))
+    best = pairs.groupBy("_q").agg(F.min("_pair").alias("_best"))
     return best.select(F.col("_q").alias(query_id), F.col("_best.id").alias(grid_id), F.sqrt("_best.dist").alias("dist"))
 
 

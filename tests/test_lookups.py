@@ -61,3 +61,13 @@ def test_effect_on_a_long_full_pattern(spark):
     assert put(grid.Effect(c.FX_SPEED, 3, retry="none"))[2][0] == 3
     assert put(grid.Effect(c.FX_VOLUME, 80)) == {1: (4, 0, "converted_free", True), 2: (3, 0, "free", False)}
     assert grid.Effect(c.FX_PANNING8, 130).forms()[2][0].param == 132 and grid.Effect(c.FX_PANNING8, 0x90, s3m=True).converted() is None
+
+
+def test_pairs_of_directions_are_spread_over_all_partitions(spark):
+    r = random.Random(3)
+    rows = [(i, r.choice([0.0, 1.0]), r.random(), 0.5) for i in range(300)]
+    p = spark.createDataFrame(rows, "q long, x double, y double, z double")
+    out = lookups.nearest_direction(p.filter("q >= 100"), p.filter("q < 100").withColumnRenamed("q", "g"), ["x", "y", "z"], "q", "g")
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+    want = {q: min((sum((a - b) ** 2 for a, b in zip(at, o)), g) for g, *o in rows[:100])[1] for q, *at in rows[100:]}
+    assert {x.q: x.g for x in out.collect()} == want
