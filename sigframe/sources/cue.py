@@ -58,6 +58,7 @@ def validate_cue(sheets: DataFrame, text: str = "text") -> DataFrame:
     index 1), go up by one and forward in time; the very first point is at zero. Tracks count up from the first
     one, move forward in time, and each has an index; there is at least one track.
     """
+    sheets = sheets.repartition("id")  # sheets are shuffled once, before they are cut into lines; all that follows stays in place
     lines = cue_lines(sheets, text)
     w = W.partitionBy("id").orderBy("line").rowsBetween(W.unboundedPreceding, -1)
     in_track = W.partitionBy("id", "track_no").orderBy("line").rowsBetween(W.unboundedPreceding, -1)
@@ -109,16 +110,17 @@ def validate_cue(sheets: DataFrame, text: str = "text") -> DataFrame:
         .when((word == "TRACK") & F.col("_track").isNull(), "InvalidTrack")
         .when((word == "TRACK") & (F.col("_track") != F.col("_last_track") + 1), "TracksOutOfSequence")
     )
-    ends = (
-        marks.filter("track_no > 0")
+    per_track = (
+        marks.withColumn("error", error)
         .groupBy("id", "track_no")
-        .agg(F.max("line").alias("line"), F.count("_index").alias("_n"), F.max("_index").alias("_top"))
-        .withColumn("error", F.when(F.col("_n") == 0, "InvalidTrack").when(F.col("_top") < 1, "IndexPointsOutOfSequence"))
-        .select("id", (F.col("line") + 0.5).alias("line"), "error")
-    )
-    found = marks.select("id", F.col("line").cast("double").alias("line"), error.alias("error")).unionByName(ends)
-    first = found.groupBy("id").agg(F.min_by("error", F.when(F.col("error").isNotNull(), F.col("line"))).alias("error"))
-    tracks = lines.groupBy("id").agg(F.max("track_no").alias("tracks"))
-    out = sheets.select("id").join(first, "id", "left").join(tracks, "id", "left")
+        .agg(
+            F.min(F.when(F.col("error").isNotNull(), F.struct(F.col("line").cast("double").alias("line"), "error"))).alias("_first"),
+            F.max("line").alias("line"), F.count("_index").alias("_n"), F.max("_index").alias("_top"),
+        )
+    )
+    at_end = F.when(F.col("_n") == 0, "InvalidTrack").when(F.col("_top") < 1, "IndexPointsOutOfSequence")
+    behind = F.when((F.col("track_no") > 0) & at_end.isNotNull(), F.struct((F.col("line") + 0.5).alias("line"), at_end.alias("error")))
+    found = per_track.groupBy("id").agg(F.min(F.least("_first", behind))["error"].alias("error"), F.max("track_no").alias("tracks"))
+    out = sheets.select("id").join(found, "id", "left")
     none = F.when(F.coalesce("tracks", F.lit(0)) == 0, "NoTracks")
     return out.select("id", F.coalesce("error", none, F.lit("ok")).alias("status"))

@@ -251,3 +251,13 @@ def test_decode_bytes_of_short_texts(spark, tmp_path):
     widths = [(1, "little", False), (2, "little", False), (2, "big", False), (3, "little", False), (3, "big", True), (4, "little", False), (4, "big", True)]
     raw = [(t or "").encode() for _, t in rows]
     assert got == [tuple(int.from_bytes(b[:n], e, signed=s) if len(b) >= n else None for n, e, s in widths) for b in raw]
+
+
+def test_cue_sheets_are_shuffled_before_they_are_cut(spark):
+    from sigframe.sources import cue
+
+    texts = [None, "", "\n \n", 'FILE "a" WAVE\n', "TRACK 01 AUDIO\nINDEX 01 00:00:00\n", "TRACK 01 AUDIO\n", "TRACK 01 AUDIO\nINDEX 00 00:00:00\nTRACK 03 AUDIO\nINDEX 01 00:01:00", "INDEX 01 00:00:00\nTRACK 01 AUDIO\n"]
+    out = cue.validate_cue(spark.createDataFrame(list(enumerate(texts)), "id long, text string"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_COL") > 0
+    assert [r.status for r in out.orderBy("id").collect()] == ["NoTracks"] * 4 + ["ok", "InvalidTrack", "IndexPointsOutOfSequence", "PrematureIndex"]
