@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from sigframe.functions import cells as c
-from sigframe.plans.blocked import block_of, islands, positions, running
+from sigframe.plans.blocked import block_of, is_one_of, islands, large_values, positions, running, running_whole
 from sigframe.session import materialize
 
 ROW_BLOCK = 4096
@@ -144,10 +144,19 @@ def resize_pattern(
 MASK_BITS = {f: 1 << i for i, f in enumerate(c.FIELDS)}  # note 1, instr 2, volcmd 4, vol 8, command 16, param 32
 
 
+def _along_channels(cells: DataFrame, cols: Mapping[str, tuple[str, Column]], inclusive: bool = True) -> DataFrame:
+    """Running values of every channel. Patterns of ordinary size stay in the partition they are in already; only large ones are cut into blocks of rows."""
+    large = large_values(cells, "pattern")
+    keys, order = ["pattern", "channel"], ["row"]
+    if not large:
+        return running_whole(cells, keys, order, cols, inclusive)
+    return running(cells, keys, order, block_of("row", ROW_BLOCK), cols, inclusive, large=is_one_of("pattern", large))
+
+
 def change_mask(cells: DataFrame) -> DataFrame:
     """`mask` of the columns that differ from the previous cell of the channel (all zero before the first)."""
     whole = F.struct(*c.FIELDS)
-    prev = running(cells, ["pattern", "channel"], ["row"], block_of("row", ROW_BLOCK), {"_prev": ("last", whole)}, inclusive=False)
+    prev = _along_channels(cells, {"_prev": ("last", whole)}, inclusive=False)
     mask = sum(
         (F.when(F.col(f) != F.coalesce(F.col(f"_prev.{f}"), F.lit(0)), bit).otherwise(0) for f, bit in MASK_BITS.items()),
         F.lit(0),
@@ -160,7 +169,7 @@ def forward_fill(masked: DataFrame) -> DataFrame:
     written = {
         f"_{f}": ("last", F.when(F.col("mask").bitwiseAND(F.lit(bit)) != 0, F.col(f))) for f, bit in MASK_BITS.items()
     }
-    out = running(materialize(masked, "masked"), ["pattern", "channel"], ["row"], block_of("row", ROW_BLOCK), written)
+    out = _along_channels(masked, written)
     return out.withColumns({f: F.coalesce(f"_{f}", F.lit(0)).cast("long") for f in c.FIELDS}).drop(*written)
 
 

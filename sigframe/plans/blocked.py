@@ -6,7 +6,8 @@ helpers here keep every task bounded by a block of positions instead:
 * `with_halo`    - copies the edge rows a frame needs into the neighbouring blocks, so framed windows and
                    `lag`/`lead` run per block;
 * `running`      - running sum / count / max / min / last in two passes: per-block totals, a small ordered
-                   scan over the totals, then the in-block running value plus its carry;
+                   scan over the totals, then the in-block running value plus its carry; told which keys are
+                   large, it cuts only those;
 * `dense_index`  - 0-based row numbers inside a key, in two passes over buckets of the order;
 * `islands`      - maximal runs of consecutive positions, merged inside blocks first, so only runs that touch
                    a block edge (at most two per block) are looked at across blocks.
@@ -71,6 +72,22 @@ def shifted(
 _TOTAL = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}
 
 
+def _prefix(w, inclusive: bool, peers: bool):
+    return (w.rangeBetween if peers else w.rowsBetween)(W.unboundedPreceding, 0 if inclusive else -1)
+
+
+def _over(kind: str, v: Column | str, w) -> Column:
+    return F.last(v, ignorenulls=True).over(w) if kind == "last" else _TOTAL[kind](v).over(w)
+
+
+def running_whole(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Mapping[str, tuple[str, Column]], inclusive: bool = True, peers: bool = False
+) -> DataFrame:
+    """`running` for keys that are small enough for one task each."""
+    w = _prefix(W.partitionBy(*keys).orderBy(*order), inclusive, peers)
+    return df.withColumns({o: F.coalesce(_over(k, v, w), F.lit(0)) if k in ("sum", "count") else _over(k, v, w) for o, (k, v) in cols.items()})
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -79,6 +96,7 @@ def running(
     cols: Mapping[str, tuple[str, Column]],
     inclusive: bool = True,
     peers: bool = False,
+    large: Column | None = None,
 ) -> DataFrame:
     """Add running values along `order` inside `keys`.
 
@@ -86,8 +104,14 @@ def running(
     `block` must not decrease along `order`; one block of one key is the unit of work of a task. With
     `inclusive=False` the current row is left out (and an empty prefix gives 0 for sum and count, else NULL).
     With `peers=True` all rows that tie on the single order column count as current.
+
+    Where `large` is given (see `large_values`; equal in all rows of a key), only its keys are cut into blocks, and all others take one window
+    without totals or a join.
     """
     keys, order = list(keys), list(order)
+    if large is not None:
+        small = running_whole(df.filter(~large), keys, order, cols, inclusive, peers)
+        return small.unionByName(running(df.filter(large), keys, order, block, cols, inclusive, peers))
     tmp = {f"_v{i}": v for i, (_, v) in enumerate(cols.values())}
     base = df.withColumns({_B: block, **tmp})
     stamp = F.struct(*order)
@@ -103,25 +127,14 @@ def running(
     )
     prior = W.partitionBy(*keys).orderBy(_B).rowsBetween(W.unboundedPreceding, -1)
 
-    def over(kind: str, c: str, w) -> Column:
-        if kind == "last":
-            return F.last(c, ignorenulls=True).over(w)
-        if kind == "count":
-            return F.sum(c).over(w)
-        return _TOTAL[kind](c).over(w)
-
     carry = totals.select(
-        *keys, _B, *[over(kind, f"_t{i}", prior).alias(f"_c{i}") for i, (kind, _) in enumerate(cols.values())]
+        F.struct(*keys).alias("_k"), F.col(_B).alias("_b"), *[_over("sum" if kind == "count" else kind, f"_t{i}", prior).alias(f"_c{i}") for i, (kind, _) in enumerate(cols.values())]
     )
-    local = W.partitionBy(*keys, _B).orderBy(*order)
-    if peers:
-        local = local.rangeBetween(W.unboundedPreceding, 0 if inclusive else -1)
-    else:
-        local = local.rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
-    joined = base.join(carry, [*keys, _B])
+    local = _prefix(W.partitionBy(*keys, _B).orderBy(*order), inclusive, peers)
+    joined = base.join(carry, F.struct(*keys).eqNullSafe(F.col("_k")) & F.col(_B).eqNullSafe(F.col("_b")))
     out = {}
     for i, (name, (kind, _)) in enumerate(cols.items()):
-        here = F.count(f"_v{i}").over(local) if kind == "count" else over(kind, f"_v{i}", local)
+        here = _over(kind, f"_v{i}", local)
         before = F.col(f"_c{i}")
         if kind in ("sum", "count"):
             out[name] = F.coalesce(before, F.lit(0)) + F.coalesce(here, F.lit(0))
@@ -131,7 +144,7 @@ def running(
             out[name] = F.least(before, here)
         else:
             out[name] = F.coalesce(here, before)
-    drop = [_B, *tmp, *[f"_c{i}" for i in range(len(cols))]]
+    drop = [_B, *tmp, "_k", "_b", *[f"_c{i}" for i in range(len(cols))]]
     return joined.withColumns(out).drop(*drop)
 
 
@@ -179,6 +192,26 @@ def _by_large_keys(df: DataFrame, keys: list[str], order: Sequence[str | Column]
     return small.unionByName(dense_index(some, keys, order, range_bucket(some, first, parts), out))
 
 
+def large_values(df: DataFrame, key: str) -> list:
+    """The values of `key` with more rows than a partition's share of the table (and than `LARGE_KEY`): fewer of them than partitions. This runs a job that
+    reads nothing but the key and brings back the sizes of `KEY_GROUPS` groups of keys, and a second one only if a group is that large."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    group = F.pmod(F.xxhash64(key), F.lit(KEY_GROUPS))
+    sizes = dict(df.groupBy(group).agg(F.count(F.lit(1))).collect())
+    limit = max(LARGE_KEY, sum(sizes.values()) // parts)
+    full = [g for g, n in sizes.items() if n > limit]
+    if not full:
+        return []
+    per = df.filter(group.isin(full)).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
+    return sorted((r[0] for r in per.collect()), key=lambda x: (x is None, x))
+
+
+def is_one_of(col: str, values: Sequence) -> Column:
+    """Whether a column has one of the values; NULL equals NULL."""
+    found = F.coalesce(F.col(col).isin([x for x in values if x is not None]), F.lit(False))
+    return found | F.col(col).isNull() if None in values else found
+
+
 def dense_index(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], bucket: Column | str, out: str = "n") -> DataFrame:
     """0-based row number inside `keys` along `order`.
 

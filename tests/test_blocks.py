@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import column, signal
+from sigframe.functions import cells as c
 from sigframe.operators import clicks, filters, signal_ops, transforms
+from sigframe.operators import grid as g
 from sigframe.operators.signal_stats import attach_by_block, lengths
 from sigframe.plans import blocked
 from sigframe.plans.blocked import block_of, dense_index, islands, positions, range_bucket, running, shifted
@@ -234,3 +236,38 @@ def test_timeline_generates_rows_behind_the_join(spark, monkeypatch):
     got = {(r.pattern, r.row): (r.speed, r.tempo) for r in out.collect()}
     assert got == {(1, 0): (6, 125), (1, 1): (4, 125), (1, 2): (4, 125), **{(2, n): (6, 125 if n < 5 else 250) for n in range(7)}, (4, 0): (6, 125)}
     assert out.columns == ["pattern", "row", "speed", "tempo", "seconds", "start"]
+
+
+def channel_cells(spark):
+    """600 rows of pattern 1, 40 patterns of a few rows, and one without a name."""
+    rng = np.random.default_rng(8)
+    rows = [(p, r, int(rng.integers(2)), *(int(x) for x in rng.integers(0, 3, 6))) for p in [1, *range(2, 42), None] for r in range(600 if p == 1 else 5)]
+    return rows, spark.createDataFrame(rows, "pattern long, row long, channel long, " + ", ".join(f"{f} long" for f in c.FIELDS))
+
+
+def blanked(masked):
+    return masked.withColumns({f: F.when(F.col("mask").bitwiseAND(F.lit(b)) != 0, F.col(f)).otherwise(0) for f, b in g.MASK_BITS.items()})
+
+
+@pytest.mark.parametrize("limit", [100_000, 100])
+def test_masks_and_fills_with_and_without_a_large_pattern(spark, monkeypatch, limit):
+    monkeypatch.setattr(blocked, "LARGE_KEY", limit)
+    monkeypatch.setattr(g, "ROW_BLOCK", 64)
+    rows, cells = channel_cells(spark)
+    assert blocked.large_values(cells, "pattern") == ([1] if limit == 100 else [])
+    masked = g.change_mask(cells)
+    last, want = {}, []
+    for r in rows:
+        before = last.get((r[0], r[2]), (0,) * 6)
+        want.append((*r, sum(1 << i for i in range(6) if r[3 + i] != before[i])))
+        last[r[0], r[2]] = r[3:]
+    key = lambda r: (r[0] is None, r)
+    assert sorted((tuple(r) for r in masked.select("pattern", "row", "channel", *c.FIELDS, "mask").collect()), key=key) == sorted(want, key=key)
+    filled = g.forward_fill(blanked(masked)).select("pattern", "row", "channel", *c.FIELDS).collect()
+    assert sorted((tuple(r) for r in filled), key=key) == sorted(rows, key=key)
+
+
+def test_ordinary_patterns_are_masked_and_filled_behind_one_shuffle(spark):
+    cells = channel_cells(spark)[1].repartition(4, "pattern")
+    plan = g.forward_fill(blanked(g.change_mask(cells)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "Aggregate" not in plan
