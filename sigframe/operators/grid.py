@@ -173,17 +173,17 @@ def forward_fill(masked: DataFrame) -> DataFrame:
     return out.withColumns({f: F.coalesce(f"_{f}", F.lit(0)).cast("long") for f in c.FIELDS}).drop(*written)
 
 
+SIGNATURE = ["sig_a", "sig_b", "sig_c", "sig_d", "cells"]
+
+
 def grid_signature() -> list[Column]:
-    """Order-free, combinable signature of a pattern: the sum of a 64-bit hash of each cell (in two lanes, two
-    independent hashes) and the number of cells."""
+    """Order-free, combinable signature of a pattern: the sums of both halves of two independent 64-bit hashes of each cell
+    and the number of cells. Sums of halves fit a long up to 2^31 cells."""
     where = [F.col("row"), F.col("channel")]
     parts = [*where, *c.comparable().values()]
-    tagged = [F.lit(7), *parts]
-    return [
-        F.sum(F.xxhash64(*parts).cast("decimal(20,0)")).alias("sig_a"),
-        F.sum(F.xxhash64(*tagged).cast("decimal(20,0)")).alias("sig_b"),
-        F.count(F.lit(1)).alias("cells"),
-    ]
+    hashes = [F.xxhash64(*parts), F.xxhash64(F.lit(7), *parts)]
+    halves = [x for h in hashes for x in (h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32))]
+    return [*[F.sum(x).alias(k) for k, x in zip(SIGNATURE, halves)], F.count(F.lit(1)).alias("cells")]
 
 
 def pattern_groups(cells: DataFrame) -> DataFrame:
@@ -192,8 +192,8 @@ def pattern_groups(cells: DataFrame) -> DataFrame:
     pattern is compared once, never pair by pair."""
     used = cells.filter(~c.is_empty())
     sigs = materialize(used.groupBy("pattern").agg(*grid_signature()), "signatures")
-    first = sigs.groupBy("sig_a", "sig_b", "cells").agg(F.min("pattern").alias("same_as"))
-    cand = materialize(sigs.join(first, ["sig_a", "sig_b", "cells"]).select("pattern", "same_as", "cells"), "candidates")
+    first = sigs.groupBy(*SIGNATURE).agg(F.min("pattern").alias("same_as"))
+    cand = materialize(sigs.join(first, SIGNATURE).select("pattern", "same_as", "cells"), "candidates")
     flat = used.select("pattern", "row", "channel", *[e.alias(k) for k, e in c.comparable().items()])
     others = cand.filter(F.col("pattern") != F.col("same_as"))
     mine = flat.join(others, "pattern")

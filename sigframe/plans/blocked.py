@@ -177,7 +177,16 @@ LARGE_KEY = 100_000  # rows of a key that one task numbers in any case
 KEY_GROUPS = 16_384  # groups of keys (by hash) that are counted first
 
 
-def _by_large_keys(df: DataFrame, keys: list[str], order: Sequence[str | Column], first: str, out: str) -> DataFrame:
+TASK_ROWS = 1_000_000  # rows that one task numbers and sorts, where a table's size is known
+
+
+def enough_partitions(table: DataFrame) -> int | None:
+    """As many partitions as hold `TASK_ROWS` rows each, or None where the session's are enough. For a table of files; counting parquet reads footers only."""
+    n = -(-table.count() // TASK_ROWS)
+    return n if n > int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def _by_large_keys(df: DataFrame, keys: list[str], order: Sequence[str | Column], first: str, out: str, partitions: int | None) -> DataFrame:
     """Only keys with more rows than a partition's share of the table are cut into buckets; there are fewer of them than partitions. Groups of
     keys are counted first, and single keys only in groups with that many rows. All other keys are numbered in one shuffled and sorted pass that meets no join."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -187,7 +196,9 @@ def _by_large_keys(df: DataFrame, keys: list[str], order: Sequence[str | Column]
     full = groups.agg(F.collect_list(F.when(F.col("_n") > limit, F.col("_g"))).alias("_full")).scalar()
     per = df.filter(F.array_contains(full, group)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", key)
     is_large = F.array_contains(per.agg(F.collect_list(F.when(F.col("_n") > limit, F.col("_k"))).alias("_large")).scalar(), key)
-    small = df.filter(~is_large).withColumn(out, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("long") - 1)
+    small = df.filter(~is_large)
+    small = small.repartition(partitions, *keys) if partitions else small
+    small = small.withColumn(out, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("long") - 1)
     some = df.filter(is_large)
     return small.unionByName(dense_index(some, keys, order, range_bucket(some, first, parts), out))
 
@@ -212,16 +223,18 @@ def is_one_of(col: str, values: Sequence) -> Column:
     return found | F.col(col).isNull() if None in values else found
 
 
-def dense_index(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], bucket: Column | str, out: str = "n") -> DataFrame:
+def dense_index(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], bucket: Column | str, out: str = "n", partitions: int | None = None
+) -> DataFrame:
     """0-based row number inside `keys` along `order`.
 
     `bucket` is a non-decreasing function of the order: a block of positions, or a `range_bucket`, which it has to be without
     keys. A task numbers one bucket of one key; the offsets come from the bucket counts. With keys it can also be the name of the first order column; then
-    only large keys are cut.
+    only large keys are cut, and all others are dealt to `partitions` tasks (by default the session's number).
     """
     keys = list(keys)
     if isinstance(bucket, str):
-        return _by_large_keys(df, keys, order, bucket, out)
+        return _by_large_keys(df, keys, order, bucket, out, partitions)
     b = df.withColumn(_B, bucket)
     local = b.withColumn(out, F.row_number().over(W.partitionBy(*keys, _B).orderBy(*order)).cast("long") - 1)
     counts = b.groupBy(*keys, _B).agg(F.count(F.lit(1)).alias("_rows"))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigframe.plans.blocked import dense_index
+from sigframe.plans.blocked import dense_index, enough_partitions
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -43,7 +43,7 @@ def siglong(spark: SparkSession, d: str) -> DataFrame:
 def numbered_lines(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
     order = ["l_partkey", "l_suppkey", "l_linenumber", "l_quantity"]
-    return dense_index(li, ["l_orderkey"], order, "l_partkey", out="row")
+    return dense_index(li, ["l_orderkey"], order, "l_partkey", out="row", partitions=enough_partitions(li))
 
 
 def cell(spark: SparkSession, d: str) -> DataFrame:

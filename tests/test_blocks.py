@@ -11,7 +11,7 @@ from sigframe.functions import cells as c
 from sigframe.operators import clicks, filters, signal_ops, transforms
 from sigframe.operators import grid as g
 from sigframe.operators.signal_stats import attach_by_block, lengths
-from sigframe.plans import blocked
+from sigframe.plans import blocked, views
 from sigframe.plans.blocked import block_of, dense_index, islands, positions, range_bucket, running, shifted
 
 random.seed(3)
@@ -271,3 +271,24 @@ def test_ordinary_patterns_are_masked_and_filled_behind_one_shuffle(spark):
     cells = channel_cells(spark)[1].repartition(4, "pattern")
     plan = g.forward_fill(blanked(g.change_mask(cells)))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "Aggregate" not in plan
+
+
+def test_a_table_of_lines_is_numbered_in_tasks_of_bounded_size(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(9)
+    pdf = {k: rng.integers(0, n, 6000) for k, n in (("l_orderkey", 1500), ("l_partkey", 200), ("l_suppkey", 50), ("l_linenumber", 7))}
+    rows = [(*(int(x) for x in r), float(q)) for r, q in zip(zip(*pdf.values()), rng.integers(1, 50, 6000))]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    whole = views.cell(spark, str(tmp_path))
+    monkeypatch.setattr(blocked, "TASK_ROWS", 500)
+    cells = views.cell(spark, str(tmp_path))
+    per_task = [r[0] for r in cells.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(per_task) == 12 and max(per_task) < 1000
+    assert cells.count() == 6000 and cells.exceptAll(whole).count() == 0
+
+
+def test_signatures_of_repeated_and_of_swapped_cells_differ(spark):
+    grids = {1: [(0, 5), (1, 6)], 2: [(0, 6), (1, 5)], 3: [(1, 6), (0, 5)], 4: [(0, 5), (0, 5)], 5: [(1, 6), (1, 6)], 6: [(1, 6), (1, 6)]}
+    cells = spark.createDataFrame([(p, r, 0, n, 0, 0, 0, 0, 0) for p, x in grids.items() for r, n in x], "pattern long, row long, channel long, " + ", ".join(f"{f} long" for f in c.FIELDS))
+    sigs = {r.pattern: tuple(r)[1:] for r in cells.groupBy("pattern").agg(*g.grid_signature()).collect()}
+    assert sigs[1] == sigs[3] and sigs[5] == sigs[6] and len(set(sigs.values())) == 4
+    assert sorted(map(tuple, g.duplicate_patterns(cells).collect())) == [(1, 1, 2), (3, 1, 2), (5, 5, 2), (6, 5, 2)]
