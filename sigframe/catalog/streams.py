@@ -23,11 +23,12 @@ def _samples(spark, d):
 
 def _events(spark, d, copies: int = 1):
     """The events as a stream, a micro-batch for each ten days; further copies of a row come ten days later each."""
-    e = v.table(spark, d, "events").withColumns({"ts": F.col("ts").cast("timestamp"), "copy": F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))})
-    path, files = stage(e, F.floor(F.unix_micros("ts") / 864_000_000_000) + F.col("copy"), "events")
-    return replay(spark, path, e.schema, files).select(
-        F.col("user_id").alias("stream"), F.col("event_id").alias("seq"), (F.col("value") / 250.0 - 1).alias("x"), "ts", "event_type"
+    e = v.table(spark, d, "events").select(
+        F.col("user_id").alias("stream"), F.col("event_id").alias("seq"), (F.col("value") / 250.0 - 1).alias("x"), F.col("ts").cast("timestamp").alias("ts"), "event_type"
     )
+    e = e.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    path, files = stage(e, F.floor(F.unix_micros("ts") / 864_000_000_000) + F.col("copy"), "events")
+    return replay(spark, path, e.schema, files).drop("copy")
 
 
 @query("reblock", "T1", oracle("sig",

@@ -270,7 +270,8 @@ def sessions(df: DataFrame, gap: str, delay: str = "1 hour", key_type: str = "lo
 
 
 def dedupe_stream(df: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Drop replayed (stream, seq) pairs that come within the watermark delay of each other."""
+    """Drop replayed (stream, seq) pairs that come within the watermark delay of each other. The state has a row for each pair of that time, in the
+    session's state store."""
     return df.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["stream", "seq"])
 
 

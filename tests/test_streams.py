@@ -7,6 +7,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from sigframe.catalog import streams
+from sigframe.catalog.registry import QUERIES
 from sigframe.streaming import operators as so
 from sigframe.streaming.runs import append_to_table, replay, stage, update_to_table
 
@@ -126,3 +128,14 @@ def test_sessions_of_many_streams_in_few_slots(spark, small_batches, monkeypatch
         else:
             want[s, 55] = (65, 1, "closed")
     assert got == want | {(500, 200): (210, 1, "open")}
+
+
+def test_only_what_the_queries_use_is_staged(spark, monkeypatch, tmp_path):
+    staged = []
+    monkeypatch.setattr(streams, "stage", lambda df, *a: staged.append(df) or stage(df, *a))
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i, base + dt.timedelta(days=i % 30), i % 7, "click", float(i), "x" * 100) for i in range(90)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["dedupe_stream"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted((i % 7, i, round(i / 250 - 1, 6)) for i in range(90))
+    assert set(staged[0].columns) == {"stream", "seq", "x", "ts", "event_type", "copy"} and staged[0].count() == 180
