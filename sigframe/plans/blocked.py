@@ -69,6 +69,14 @@ def shifted(
     )
 
 
+def _helper_prefix(df: DataFrame, *names: str) -> str:
+    """A beginning for helper columns that no column of `df` and none of `names` has, so that callers may name theirs as they like."""
+    prefix = "_"
+    while any(c.startswith(prefix) for c in [*df.columns, *names]):
+        prefix += "_"
+    return prefix
+
+
 _TOTAL = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}
 
 
@@ -103,7 +111,7 @@ def running(
     `cols` maps an output name to `(kind, value)`, kind one of sum, count, max, min, last (last non-null).
     `block` must not decrease along `order`; one block of one key is the unit of work of a task. With
     `inclusive=False` the current row is left out (and an empty prefix gives 0 for sum and count, else NULL).
-    With `peers=True` all rows that tie on the single order column count as current.
+    With `peers=True` all rows that tie on the order columns count as current.
 
     Where `large` is given (see `large_values`; equal in all rows of a key), only its keys are cut into blocks, and all others take one window
     without totals or a join.
@@ -112,30 +120,29 @@ def running(
     if large is not None:
         small = running_whole(df.filter(~large), keys, order, cols, inclusive, peers)
         return small.unionByName(running(df.filter(large), keys, order, block, cols, inclusive, peers))
-    tmp = {f"_v{i}": v for i, (_, v) in enumerate(cols.values())}
-    base = df.withColumns({_B: block, **tmp})
+    own = _helper_prefix(df, *cols)
+    at, key, key_at = f"{own}block", f"{own}k", f"{own}b"
+    value, total, carried = ([f"{own}{x}{i}" for i in range(len(cols))] for x in "vtc")
+    kinds = [kind for kind, _ in cols.values()]
+    base = df.withColumns({at: block, **dict(zip(value, [v for _, v in cols.values()]))})
     stamp = F.struct(*order)
-    totals = base.groupBy(*keys, _B).agg(
+    totals = base.groupBy(*keys, at).agg(
         *[
-            (
-                F.max_by(F.col(f"_v{i}"), F.when(F.col(f"_v{i}").isNotNull(), stamp))
-                if kind == "last"
-                else _TOTAL[kind](f"_v{i}")
-            ).alias(f"_t{i}")
-            for i, (kind, _) in enumerate(cols.values())
+            (F.max_by(F.col(v), F.when(F.col(v).isNotNull(), stamp)) if kind == "last" else _TOTAL[kind](v)).alias(t)
+            for kind, v, t in zip(kinds, value, total)
         ]
     )
-    prior = W.partitionBy(*keys).orderBy(_B).rowsBetween(W.unboundedPreceding, -1)
+    prior = W.partitionBy(*keys).orderBy(at).rowsBetween(W.unboundedPreceding, -1)
 
     carry = totals.select(
-        F.struct(*keys).alias("_k"), F.col(_B).alias("_b"), *[_over("sum" if kind == "count" else kind, f"_t{i}", prior).alias(f"_c{i}") for i, (kind, _) in enumerate(cols.values())]
+        F.struct(*keys).alias(key), F.col(at).alias(key_at), *[_over("sum" if kind == "count" else kind, t, prior).alias(c) for kind, t, c in zip(kinds, total, carried)]
     )
-    local = _prefix(W.partitionBy(*keys, _B).orderBy(*order), inclusive, peers)
-    joined = base.join(carry, F.struct(*keys).eqNullSafe(F.col("_k")) & F.col(_B).eqNullSafe(F.col("_b")))
+    local = _prefix(W.partitionBy(*keys, at).orderBy(*order), inclusive, peers)
+    joined = base.join(carry, F.struct(*keys).eqNullSafe(F.col(key)) & F.col(at).eqNullSafe(F.col(key_at)))
     out = {}
-    for i, (name, (kind, _)) in enumerate(cols.items()):
-        here = _over(kind, f"_v{i}", local)
-        before = F.col(f"_c{i}")
+    for name, kind, v, c in zip(cols, kinds, value, carried):
+        here = _over(kind, v, local)
+        before = F.col(c)
         if kind in ("sum", "count"):
             out[name] = F.coalesce(before, F.lit(0)) + F.coalesce(here, F.lit(0))
         elif kind == "max":
@@ -144,8 +151,7 @@ def running(
             out[name] = F.least(before, here)
         else:
             out[name] = F.coalesce(here, before)
-    drop = [_B, *tmp, "_k", "_b", *[f"_c{i}" for i in range(len(cols))]]
-    return joined.withColumns(out).drop(*drop)
+    return joined.withColumns(out).drop(at, key, key_at, *value, *carried)
 
 
 def _as_number(df: DataFrame, col: str) -> Column:
@@ -191,11 +197,12 @@ def _by_large_keys(df: DataFrame, keys: list[str], order: Sequence[str | Column]
     keys are counted first, and single keys only in groups with that many rows. All other keys are numbered in one shuffled and sorted pass that meets no join."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key, group = F.struct(*keys), F.pmod(F.xxhash64(*keys), F.lit(KEY_GROUPS))
+    n, k = (_helper_prefix(df) + x for x in "nk")
     groups = df.groupBy(group.alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
     limit = groups.agg(F.greatest(F.lit(LARGE_KEY), F.coalesce(F.sum("_n"), F.lit(0)) / parts).alias("_limit")).scalar()
     full = groups.agg(F.collect_list(F.when(F.col("_n") > limit, F.col("_g"))).alias("_full")).scalar()
-    per = df.filter(F.array_contains(full, group)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", key)
-    is_large = F.array_contains(per.agg(F.collect_list(F.when(F.col("_n") > limit, F.col("_k"))).alias("_large")).scalar(), key)
+    per = df.filter(F.array_contains(full, group)).groupBy(*keys).agg(F.count(F.lit(1)).alias(n)).withColumn(k, key)
+    is_large = F.array_contains(per.agg(F.collect_list(F.when(F.col(n) > limit, F.col(k))).alias("_large")).scalar(), key)
     small = df.filter(~is_large)
     small = small.repartition(partitions, *keys) if partitions else small
     small = small.withColumn(out, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("long") - 1)
@@ -213,7 +220,8 @@ def large_values(df: DataFrame, key: str) -> list:
     full = [g for g, n in sizes.items() if n > limit]
     if not full:
         return []
-    per = df.filter(group.isin(full)).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
+    n = _helper_prefix(df) + "n"
+    per = df.filter(group.isin(full)).groupBy(key).agg(F.count(F.lit(1)).alias(n)).filter(F.col(n) > limit)
     return sorted((r[0] for r in per.collect()), key=lambda x: (x is None, x))
 
 
@@ -235,21 +243,23 @@ def dense_index(
     keys = list(keys)
     if isinstance(bucket, str):
         return _by_large_keys(df, keys, order, bucket, out, partitions)
-    b = df.withColumn(_B, bucket)
-    local = b.withColumn(out, F.row_number().over(W.partitionBy(*keys, _B).orderBy(*order)).cast("long") - 1)
-    counts = b.groupBy(*keys, _B).agg(F.count(F.lit(1)).alias("_rows"))
+    own = _helper_prefix(df, out)
+    at, rows, key, key_at, off = (own + x for x in ("block", "rows", "k", "b", "off"))
+    b = df.withColumn(at, bucket)
+    local = b.withColumn(out, F.row_number().over(W.partitionBy(*keys, at).orderBy(*order)).cast("long") - 1)
+    counts = b.groupBy(*keys, at).agg(F.count(F.lit(1)).alias(rows))
     if not keys:
-        sizes = counts.agg(F.collect_list(F.struct(_B, "_rows")).alias("s"))  # one entry per bucket
+        sizes = counts.agg(F.collect_list(F.struct(at, rows)).alias("s"))  # one entry per bucket
 
         def ahead(e: Column) -> Column:
-            return F.aggregate(F.filter("s", lambda x: x[_B] < e[_B]), F.lit(0).cast("long"), lambda total, x: total + x["_rows"])
-
-        offset = sizes.select(F.map_from_entries(F.transform("s", lambda e: F.struct(e[_B], ahead(e)))).alias("o")).scalar()
-        return local.withColumn(out, F.col(out) + F.element_at(offset, F.col(_B))).drop(_B)
-    prior = W.partitionBy(*keys).orderBy(_B).rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(F.struct(*keys).alias("_k"), F.col(_B).alias("_b"), F.coalesce(F.sum("_rows").over(prior), F.lit(0)).alias("_off"))
-    joined = local.join(offsets, F.struct(*keys).eqNullSafe(F.col("_k")) & (F.col(_B) == F.col("_b")))
-    return joined.withColumn(out, F.col(out) + F.col("_off")).drop(_B, "_k", "_b", "_off")
+            return F.aggregate(F.filter("s", lambda x: x[at] < e[at]), F.lit(0).cast("long"), lambda total, x: total + x[rows])
+
+        offset = sizes.select(F.map_from_entries(F.transform("s", lambda e: F.struct(e[at], ahead(e)))).alias("o")).scalar()
+        return local.withColumn(out, F.col(out) + F.element_at(offset, F.col(at))).drop(at)
+    prior = W.partitionBy(*keys).orderBy(at).rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select(F.struct(*keys).alias(key), F.col(at).alias(key_at), F.coalesce(F.sum(rows).over(prior), F.lit(0)).alias(off))
+    joined = local.join(offsets, F.struct(*keys).eqNullSafe(F.col(key)) & (F.col(at) == F.col(key_at)))
+    return joined.withColumn(out, F.col(out) + F.col(off)).drop(at, key, key_at, off)
 
 
 def islands(

@@ -292,3 +292,24 @@ def test_signatures_of_repeated_and_of_swapped_cells_differ(spark):
     sigs = {r.pattern: tuple(r)[1:] for r in cells.groupBy("pattern").agg(*g.grid_signature()).collect()}
     assert sigs[1] == sigs[3] and sigs[5] == sigs[6] and len(set(sigs.values())) == 4
     assert sorted(map(tuple, g.duplicate_patterns(cells).collect())) == [(1, 1, 2), (3, 1, 2), (5, 5, 2), (6, 5, 2)]
+
+
+def test_callers_may_name_their_columns_like_helpers(spark, skewed, monkeypatch):
+    names = ["_k", "_b", "_block", "_v0", "_t0", "_c0", "_off", "_rows", "_n", "__k"]
+    taken = skewed.withColumns({x: -F.col("t") for x in names})
+    kept = F.expr(" AND ".join(f"{x} = -t" for x in names))
+    block = block_of("t", 64)
+    want = running(skewed, ["k"], ["t"], block, {"r": ("sum", F.col("v"))})
+    got = running(taken, ["k"], ["t"], block, {"r": ("sum", F.col("v"))}).filter(kept)
+    assert got.columns == [*taken.columns, "r"] and got.select("k", "t", "v", "r").exceptAll(want).isEmpty() and got.count() == 1500
+    got = running(skewed, ["k"], ["t"], block, {x: ("sum", F.col("v")) for x in names}).withColumnRenamed("_k", "r").filter(" AND ".join(f"{x} = r" for x in names[1:]))
+    assert got.select("k", "t", "v", "r").exceptAll(want).isEmpty() and got.count() == 1500
+    want = dense_index(skewed, ["k"], ["t"], F.lit(0), out="r")
+    got = dense_index(taken, ["k"], ["t"], block, out="r").filter(kept)
+    assert got.columns == [*taken.columns, "r"] and got.select("k", "t", "v", "r").exceptAll(want).isEmpty() and got.count() == 1500
+    monkeypatch.setattr(blocked, "LARGE_KEY", 10)
+    for x in ("_k", "_n", "_off"):
+        named = skewed.withColumnRenamed("k", x)
+        assert dense_index(named, [x], ["t"], "t", out="r").exceptAll(want.withColumnRenamed("k", x)).isEmpty()
+        assert dense_index(skewed, ["k"], ["t"], block, out=x).exceptAll(want.withColumnRenamed("r", x)).isEmpty()
+        assert blocked.large_values(named, x) == [1]

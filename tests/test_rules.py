@@ -4,6 +4,7 @@ import hashlib
 import math
 from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -11,10 +12,11 @@ from pyspark.sql import functions as F
 from conftest import column, signal
 from sigframe import catalog
 from sigframe.functions import pcm, polar, text
-from sigframe.operators import clicks, signal_ops, signal_stats
+from sigframe.operators import clicks, sequences, signal_ops, signal_stats
 from sigframe.operators.sequences import FNV_BASIS, FNV_PRIME, loop_state_hash
 from sigframe.sources import cue, files
 from sigframe.streaming import operators as so
+from verify import compare
 
 
 def one(spark, *cols):
@@ -261,3 +263,18 @@ def test_cue_sheets_are_shuffled_before_they_are_cut(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_COL") > 0
     assert [r.status for r in out.orderBy("id").collect()] == ["NoTracks"] * 4 + ["ok", "InvalidTrack", "IndexPointsOutOfSequence", "PrematureIndex"]
+
+
+def test_ensure_unique_of_odd_lists_equals_its_sql(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sequences, "ORD_BLOCK", 4)
+    rng = np.random.default_rng(12)
+    rows = [(1, t, "user", "x" * int(rng.integers(9))) for t in range(-7, 40)]  # over many blocks
+    rows += [(2, int(rng.integers(6)), "user", "x" * int(rng.integers(3))) for _ in range(40)]  # places and entries repeat
+    rows += [(c, t, "user", x) for c in (3, None) for t in (5, 0, None, None, 9, 9) for x in ("", "x", "x", None, "xx")]
+    rows += [(4, 0, "system", "xx"), (4, 1, None, "x"), (4, 2, "user", "x"), (5, 0, "system", ""), (6, 0, "user", None), (6, 7, "user", None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    catalog.load()
+    status, _, note = compare(spark, con, "ensure_unique", str(tmp_path))
+    assert status == "OK" and note.startswith("151 rows"), note
